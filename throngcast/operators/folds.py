@@ -146,6 +146,26 @@ class Cooldown(Fold):
         return (last,), {"granted": np.array(out, dtype=bool)}
 
 
+class StaleMetric(Fold):
+    """A polled metric with a cache: 'cache' within ``ttl_ms`` of the last good fetch or when the fetch
+    failed, 'live' on a new good fetch, 'unavailable' before the first one."""
+
+    output = {"last_value": "double", "updated_at": "bigint", "source": "string"}
+
+    def __init__(self, ts: str = "ts_ms", value: str = "value", ttl_ms: int = K.CAMERA_TTL_MS):
+        self.inputs, self.ts, self.value, self.ttl_ms = [ts, value], ts, value, ttl_ms
+
+    def run(self, state, columns):
+        fetched, last = state or (None, None)
+        rows = []
+        for ts, value in zip(columns[self.ts].tolist(), columns[self.value].astype(float).tolist()):
+            source = "cache" if fetched is not None else "unavailable"
+            if (fetched is None or ts - fetched > self.ttl_ms) and value == value:
+                fetched, last, source = ts, value, "live"
+            rows.append((last, fetched, source))
+        return (fetched, last), {n: _object(r[i] for r in rows) for i, n in enumerate(self.output)}
+
+
 class FallDetector(Fold):
     """Free fall, impact, immobility; 'prompt' when a fall is suspected, 'emergency' when it stays unanswered.
 

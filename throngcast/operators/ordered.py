@@ -199,7 +199,7 @@ class Fold:
     """
 
     inputs: list[str] = []
-    output: dict[str, str] = {}      # name -> double, string or boolean
+    output: dict[str, str] = {}      # name -> double, bigint, string or boolean
 
     def run(self, state, columns):
         raise NotImplementedError
@@ -269,8 +269,9 @@ def _inputs(batch: pa.RecordBatch, fold: Fold) -> dict:
     return {n: batch.column(n).to_pandas().to_numpy() for n in fold.inputs}
 
 
-_SPARK = {"double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType()}
-_ARROW = {"double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+_SPARK = {"double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(),
+          "bigint": T.LongType()}
+_ARROW = {"double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "bigint": pa.int64()}
 
 
 def _emit(fold: Fold, keys: list[str], chunk: list[str], kept: list[str], entry: dict):
