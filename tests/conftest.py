@@ -10,7 +10,7 @@ from throngcast.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[8]", 8, spark__ui__enabled="false", spark__driver__memory="8g",
+    session = build_session("local[8]", 8, spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="8g",
                             spark__sql__adaptive__coalescePartitions__parallelismFirst="false")
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -63,7 +63,7 @@ def differences(df, con, sql):
 def main(names):
     from throngcast.plans import load_all
     from throngcast.session import build_session
-    spark = build_session("local[8]", 8, spark__ui__enabled="false", spark__driver__memory="8g")
+    spark = build_session("local[8]", 8, spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("OFF")
     con, failed = connect(), []
     for name, q in load_all().items():

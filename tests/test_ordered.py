@@ -54,9 +54,9 @@ def test_chunked_windows(series, keys):
 @pytest.mark.parametrize("keys", [["zone"], []])
 @pytest.mark.parametrize("value", ["risk_raw", "maybe"])
 def test_exact_percentiles(series, keys, value):
-    ranks = {"a": 0.01, "b": 0.5, "c": 0.95, "d": 1.0}
-    small = O.exact_percentiles(series, keys, value, ranks)
-    cut = O.exact_percentiles(series, keys, value, ranks, SMALL)
+    ranks = {"a": (value, 0.01), "b": (value, 0.5), "c": (value, 0.95), "d": ("id", 1.0)}
+    small = O.exact_percentiles(series, keys, ranks)
+    cut = O.exact_percentiles(series, keys, ranks, SMALL)
     plain = {tuple(r[k] for k in keys): r for r in small.collect()}
     for r in cut.collect():
         for name in ranks:

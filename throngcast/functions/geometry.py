@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from .. import constants as K
+from .scalars import fixed6
 
 POINT = "struct<x:double,y:double>"
 
@@ -48,8 +49,8 @@ def label_line(class_id: Column, bbox: Column, width: float, height: float) -> C
     w = F.greatest(F.lit(1.0), bbox[2] - bbox[0])
     h = F.greatest(F.lit(1.0), bbox[3] - bbox[1])
     cx, cy = bbox[0] + w * 0.5, bbox[1] + h * 0.5
-    return F.format_string("%d %.6f %.6f %.6f %.6f", class_id, cx / F.lit(float(width)), cy / F.lit(float(height)),
-                           w / F.lit(float(width)), h / F.lit(float(height)))
+    ratios = [cx / F.lit(float(width)), cy / F.lit(float(height)), w / F.lit(float(width)), h / F.lit(float(height))]
+    return F.concat_ws(" ", class_id.cast("string"), *[fixed6(r) for r in ratios])
 
 
 def in_polygon(x: Column, y: Column, polygon: list[tuple[float, float]]) -> Column:

@@ -85,8 +85,25 @@ def first_filled(*columns: Column) -> Column:
     return F.coalesce(*[clean_text(c) for c in columns])
 
 
+def fixed6(x: Column, ties_even: bool = True) -> Column:
+    """Text with six decimals, rounded on the exact binary value (printf rounds the shortest decimal instead).
+
+    Only values printed with a seventh digit 5 and nothing after it need care: the rounding error of x * 1e7,
+    recovered exactly from the two halves of x, tells on which side of that digit the value lies.
+    """
+    size = F.abs(x)
+    scaled = size * 1e7
+    high = size * 134217729.0 - (size * 134217729.0 - size)
+    rest = (high * 1e7 - scaled) + (size - high) * 1e7
+    whole = F.floor(scaled)
+    down = (rest < 0) | (rest == 0) & F.lit(ties_even) & (F.floor(whole / 10) % 2 == 0)
+    tie = (scaled == whole) & (whole % 10 == 5) & down
+    return F.concat(F.when(x < 0, "-").otherwise(""),
+                    F.format_string("%.6f", F.when(tie, F.floor(whole / 10) / 1e6).otherwise(size)))
+
+
 def coordinate_key(lat: Column, lng: Column) -> Column:
-    return F.format_string("%.6f,%.6f", lat, lng)
+    return F.concat_ws(",", fixed6(lat, False), fixed6(lng, False))
 
 
 def metres_to_lat(metres: Column) -> Column:

@@ -71,7 +71,7 @@ def weak_labels(windows: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> Dat
     stats = windows.agg(*[f(c).alias(f"{n}_{c}") for c in z_of for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     z = lambda c: (F.col(c) - stats[f"m_{c}"]) / max(stats[f"s_{c}"] or 0.0, 1e-6)
     scored = windows.withColumn("weak_score", sum((w * z(c) for c, w in z_of.items()), F.lit(0.0)))
-    cut = exact_percentiles(scored, [], "weak_score", {"lo": 0.40, "hi": 0.70}, rows_per_chunk).first()
+    cut = exact_percentiles(scored, [], {"lo": ("weak_score", 0.40), "hi": ("weak_score", 0.70)}, rows_per_chunk).first()
     label = F.when(F.col("weak_score") >= cut.hi, 1).when(F.col("weak_score") <= cut.lo, 0)
     return scored.withColumn("label", label).filter("label IS NOT NULL")
 

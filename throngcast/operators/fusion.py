@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
@@ -13,12 +11,13 @@ from .ordered import ROWS_PER_CHUNK, exact_percentiles, ordered_fold
 from .folds import Ewma
 
 
-def robust_normalise(df: DataFrame, ts: str, columns: list[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Add ``<column>_n``: position between the 5th and 95th percentile of the timestep; 0 when they coincide."""
-    spans = []
-    for c in columns:
-        spans.append(exact_percentiles(df, [ts], c, {f"_lo_{c}": 0.05, f"_hi_{c}": 0.95}, rows_per_chunk))
-    span = reduce(lambda a, b: a.join(b, ts), spans)
+def robust_normalise(df: DataFrame, ts: str, columns: list[str], rows_per_chunk: int | None = None) -> DataFrame:
+    """Add ``<column>_n``: position between the 5th and 95th percentile of the timestep; 0 when they coincide.
+
+    A timestep has one row per zone, so its group is bounded; pass ``rows_per_chunk`` where that does not hold.
+    """
+    ranks = {f"_{end}_{c}": (c, q) for c in columns for end, q in (("lo", 0.05), ("hi", 0.95))}
+    span = exact_percentiles(df, [ts], ranks, rows_per_chunk)
     scaled = {}
     for c in columns:
         lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
@@ -26,7 +25,7 @@ def robust_normalise(df: DataFrame, ts: str, columns: list[str], rows_per_chunk:
     return df.join(span, ts).withColumns(scaled).drop(*[f"_{e}_{c}" for c in columns for e in ("lo", "hi")])
 
 
-def fallback_anomaly(features: DataFrame, ts: str = "ts", rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def fallback_anomaly(features: DataFrame, ts: str = "ts", rows_per_chunk: int | None = None) -> DataFrame:
     pressure = F.col("density") * (F.col("speed_mean") + 0.5 * F.col("turbulence"))
     n = robust_normalise(features.withColumn("pressure", pressure), ts, ["turbulence", "pressure"], rows_per_chunk)
     score = 0.45 * F.col("dir_entropy") + 0.35 * F.col("turbulence_n") + 0.20 * F.col("pressure_n")
@@ -39,7 +38,7 @@ def calibrated(raw: Column, p1: float, p50: float) -> Column:
 
 
 def activity_weights(features: DataFrame, ts: str = "ts", cfg: FusionConfig = FusionConfig(),
-                     rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+                     rows_per_chunk: int | None = None) -> DataFrame:
     """Each zone's share of the activity of its timestep (``weight``) and the number of zones (``zones_at_ts``)."""
     n = robust_normalise(features, ts, ["speed_mean", "turbulence"], rows_per_chunk)
     motion = S.clamp(cfg.speed_weight * F.col("speed_mean_n") + cfg.turbulence_weight * F.col("turbulence_n")

@@ -14,12 +14,12 @@ from .zones import small_side
 def eval_summary(rows: DataFrame, keys: list[str] = ("dataset", "split"), value: str = "anomaly",
                  rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     keys = list(keys)
-    p95 = exact_percentiles(rows, keys, value, {"p95_anomaly": 0.95}, rows_per_chunk)
+    p95 = exact_percentiles(rows, keys, {"p95_anomaly": (value, 0.95)}, rows_per_chunk)
     return rows.groupBy(*keys).agg(F.avg(value).alias("mean_anomaly"), F.count(F.lit(1)).alias("rows")).join(p95, keys)
 
 
 def calibration(rows: DataFrame, raw: str = "raw", rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    return exact_percentiles(rows, [], raw, {"p1": 0.01, "p50": 0.50, "p99": 0.99}, rows_per_chunk)
+    return exact_percentiles(rows, [], {"p1": (raw, 0.01), "p50": (raw, 0.50), "p99": (raw, 0.99)}, rows_per_chunk)
 
 
 def dataset_counts(rows: DataFrame, key: str = "dataset") -> DataFrame:

@@ -27,11 +27,7 @@ TREE_SCHEMA = "tree int, node int, feature int, cut double, left_node int, right
 def robust_scaler(rows: DataFrame, features: list[str] = K.FEATURE_COLUMNS, rows_per_chunk: int = ROWS_PER_CHUNK) -> dict:
     """Median and interquartile range per feature; a zero range divides by one."""
     ranks = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
-    if rows.count() <= rows_per_chunk:
-        q = rows.agg(*[F.percentile(f, F.lit(r)).alias(f"{f}_{n}") for f in features for n, r in ranks.items()]).first()
-    else:
-        q = {f"{f}_{n}": v for f in features
-             for n, v in exact_percentiles(rows, [], f, ranks, rows_per_chunk).first().asDict().items()}
+    q = exact_percentiles(rows, [], {f"{f}_{n}": (f, r) for f in features for n, r in ranks.items()}, rows_per_chunk).first()
     spread = {f: q[f"{f}_q3"] - q[f"{f}_q1"] for f in features}
     return {f: (q[f"{f}_q2"], spread[f] or 1.0) for f in features}
 
@@ -126,7 +122,7 @@ def anomaly_scores(features: DataFrame, keys: list[str], order: list[str], model
                    rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Calibrated forest score when a model (forest, scaler, calibration row) is there, else the fallback; smoothed."""
     if model is None:
-        raw = fusion.fallback_anomaly(features, ts, rows_per_chunk)
+        raw = fusion.fallback_anomaly(features, ts)
     else:
         forest, scaler, calib = model
         raw = score_forest(features, forest, scaler).withColumn(

@@ -13,14 +13,11 @@ from .ordered import ROWS_PER_CHUNK, exact_percentiles, with_previous
 
 def compensate_global_motion(flow: DataFrame, frame: str = "frame_id", rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Subtract the median motion of the frame, then add magnitude and direction in [0, 2 pi)."""
-    mid = None
-    for axis in ("u", "v"):
-        part = exact_percentiles(flow, [frame], axis, {f"mid_{axis}": 0.5}, rows_per_chunk)
-        mid = part if mid is None else mid.join(part, frame)
+    mid = exact_percentiles(flow, [frame], {"mid_u": ("u", 0.5), "mid_v": ("v", 0.5)}, rows_per_chunk)
     u, v = F.col("u") - F.col("mid_u"), F.col("v") - F.col("mid_v")
     moved = flow.join(mid, frame).withColumns({"u": u, "v": v}).drop("mid_u", "mid_v")
     turn = F.atan2("v", "u")
-    return moved.withColumns({"magnitude": F.hypot("u", "v"),
+    return moved.withColumns({"magnitude": F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v")),
                               "direction": F.when(turn < 0, turn + 2 * math.pi).otherwise(turn)})
 
 
@@ -28,7 +25,7 @@ def with_active_flag(samples: DataFrame, frame: str = "frame_id", zone: str = "z
                      rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Mark samples at or above max(0.2, 75th percentile) of the zone; with fewer than 16 of those, at or above 0.2."""
     keys = [frame, zone]
-    quart = exact_percentiles(samples, keys, "magnitude", {"q": K.MOTION_QUANTILE}, rows_per_chunk)
+    quart = exact_percentiles(samples, keys, {"q": ("magnitude", K.MOTION_QUANTILE)}, rows_per_chunk)
     cut = F.greatest(F.lit(K.MIN_MOTION), F.col("q"))
     strong = F.col("magnitude") >= cut
     marked = samples.join(quart, keys).withColumn("_strong", strong)

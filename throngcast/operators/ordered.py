@@ -155,29 +155,41 @@ def with_last_known(df: DataFrame, keys: list[str], order: list[str], column: st
     return _clean(c.with_carry(carry, ["_carry"]).withColumn(name, F.coalesce(local, "_carry")))
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, ranks: dict[str, float],
-                      rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Linear-interpolation percentiles per key, one column per entry of ``ranks`` (NULL values left out).
+def exact_percentiles(df: DataFrame, keys: list[str], ranks: dict[str, tuple[str, float]],
+                      rows_per_chunk: int | None = ROWS_PER_CHUNK) -> DataFrame:
+    """Linear-interpolation percentiles per key: one column per entry of ``ranks``, name -> (column, rank).
 
-    Small keys use the built-in aggregate. A key with more distinct values than a chunk is ranked by
-    running sums over its value counts, so no task ever holds all its values.
+    Small keys use the built-in aggregate, in one pass. The values of a key with more rows than a chunk are
+    ranked by running sums over their counts, so no task ever holds all of them. Pass None for
+    ``rows_per_chunk`` when groups are bounded by nature (say, one row per zone): that saves the count.
     """
-    rows = df.filter(F.col(value).isNotNull())
+    direct = [F.percentile(value, F.lit(q)).alias(n) for n, (value, q) in ranks.items()]
+    light = lambda rows: rows.groupBy(*keys).agg(*direct) if keys else rows.agg(*direct)
+    if rows_per_chunk is None:
+        return light(df)
     one = F.count(F.lit(1)).alias("_rows")
-    counts = rows.groupBy(*keys).agg(one) if keys else rows.agg(one)
+    counts = df.groupBy(*keys).agg(one) if keys else df.agg(one)
     total, largest = counts.agg(F.sum("_rows"), F.max("_rows")).first()
     limit = max(rows_per_chunk, -(-(total or 0) // MAX_CHUNKS))
-    direct = [F.percentile(value, F.lit(q)).alias(n) for n, q in ranks.items()]
     if (largest or 0) <= limit:
-        return rows.groupBy(*keys).agg(*direct) if keys else rows.agg(*direct)
-
-    hot = counts.filter(F.col("_rows") > limit)
-    if keys:
-        small = join_keys(rows, F.broadcast(hot), keys, "left_anti").groupBy(*keys).agg(*direct)
-        large = join_keys(rows, F.broadcast(hot), keys, "inner", ["_rows"])
-    else:
-        small, large = None, rows.withColumn("_rows", F.lit(largest).cast("bigint"))
-    weights = large.groupBy(*keys, "_rows", value).agg(F.count(F.lit(1)).alias("_w"))
+        return light(df)
+
+    hot = counts.filter(F.col("_rows") > limit).select(*keys)
+    large = join_keys(df, F.broadcast(hot), keys, "left_semi") if keys else df
+    parts = [_ranked_percentiles(large, keys, value, {n: q for n, (v, q) in ranks.items() if v == value}, rows_per_chunk)
+             for value in dict.fromkeys(v for v, _ in ranks.values())]
+    if not keys:
+        return reduce(lambda a, b: a.join(b), parts)          # one row each
+    result = reduce(lambda a, b: join_keys(a, b, keys, "left", b.columns[len(keys):]),
+                    parts, hot)
+    small = light(join_keys(df, F.broadcast(hot), keys, "left_anti"))
+    return small.unionByName(result)
+
+
+def _ranked_percentiles(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, float], rows_per_chunk: int) -> DataFrame:
+    weights = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
+    total = weights.groupBy(*keys).agg(F.sum("_w").alias("_rows")) if keys else weights.agg(F.sum("_w").alias("_rows"))
+    weights = join_keys(weights, F.broadcast(total), keys, "inner", ["_rows"]) if keys else weights.join(F.broadcast(total))
     ranked = with_running_sum(weights, keys, [value], F.col("_w"), "_upto", rows_per_chunk)
     picks = []
     for name, q in ranks.items():
@@ -185,10 +197,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, ranks: dict[st
         covers = lambda pos: (F.col("_upto") - F.col("_w") <= pos) & (pos < F.col("_upto"))
         low = F.max(F.when(covers(F.floor(at)), F.col(value)))
         high = F.max(F.when(covers(F.ceil(at)), F.col(value)))
-        part = F.max(at - F.floor(at))
-        picks.append((low + (high - low) * part).alias(name))
-    result = ranked.groupBy(*keys).agg(*picks) if keys else ranked.agg(*picks)
-    return small.unionByName(result) if small is not None else result
+        picks.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
+    return ranked.groupBy(*keys).agg(*picks) if keys else ranked.agg(*picks)
 
 
 class Fold:

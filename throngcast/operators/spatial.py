@@ -67,7 +67,7 @@ def roi_density(detections: DataFrame, cfg: RoiDensityConfig, keys: list[str] =
         spaced = nearest_spacing(tagged, "_at").select("_at.*", (F.col("spacing") * cfg.head_spacing_to_body_ratio).alias("h_px"))
         candidates = candidates.unionByName(spaced)
     valid = candidates.filter(F.col("h_px").between(cfg.min_h_px, cfg.max_h_px))
-    median = exact_percentiles(valid, at, "h_px", {"h_med_px": 0.5}, rows_per_chunk)
+    median = exact_percentiles(valid, at, {"h_med_px": ("h_px", 0.5)}, rows_per_chunk)
     samples = valid.groupBy(*at).agg(F.count(F.lit(1)).alias("h_samples"))
     heads = inside.groupBy(*at).agg(F.count_if(F.col("label") == "head").alias("heads"))
     rows = detections.select(*at).distinct().join(heads, at, "left").join(samples, at, "left").join(median, at, "left") \

@@ -7,7 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .. import constants as K
+from ..session import cut_lineage
 
 EPOCH_MS = 1704067200000
 
@@ -94,7 +94,7 @@ class Tables:
         return self.read("lineitem").select(
             (F.year(ship) * 12 + F.month(ship)).cast("bigint").alias("frame_id"),
             F.concat(F.lit("AZ"), (F.col("l_suppkey") % 6 + 1).cast("string")).alias("zone_id"),
-            ((F.col("l_quantity") - 25) / 10).alias("u"), ((100 * F.col("l_discount") - 5) / 5).alias("v"),
+            ((F.col("l_quantity") - 25) / 10 + F.col("l_extendedprice") / 1e7).alias("u"), ((100 * F.col("l_discount") - 5) / 5).alias("v"),
             F.col("l_tax").alias("divergence"), (F.col("l_tax") * F.col("l_quantity") / 10).alias("turbulence"))
 
     @cached_property
@@ -149,13 +149,14 @@ class Tables:
         """Zone features per monthly frame, as one video."""
         from ..operators import motion
         f = motion.motion_features(motion.compensate_global_motion(self.flow_samples))
-        return f.withColumnRenamed("frame_id", "ts").withColumn("density", F.col("occupancy"))
+        # extracted once, then used as a stored table, as the feature files are
+        return cut_lineage(f.withColumnRenamed("frame_id", "ts").withColumn("density", F.col("occupancy")))
 
 
 # The same views as SQL. Doubles carry an exponent, since bare decimals would be DECIMAL.
 SQL = {
     "perception": """
-        SELECT event_id AS arrival, CAST(floor((epoch_ms(ts) - 1704067200000) / 1000e0) AS BIGINT) AS ts,
+        SELECT event_id AS arrival, CAST(floor(((epoch_us(ts) // 1000) - 1704067200000) / 1000e0) AS BIGINT) AS ts,
                'AZ' || (user_id % 6 + 1) AS zone_id, least(1e0, value / 100) AS density,
                CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) / 100 AS anomaly,
                CASE event_type WHEN 'signup' THEN NULL WHEN 'error' THEN 0.6e0 WHEN 'view' THEN 0.8e0 ELSE 0.95e0 END AS conf,
@@ -174,7 +175,7 @@ SQL = {
         SELECT 'Z' || n_nationkey AS routing_zone_id, 'AZ' || (n_nationkey % 7 + 1) AS parent_id,
                50 + 5 * n_nationkey AS capacity FROM nation""",
     "incidents": """
-        SELECT event_id AS incident_id, epoch_ms(ts) AS ts, 'Z' || (user_id % 25) AS zone_id,
+        SELECT event_id AS incident_id, (epoch_us(ts) // 1000) AS ts, 'Z' || (user_id % 25) AS zone_id,
                CASE WHEN value > 200 THEN 9999e0 WHEN value > 50 THEN value END AS hazard_penalty,
                CASE WHEN event_id % 3 = 0 THEN ['Z' || ((user_id + 1) % 25), 'Z' || ((user_id + 2) % 25)]
                     WHEN event_id % 3 = 1 AND event_id % 5 = 0 THEN CAST([] AS VARCHAR[]) END AS affected
@@ -222,7 +223,7 @@ SQL = {
         FROM detections d""",
     "flow_samples": """
         SELECT year(l_shipdate) * 12 + month(l_shipdate) AS frame_id, 'AZ' || (l_suppkey % 6 + 1) AS zone_id,
-               (l_quantity - 25) / 10 AS u, (100 * l_discount - 5) / 5 AS v, l_tax AS divergence,
+               (l_quantity - 25) / 10 + l_extendedprice / 1e7 AS u, (100 * l_discount - 5) / 5 AS v, l_tax AS divergence,
                l_tax * l_quantity / 10 AS turbulence FROM lineitem""",
     "moving": """
         SELECT frame_id, zone_id, divergence, turbulence, sqrt(u * u + v * v) AS magnitude,
@@ -271,7 +272,7 @@ SQL = {
     "presence": """
         SELECT event_id AS arrival, CAST(user_id AS VARCHAR) AS user_id, 1.30e0 + 0.0009e0 * (user_id % 12) AS lat,
                103.80e0 + 0.0011e0 * (user_id % 10) + 0.00001e0 * CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS lng,
-               epoch_ms(ts) AS ts_ms, event_type = 'signup' AS offline FROM events""",
+               (epoch_us(ts) // 1000) AS ts_ms, event_type = 'signup' AS offline FROM events""",
     "latest": """
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY arrival DESC) AS rn FROM presence)
         WHERE rn = 1 AND NOT offline""",
@@ -280,10 +281,10 @@ SQL = {
                CASE WHEN s_suppkey % 17 <> 0 THEN 1.25e0 + 0.001e0 * s_suppkey END AS lat, 103.6e0 + 0.002e0 * s_suppkey AS lng,
                CASE WHEN s_suppkey % 13 <> 0 THEN 'http://cam/' || s_suppkey END AS image_url FROM supplier""",
     "inferences": """
-        SELECT CAST(user_id % 100 + 1 AS VARCHAR) AS camera_id, epoch_ms(ts) AS inferred_ms,
+        SELECT CAST(user_id % 100 + 1 AS VARCHAR) AS camera_id, (epoch_us(ts) // 1000) AS inferred_ms,
                CAST(floor(value) AS BIGINT) AS vehicle_count FROM events""",
     "frame_scores": """
-        SELECT event_type AS video, row_number() OVER (PARTITION BY event_type ORDER BY epoch_ms(ts), event_id) - 1 AS frame_idx,
+        SELECT event_type AS video, row_number() OVER (PARTITION BY event_type ORDER BY (epoch_us(ts) // 1000), event_id) - 1 AS frame_idx,
                value AS motion, CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS brightness,
                value - floor(value) AS edge FROM events""",
     "windows": """
