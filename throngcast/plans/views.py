@@ -202,7 +202,7 @@ SQL = {
     "zone_risk": """
         SELECT routing_zone_id AS zone_id, coalesce(a.risk, 0e0) AS risk FROM routing_zones z
         LEFT JOIN zone_avg a ON a.zone_id = z.parent_id""",
-    "small_deltas": "SELECT zone_id, local_delta / 100 AS local_delta FROM deltas",
+    "small_deltas": "SELECT zone_id, local_delta / incidents * 25 AS local_delta FROM deltas",
     "zone_load": """
         SELECT 'Z' || n AS zone_id, users / capacity AS load_ratio FROM (
             SELECT user_id % 25 AS n, count(DISTINCT user_id) * 15e0 AS users FROM events GROUP BY 1)
