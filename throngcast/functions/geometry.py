@@ -115,7 +115,7 @@ def bounding_box(polygon: Column) -> dict[str, Column]:
 
 def roi_points(text: Column, whole_pixels: bool = False) -> Column:
     """'x,y;x,y' to points. NULL when a token is malformed or there are too few points (4, or 3 in whole pixels)."""
-    tokens = F.filter(F.transform(F.split(F.trim(text), ";"), F.trim), lambda t: t != "")
+    tokens = F.filter(F.transform(F.split(F.trim(text), ";"), lambda t: F.trim(t)), lambda t: t != "")
     number = lambda s: F.trim(s).try_cast("double")
     if whole_pixels:
         number = lambda s: F.trim(s).try_cast("double").cast("int").cast("double")
