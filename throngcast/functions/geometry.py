@@ -12,8 +12,13 @@ from .scalars import fixed6
 POINT = "struct<x:double,y:double>"
 
 
+def corner(bbox: Column, i: int) -> Column:
+    """Box coordinate, NULL where the box is too short."""
+    return F.get(bbox, F.lit(i))
+
+
 def box_centre(bbox: Column) -> tuple[Column, Column]:
-    return F.lit(0.5) * (bbox[0] + bbox[2]), F.lit(0.5) * (bbox[1] + bbox[3])
+    return F.lit(0.5) * (corner(bbox, 0) + corner(bbox, 2)), F.lit(0.5) * (corner(bbox, 1) + corner(bbox, 3))
 
 
 def valid_box(bbox: Column) -> Column:

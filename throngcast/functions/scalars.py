@@ -9,13 +9,11 @@ from .. import constants as K
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0, nan: str = "zero") -> Column:
     """Limit to [low, high]. NaN: 'zero' maps it (and NULL) to 0, 'keep' leaves it, 'none' has no rule."""
-    limited = F.greatest(F.lit(low), F.least(F.lit(high), x))
-    limited = F.when(x.isNotNull(), limited)
-    if nan == "zero":
-        return F.when(x.isNull() | F.isnan(x), F.lit(0.0)).otherwise(limited)
-    if nan == "keep":
-        return F.when(F.isnan(x), x).otherwise(limited)
-    return limited
+    if nan == "zero":       # one reference to x, since it may be a large expression
+        x = F.nanvl(F.coalesce(x.cast("double"), F.lit(0.0)), F.lit(0.0))
+        return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    limited = F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
+    return F.when(F.isnan(x), x).otherwise(limited) if nan == "keep" else limited
 
 
 def fused_risk(density: Column, anomaly: Column, conf: Column | None = None) -> Column:
@@ -23,7 +21,8 @@ def fused_risk(density: Column, anomaly: Column, conf: Column | None = None) ->
     risk = F.lit(K.DENSITY_WEIGHT) * density + F.lit(K.ANOMALY_WEIGHT) * anomaly
     if conf is None:
         return clamp(risk)
-    return clamp(risk * F.when(conf.isNotNull(), clamp(conf)))
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.nanvl(conf, F.lit(0.0))))
+    return clamp(F.when(conf.isNotNull(), risk * share))
 
 
 def severity_band(risk: Column, warn: float = K.SEVERITY_WARN, critical: float = K.SEVERITY_CRITICAL) -> Column:
@@ -61,7 +60,8 @@ def round_half_up(x: Column) -> Column:
 
 
 def round_half_even(x: Column) -> Column:
-    return F.bround(x)
+    """Ties go to the even neighbour; ``rint`` stays on doubles, ``bround`` would go through BigDecimal."""
+    return F.rint(x)
 
 
 def finite(x: Column) -> Column:

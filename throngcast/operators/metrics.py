@@ -14,8 +14,8 @@ from .zones import small_side
 def eval_summary(rows: DataFrame, keys: list[str] = ("dataset", "split"), value: str = "anomaly",
                  rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     keys = list(keys)
-    p95 = exact_percentiles(rows, keys, {"p95_anomaly": (value, 0.95)}, rows_per_chunk)
-    return rows.groupBy(*keys).agg(F.avg(value).alias("mean_anomaly"), F.count(F.lit(1)).alias("rows")).join(p95, keys)
+    return exact_percentiles(rows, keys, {"p95_anomaly": (value, 0.95)}, rows_per_chunk,
+                             [F.avg(value).alias("mean_anomaly"), F.count(F.lit(1)).alias("rows")])
 
 
 def calibration(rows: DataFrame, raw: str = "raw", rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:

@@ -8,32 +8,23 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K
 from ..functions import scalars as S
-from .ordered import ROWS_PER_CHUNK, exact_percentiles, with_previous
+from .ordered import ROWS_PER_CHUNK, exact_percentiles, fits, with_previous
 
 
-def compensate_global_motion(flow: DataFrame, frame: str = "frame_id", rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def compensate_global_motion(flow: DataFrame, frame: str = "frame_id", rows_per_chunk: int | None = ROWS_PER_CHUNK) -> DataFrame:
     """Subtract the median motion of the frame, then add magnitude and direction in [0, 2 pi)."""
     mid = exact_percentiles(flow, [frame], {"mid_u": ("u", 0.5), "mid_v": ("v", 0.5)}, rows_per_chunk)
-    u, v = F.col("u") - F.col("mid_u"), F.col("v") - F.col("mid_v")
-    moved = flow.join(mid, frame).withColumns({"u": u, "v": v}).drop("mid_u", "mid_v")
+    moved = flow.join(mid, frame).withColumns({"u": F.col("u") - F.col("mid_u"), "v": F.col("v") - F.col("mid_v")})
     turn = F.atan2("v", "u")
-    return moved.withColumns({"magnitude": F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v")),
-                              "direction": F.when(turn < 0, turn + 2 * math.pi).otherwise(turn)})
+    return moved.drop("mid_u", "mid_v").withColumns({
+        "magnitude": F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v")),
+        "direction": F.when(turn < 0, turn + 2 * math.pi).otherwise(turn)})
 
 
-def with_active_flag(samples: DataFrame, frame: str = "frame_id", zone: str = "zone_id",
-                     rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Mark samples at or above max(0.2, 75th percentile) of the zone; with fewer than 16 of those, at or above 0.2."""
-    keys = [frame, zone]
-    quart = exact_percentiles(samples, keys, {"q": ("magnitude", K.MOTION_QUANTILE)}, rows_per_chunk)
-    cut = F.greatest(F.lit(K.MIN_MOTION), F.col("q"))
-    strong = F.col("magnitude") >= cut
-    marked = samples.join(quart, keys).withColumn("_strong", strong)
-    # the count is a pre-aggregated side, so a frame with very many samples never meets in one task
-    n = marked.groupBy(*keys).agg(F.count_if("_strong").alias("_n"))
-    return marked.join(n, keys).withColumn("active", F.when(F.col("_n") < K.MIN_ACTIVE_SAMPLES,
-                                                            F.col("magnitude") >= K.MIN_MOTION).otherwise(F.col("_strong"))) \
-        .drop("q", "_strong", "_n")
+def zone_features(flow: DataFrame, frame: str = "frame_id", zone: str = "zone_id", rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Compensated motion features; one size check of the frames decides for both percentile steps."""
+    limit = None if fits(flow, [frame], rows_per_chunk) else rows_per_chunk
+    return motion_features(compensate_global_motion(flow, frame, limit), frame, zone, limit)
 
 
 def direction_bin(direction):
@@ -42,25 +33,37 @@ def direction_bin(direction):
 
 
 def motion_features(samples: DataFrame, frame: str = "frame_id", zone: str = "zone_id",
-                    rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Mean and variance of speed, direction entropy, divergence, turbulence and occupancy of active samples."""
-    marked = with_active_flag(samples, frame, zone, rows_per_chunk)
-    on = lambda c: F.when(F.col("active"), F.col(c))
-    in_bin = [F.count_if(F.col("active") & (direction_bin(F.col("direction")) == b)).alias(f"_b{b}")
-              for b in range(K.DIRECTION_BINS)]
-    totals = marked.groupBy(frame, zone).agg(
-        F.count(F.lit(1)).alias("samples"), F.count_if("active").alias("active_samples"),
-        F.coalesce(F.avg(on("magnitude")), F.lit(0.0)).alias("speed_mean"),
-        F.coalesce(F.var_pop(on("magnitude")), F.lit(0.0)).alias("speed_var"),
-        F.coalesce(F.avg(on("divergence")), F.lit(0.0)).alias("divergence"),
-        F.coalesce(F.avg(on("turbulence")), F.lit(0.0)).alias("turbulence"), *in_bin)
-    bins = F.array(*[f"_b{b}" for b in range(K.DIRECTION_BINS)])
-    share = lambda n: n / F.col("active_samples")
-    entropy = F.aggregate(bins, F.lit(0.0), lambda acc, n: acc - F.when(n > 0, share(n) * F.log(share(n))).otherwise(0.0))
-    return totals.select(
-        frame, zone, "samples", "active_samples", "speed_mean", "speed_var",
-        F.when(F.col("active_samples") > 0, entropy / math.log(K.DIRECTION_BINS)).otherwise(0.0).alias("dir_entropy"),
-        "divergence", "turbulence", S.clamp(F.col("active_samples") / F.col("samples")).alias("occupancy"))
+                    rows_per_chunk: int | None = ROWS_PER_CHUNK) -> DataFrame:
+    """Mean and variance of speed, direction entropy, divergence, turbulence and occupancy of active samples.
+
+    Active means at or above max(0.2, 75th percentile) of the zone; where fewer than 16 samples are, at or
+    above 0.2. Both readings are aggregated in the same pass and the right one is taken afterwards.
+    """
+    keys = [frame, zone]
+    quart = exact_percentiles(samples, keys, {"_q": ("magnitude", K.MOTION_QUANTILE)}, rows_per_chunk)
+    tests = {"s": F.col("magnitude") >= F.greatest(F.lit(K.MIN_MOTION), F.col("_q")), "w": F.col("magnitude") >= K.MIN_MOTION}
+    rows = samples.join(quart, keys).withColumns({f"_on_{t}": test for t, test in tests.items()}) \
+        .withColumn("_bin", direction_bin(F.col("direction")))
+    totals = [F.count(F.lit(1)).alias("samples")]
+    for t in tests:
+        on = lambda c, flag=f"_on_{t}": F.when(F.col(flag), F.col(c))
+        totals += [F.count_if(f"_on_{t}").alias(f"{t}_n"), F.avg(on("magnitude")).alias(f"{t}_speed_mean"),
+                   F.var_pop(on("magnitude")).alias(f"{t}_speed_var"), F.avg(on("divergence")).alias(f"{t}_divergence"),
+                   F.avg(on("turbulence")).alias(f"{t}_turbulence")]
+        totals += [F.count_if((on("_bin") == b)).alias(f"{t}_b{b}") for b in range(K.DIRECTION_BINS)]
+    wide = rows.groupBy(*keys).agg(*totals)
+    few = F.col("s_n") < K.MIN_ACTIVE_SAMPLES
+    pick = lambda name: F.when(few, F.col(f"w_{name}")).otherwise(F.col(f"s_{name}"))
+    names = ["n", "speed_mean", "speed_var", "divergence", "turbulence", *[f"b{b}" for b in range(K.DIRECTION_BINS)]]
+    taken = wide.select(*keys, "samples", *[pick(n).alias(n) for n in names])
+    share = lambda b: F.col(f"b{b}") / F.col("n")
+    terms = [F.when(F.col(f"b{b}") > 0, -share(b) * F.log(share(b))).otherwise(0.0) for b in range(K.DIRECTION_BINS)]
+    entropy = sum(terms[1:], terms[0]) / math.log(K.DIRECTION_BINS)
+    or_zero = lambda name: F.coalesce(name, F.lit(0.0)).alias(name)
+    return taken.select(
+        *keys, "samples", F.col("n").alias("active_samples"), or_zero("speed_mean"), or_zero("speed_var"),
+        F.when(F.col("n") > 0, entropy).otherwise(0.0).alias("dir_entropy"), or_zero("divergence"), or_zero("turbulence"),
+        S.clamp(F.col("n") / F.col("samples")).alias("occupancy"))
 
 
 def feature_rows(features: DataFrame, keys: list[str], order: list[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:

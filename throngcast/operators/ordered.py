@@ -155,16 +155,24 @@ def with_last_known(df: DataFrame, keys: list[str], order: list[str], column: st
     return _clean(c.with_carry(carry, ["_carry"]).withColumn(name, F.coalesce(local, "_carry")))
 
 
+def fits(df: DataFrame, keys: list[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> bool:
+    """Whether no key holds more rows than a chunk: one pre-aggregated count over the key columns."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return counts.filter(F.col("_rows") > rows_per_chunk).isEmpty()
+
+
 def exact_percentiles(df: DataFrame, keys: list[str], ranks: dict[str, tuple[str, float]],
-                      rows_per_chunk: int | None = ROWS_PER_CHUNK) -> DataFrame:
+                      rows_per_chunk: int | None = ROWS_PER_CHUNK, also: list[Column] = ()) -> DataFrame:
     """Linear-interpolation percentiles per key: one column per entry of ``ranks``, name -> (column, rank).
 
+    ``also``: further aggregates wanted of the same groups.
+
     Small keys use the built-in aggregate, in one pass. The values of a key with more rows than a chunk are
     ranked by running sums over their counts, so no task ever holds all of them. Pass None for
     ``rows_per_chunk`` when groups are bounded by nature (say, one row per zone): that saves the count.
     """
     direct = [F.percentile(value, F.lit(q)).alias(n) for n, (value, q) in ranks.items()]
-    light = lambda rows: rows.groupBy(*keys).agg(*direct) if keys else rows.agg(*direct)
+    light = lambda rows: rows.groupBy(*keys).agg(*direct, *also) if keys else rows.agg(*direct, *also)
     if rows_per_chunk is None:
         return light(df)
     one = F.count(F.lit(1)).alias("_rows")
@@ -178,6 +186,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], ranks: dict[str, tuple[str
     large = join_keys(df, F.broadcast(hot), keys, "left_semi") if keys else df
     parts = [_ranked_percentiles(large, keys, value, {n: q for n, (v, q) in ranks.items() if v == value}, rows_per_chunk)
              for value in dict.fromkeys(v for v, _ in ranks.values())]
+    if also:
+        parts.append(large.groupBy(*keys).agg(*also) if keys else large.agg(*also))
     if not keys:
         return reduce(lambda a, b: a.join(b), parts)          # one row each
     result = reduce(lambda a, b: join_keys(a, b, keys, "left", b.columns[len(keys):]),

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
 from ..functions import geometry as G, scalars as S
 from .zones import small_side
 
-HOTSPOT_LIMIT = 1000
+HOTSPOT_LIMIT = 200
 
 
 def checked_updates(raw: DataFrame, now_ms: Column | None = None) -> DataFrame:
@@ -65,22 +67,23 @@ def area_alerts(hotspots: DataFrame) -> DataFrame:
 def area_scores(areas: DataFrame, hotspots: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
     """Score of each area: its own alert, else the Gaussian influence of all hotspots on its centre.
 
-    Hotspots are few (checked) and become a literal array, so areas are never paired with a table.
+    Hotspots are few (checked) and become literals of one expression, so areas are never paired with a table.
     """
     spots = hotspots.select("lat", "lng", "intensity").limit(HOTSPOT_LIMIT + 1).collect()
     if len(spots) > HOTSPOT_LIMIT:
         raise ValueError(f"more than {HOTSPOT_LIMIT} hotspots")
-    estimate = F.lit(K.NO_HOTSPOT_SCORE)
-    if spots:
-        literal = F.array(*[F.struct(F.lit(s.lat).alias("lat"), F.lit(s.lng).alias("lng"),
-                                     F.lit(s.intensity).alias("intensity")) for s in spots])
-
-        def pull(s):
-            d = S.great_circle_m(F.col("lat"), F.col("lng"), s.lat, s.lng)
-            return s.intensity * F.exp(-(d * d) / (2 * K.HOTSPOT_SIGMA_M ** 2))
-        estimate = S.clamp(F.aggregate(F.transform(literal, pull), F.lit(0.0), lambda acc, x: acc + x))
-        estimate = F.when(F.col("lat").isNull() | F.col("lng").isNull(), K.NO_HOTSPOT_SCORE).otherwise(estimate)
-    rows = areas.withColumn("estimate", estimate)
+    # positions as points of the unit sphere: trigonometry once per area, only chords per hotspot
+    lat, lng = F.radians("lat"), F.radians("lng")
+    rows = areas.withColumns({"_ux": F.cos(lat) * F.cos(lng), "_uy": F.cos(lat) * F.sin(lng), "_uz": F.sin(lat)})
+    pull = F.lit(0.0)
+    for s in spots:
+        at = math.radians(s.lat), math.radians(s.lng)
+        v = (math.cos(at[0]) * math.cos(at[1]), math.cos(at[0]) * math.sin(at[1]), math.sin(at[0]))
+        dx, dy, dz = F.col("_ux") - v[0], F.col("_uy") - v[1], F.col("_uz") - v[2]
+        d = 2 * K.EARTH_RADIUS_M * F.asin(F.sqrt(dx * dx + dy * dy + dz * dz) / 2)
+        pull = pull + s.intensity * F.exp(-(d * d) / (2 * K.HOTSPOT_SIGMA_M ** 2))
+    no_centre = F.col("lat").isNull() | F.col("lng").isNull() | F.lit(not spots)
+    rows = rows.withColumn("estimate", F.when(no_centre, K.NO_HOTSPOT_SCORE).otherwise(S.clamp(pull))).drop("_ux", "_uy", "_uz")
     if explicit is None:
         return rows.withColumn("score", F.col("estimate"))
     named = explicit.select(S.area_key(F.col("planning_area")).alias("_key"), F.col("score").alias("_score"))

@@ -52,26 +52,23 @@ def roi_density(detections: DataFrame, cfg: RoiDensityConfig, keys: list[str] =
     keys, roi = list(keys), [tuple(p) for p in cfg.roi]
     cx, cy = G.box_centre(F.col("bbox"))
     at = [*keys, frame]
-    inside = detections.filter(G.valid_box(F.col("bbox"))).withColumns({"x": cx, "y": cy}) \
-        .filter(G.in_polygon(F.col("x"), F.col("y"), roi))
-    height = F.col("bbox")[3] - F.col("bbox")[1]
-    source = F.when(F.col("label") == "person", 1).when(F.col("label") == "head", 2)
-    body = F.when(F.col("label") == "person", height).otherwise(height * cfg.head_to_body_ratio)
-    sized = inside.filter(F.col("label").isin("person", "head") & (height > 0)) \
-        .select(*at, source.alias("source"), body.alias("h_px"))
-    best = sized.groupBy(*at).agg(F.min("source").alias("source"))
-    flat = inside.filter("label = 'head'").select(*at, "x", "y").join(best, at, "left_anti")
-    candidates = sized.join(best, at + ["source"], "left_semi").select(*at, "h_px")
-    if not flat.isEmpty():
-        tagged = flat.withColumn("_at", F.struct(*at))
-        spaced = nearest_spacing(tagged, "_at").select("_at.*", (F.col("spacing") * cfg.head_spacing_to_body_ratio).alias("h_px"))
-        candidates = candidates.unionByName(spaced)
-    valid = candidates.filter(F.col("h_px").between(cfg.min_h_px, cfg.max_h_px))
-    median = exact_percentiles(valid, at, {"h_med_px": ("h_px", 0.5)}, rows_per_chunk)
-    samples = valid.groupBy(*at).agg(F.count(F.lit(1)).alias("h_samples"))
-    heads = inside.groupBy(*at).agg(F.count_if(F.col("label") == "head").alias("heads"))
-    rows = detections.select(*at).distinct().join(heads, at, "left").join(samples, at, "left").join(median, at, "left") \
-        .withColumns({"heads": F.coalesce("heads", F.lit(0)), "h_samples": F.coalesce("h_samples", F.lit(0))})
+    x, y = F.col("_x"), F.col("_y")
+    rows = detections.withColumns({"_x": cx, "_y": cy, "_h": G.corner(F.col("bbox"), 3) - G.corner(F.col("bbox"), 1)}) \
+        .withColumn("_in", F.coalesce(G.valid_box(F.col("bbox")) & G.in_polygon(x, y, roi), F.lit(False)))
+    is_a = lambda label: F.col("_in") & (F.col("label") == label)
+    body = {"person": F.col("_h"), "head": F.col("_h") * cfg.head_to_body_ratio}
+    sized = {label: F.when(is_a(label) & (F.col("_h") > 0), h) for label, h in body.items()}
+    usable = lambda h: h.between(cfg.min_h_px, cfg.max_h_px)
+    rows = rows.withColumns({f"_{label}": h for label, h in sized.items()})
+    rows = rows.withColumns({f"_{label}_ok": F.when(usable(F.col(f"_{label}")), F.col(f"_{label}")) for label in sized})
+    totals = [F.count_if(is_a("head")).alias("heads"), F.count_if(is_a("head") & (F.col("_h") <= 0)).alias("_flat")]
+    totals += [F.count(f"_{label}{ok}").alias(f"n_{label}{ok}") for label in sized for ok in ("", "_ok")]
+    per = exact_percentiles(rows, at, {f"med_{label}": (f"_{label}_ok", 0.5) for label in sized}, rows_per_chunk, totals)
+    by_person = F.col("n_person") > 0
+    rows = per.select(*at, "heads", F.when(by_person, F.col("n_person_ok")).otherwise(F.col("n_head_ok")).alias("h_samples"),
+                      F.when(by_person, F.col("med_person")).otherwise(F.col("med_head")).alias("h_med_px"),
+                      ((F.col("n_person") + F.col("n_head") == 0) & (F.col("_flat") > 0)).alias("_by_spacing"))
+    rows = _with_spacing(rows, detections, at, roi, cfg, rows_per_chunk)
     raw = F.when(F.col("h_samples") >= cfg.min_samples, F.col("h_med_px") / cfg.avg_height_m)
     rows = rows.withColumn("scale_raw", F.when(raw > 1e-6, raw))
     start = "first" if cfg.init_scale_px_per_m is None else cfg.init_scale_px_per_m
@@ -84,6 +81,23 @@ def roi_density(detections: DataFrame, cfg: RoiDensityConfig, keys: list[str] =
     return rows.withColumn("level", F.when(known, S.people_per_m2_band(F.col("density"))).otherwise("unknown"))
 
 
+def _with_spacing(rows: DataFrame, detections: DataFrame, at: list[str], roi, cfg: RoiDensityConfig, rows_per_chunk: int) -> DataFrame:
+    """Frames that have heads but no body sizes take the height from the spacing of heads."""
+    wanted = rows.filter("_by_spacing").select(*at)
+    if wanted.isEmpty():
+        return rows.drop("_by_spacing")
+    cx, cy = G.box_centre(F.col("bbox"))
+    heads = detections.filter(G.valid_box(F.col("bbox")) & (F.col("label") == "head")).join(wanted, at, "left_semi") \
+        .select(F.struct(*at).alias("_at"), cx.alias("x"), cy.alias("y")).filter(G.in_polygon(F.col("x"), F.col("y"), roi))
+    spaced = nearest_spacing(heads, "_at").select("_at.*", (F.col("spacing") * cfg.head_spacing_to_body_ratio).alias("h"))
+    found = exact_percentiles(spaced.filter(F.col("h").between(cfg.min_h_px, cfg.max_h_px)), at, {"_med": ("h", 0.5)}, rows_per_chunk,
+                              [F.count(F.lit(1)).alias("_n")])
+    joined = rows.join(found, at, "left")
+    return joined.withColumns({"h_samples": F.when(F.col("_by_spacing"), F.coalesce("_n", F.lit(0))).otherwise(F.col("h_samples")),
+                               "h_med_px": F.when(F.col("_by_spacing"), F.col("_med")).otherwise(F.col("h_med_px"))}) \
+        .drop("_by_spacing", "_n", "_med")
+
+
 def affine_fit(anchors: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Least-squares plane for lat and lng over plan x, y: a_lat, b_lat, c_lat, a_lng, b_lng, c_lng.
 

@@ -23,19 +23,28 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
-def zone_of_point(x: Column, y: Column, zones=None, width: int = K.FRAME_WIDTH, height: int = K.FRAME_HEIGHT) -> Column:
-    """First zone holding the point (rounded half-even, inside the frame, borders included); no join, no shuffle."""
+def _zone_list(zones=None) -> list[tuple[str, list]]:
     zones = [(z, p) for z, _, _, p in K.ZONES] if zones is None else zones
     if len(zones) > LITERAL_ZONES:
         raise ValueError("use locate_in_grid for large zone sets")
-    px, py = S.round_half_even(x), S.round_half_even(y)
-    in_frame = (px >= 0) & (px < width) & (py >= 0) & (py < height)
-    out = F.when(F.lit(False), F.lit(""))
-    for zone, polygon in zones:
-        out = out.when(in_frame & G.in_polygon(px, py, polygon), F.lit(zone))
+    return zones
+
+
+def zone_number(px: Column, py: Column, zones=None, width: int = K.FRAME_WIDTH, height: int = K.FRAME_HEIGHT) -> Column:
+    """Position (from 0) of the first zone holding the whole-pixel point, borders included; NULL outside the frame.
+
+    One expression inside codegen: no join, no shuffle. Pass columns, every zone refers to the point several times.
+    """
+    out = F.when(~((px >= 0) & (px < width) & (py >= 0) & (py < height)), None)
+    for i, (_, polygon) in enumerate(_zone_list(zones)):
+        out = out.when(G.in_polygon(px, py, polygon), F.lit(i))
     return out
 
 
+def zone_name(number: Column, zones=None) -> Column:
+    return F.get(F.array(*[F.lit(z) for z, _ in _zone_list(zones)]), number)
+
+
 def locate_in_grid(points: DataFrame, zones: DataFrame, cell: float = 64.0,
                    width: int = K.FRAME_WIDTH, height: int = K.FRAME_HEIGHT) -> DataFrame:
     """The same for many polygons: equi join on grid cells, then the exact test, first zone by order.
@@ -58,17 +67,36 @@ def locate_in_grid(points: DataFrame, zones: DataFrame, cell: float = 64.0,
     return points.join(hits, "point_id", "left")
 
 
-def with_zone(detections: DataFrame, zones=None) -> DataFrame:
+def _numbered(detections: DataFrame, zones=None) -> DataFrame:
     cx, cy = G.box_centre(F.col("bbox"))
-    return detections.withColumn("zone_id", F.when(G.valid_box(F.col("bbox")), zone_of_point(cx, cy, zones)))
+    centred = detections.withColumns({"_px": S.round_half_even(cx), "_py": S.round_half_even(cy)})
+    number = F.when(G.valid_box(F.col("bbox")), zone_number(F.col("_px"), F.col("_py"), zones))
+    return centred.withColumn("_zone", number).drop("_px", "_py")
+
+
+def with_zone(detections: DataFrame, zones=None) -> DataFrame:
+    """Add the zone of the box centre, rounded half-even to a pixel; NULL without a valid box or outside."""
+    return _numbered(detections, zones).withColumn("zone_id", zone_name(F.col("_zone"), zones)).drop("_zone")
+
+
+def _per_zone(detections: DataFrame, zones, frame: str, *totals: Column) -> DataFrame:
+    """Totals per frame and zone, without the boxes outside all zones.
+
+    The zone that is filtered and joined on later is an aggregate (the maximum of equal numbers), not the
+    grouping column: a predicate on that would be pushed below the projection and repeat the whole zone test,
+    box arithmetic included, in one huge filter.
+    """
+    per = _numbered(detections, zones).groupBy(frame, "_zone").agg(F.max("_zone").alias("_no"), *totals)
+    named = per.filter("_no IS NOT NULL").withColumn("zone_id", zone_name(F.col("_no"), zones))
+    return named.select(frame, "zone_id", *per.columns[3:])
 
 
 def detections_by_zone(detections: DataFrame, frame: str = "frame_id", labels: list[str] | None = None,
                        zones=None) -> DataFrame:
     """Count and confidence sum per frame and zone; boxes outside all zones are dropped."""
     rows = detections if labels is None else detections.filter(F.col("label").isin(labels))
-    return (with_zone(rows, zones).filter("zone_id IS NOT NULL").groupBy(frame, "zone_id")
-            .agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("conf", F.lit(0.0))).alias("conf_sum")))
+    return _per_zone(rows, zones, frame, F.count(F.lit(1)).alias("n"),
+                     F.sum(F.coalesce("conf", F.lit(0.0))).alias("conf_sum"))
 
 
 def frame_zone_skeleton(frames: DataFrame, zone_rows: list[tuple[str, float]]) -> DataFrame:
@@ -96,8 +124,8 @@ def label_counts(detections: DataFrame, frame: str = "frame_id", zones=None) ->
     """People, vehicles and heads per frame and zone, with the combined activity share of the capacity."""
     caps = {z: c for z, _, c, _ in K.ZONES}
     tally = lambda label: F.count_if(F.col("label") == label)
-    counts = with_zone(detections, zones).filter("zone_id IS NOT NULL").groupBy(frame, "zone_id").agg(
-        tally("person").alias("people"), tally("vehicle").alias("vehicles"), tally("head").alias("heads"))
+    counts = _per_zone(detections, zones, frame, tally("person").alias("people"), tally("vehicle").alias("vehicles"),
+                       tally("head").alias("heads"))
     capacity = S.lookup(F.col("zone_id"), caps, F.lit(K.DEFAULT_CAPACITY))
     return counts.withColumn("activity", S.clamp((F.col("people") + F.col("vehicles")) / F.greatest(capacity, F.lit(1.0))))
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..session import prepare
 from .views import Tables, with_views
 
 
@@ -18,6 +19,7 @@ class Query:
     sql: str | None
 
     def run(self, spark: SparkSession, folder: str) -> DataFrame:
+        prepare(spark)
         return self.build(Tables(spark, folder))
 
 

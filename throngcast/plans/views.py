@@ -148,7 +148,7 @@ class Tables:
     def features(self) -> DataFrame:
         """Zone features per monthly frame, as one video."""
         from ..operators import motion
-        f = motion.motion_features(motion.compensate_global_motion(self.flow_samples))
+        f = motion.zone_features(self.flow_samples)
         # extracted once, then used as a stored table, as the feature files are
         return cut_lineage(f.withColumnRenamed("frame_id", "ts").withColumn("density", F.col("occupancy")))
 

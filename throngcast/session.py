@@ -30,6 +30,13 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
+def prepare(spark: SparkSession) -> None:
+    """Runtime settings the operators rely on, for sessions built elsewhere."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the cluster; a temporary one only in local mode."""
     context = spark.sparkContext
