@@ -54,6 +54,9 @@ def differences(df, con, sql):
     columns = sorted(names)
     want = sorted(([plain(r[names.index(c)]) for c in columns] for r in result.fetchall()), key=sort_key)
     got = sorted(([plain(r[c]) for c in columns] for r in got_rows), key=sort_key)
+    zeros = [any(isinstance(v, float) and v == 0 and math.copysign(1, v) < 0 for r in side for v in r) for side in (got, want)]
+    if any(zeros):
+        print(f"  negative zeros: spark {zeros[0]}, sql {zeros[1]}")
     if len(got) != len(want):
         return f"{len(got)} rows != {len(want)}"
     bad = [(g, w) for g, w in zip(got, want) if not all(map(same, g, w))]

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import constants as K
 from ..functions import scalars as S
 from .folds import StaleMetric
-from .ordered import ROWS_PER_CHUNK, ordered_fold, with_last_known
+from .ordered import ROWS_PER_CHUNK, ordered_fold, single_row, with_last_known
 
 
 def valid_camera() -> Column:
@@ -68,7 +68,7 @@ def system_metrics(cameras: DataFrame, latest: DataFrame, now_ms: int) -> DataFr
     """Working cameras and users seen within 30 s, as one row."""
     working = cameras.agg(F.count_if(valid_camera()).alias("working_cameras"))
     users = latest.agg(F.count_if(F.lit(now_ms) - F.col("ts_ms") <= K.PRESENCE_MAX_AGE_MS).alias("total_users"))
-    return working.join(users).withColumn("generated_at", F.lit(now_ms).cast("bigint"))
+    return single_row(working, users).withColumn("generated_at", F.lit(now_ms).cast("bigint"))
 
 
 def metric_with_staleness(samples: DataFrame, keys: list[str], order: list[str] = ("ts_ms",),

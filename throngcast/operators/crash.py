@@ -21,22 +21,18 @@ def sampled(frames: DataFrame, keys: list[str], order: list[str], source_fps: fl
         .withColumn("processed_index", F.floor(F.col("source_index") / stride))
 
 
-def count_windows(frames: DataFrame, keys: list[str], order: list[str], size: int, keep_partial: bool = False,
+def count_windows(frames: DataFrame, keys: list[str], order: list[str], size: int,
                   rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Add ``window_index`` and ``window_pos`` of consecutive windows of ``size`` rows; a short last one is dropped."""
+    """Add ``row_index``, ``window_index`` and ``window_pos`` of consecutive windows of ``size`` rows."""
     rows = with_row_index(frames, keys, order, "row_index", rows_per_chunk)
-    rows = rows.withColumns({"window_index": F.floor(F.col("row_index") / size), "window_pos": F.col("row_index") % size})
-    if keep_partial:
-        return rows
-    totals = frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-    return rows.join(totals, keys).filter((F.col("window_index") + 1) * size <= F.col("_total")).drop("_total")
+    return rows.withColumns({"window_index": F.floor(F.col("row_index") / size), "window_pos": F.col("row_index") % size})
 
 
 def crash_windows(frames: DataFrame, keys: list[str] = ("video",), order: list[str] = ("frame_idx",),
                   cfg: CrashConfig = CrashConfig(), rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Ten motion, brightness and edge statistics per full window."""
+    """Ten motion, brightness and edge statistics per full window; a short last window is dropped."""
     size, keys = cfg.frames_per_window, list(keys)
-    rows = count_windows(frames, keys, list(order), size, rows_per_chunk=rows_per_chunk)
+    rows = count_windows(frames, keys, list(order), size, rows_per_chunk)
     inside = Window.partitionBy(*keys, "window_index").orderBy("window_pos")      # at most ``size`` rows
     jerk = F.abs(F.col("motion") - F.lag("motion").over(inside))
     return rows.withColumn("jerk", jerk).groupBy(*keys, "window_index").agg(
@@ -44,7 +40,8 @@ def crash_windows(frames: DataFrame, keys: list[str] = ("video",), order: list[s
         F.max("motion").alias("motion_max"), F.percentile("motion", F.lit(0.9)).alias("motion_p90"),
         F.coalesce(F.avg("jerk"), F.lit(0.0)).alias("jerk_mean"), F.coalesce(F.max("jerk"), F.lit(0.0)).alias("jerk_max"),
         F.avg("brightness").alias("bright_mean"), F.stddev_pop("brightness").alias("bright_std"),
-        F.avg("edge").alias("edge_mean"), F.stddev_pop("edge").alias("edge_std")) \
+        F.avg("edge").alias("edge_mean"), F.stddev_pop("edge").alias("edge_std"), F.count(F.lit(1)).alias("_rows")) \
+        .filter(F.col("_rows") == size).drop("_rows") \
         .withColumns({"start_sec": F.col("window_index") * size / F.lit(cfg.sample_fps),
                       "end_sec": (F.col("window_index") + 1) * size / F.lit(cfg.sample_fps)})
 
@@ -53,7 +50,7 @@ def accident_windows(frames: DataFrame, size: int, fps: float, keys: list[str] =
                      detect_every: int = 1, threshold: float = 0.5, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Highest frame score per window, the short last one kept; between detections the last score is carried."""
     keys = list(keys)
-    rows = count_windows(frames, keys, list(order), size, True, rows_per_chunk)
+    rows = count_windows(frames, keys, list(order), size, rows_per_chunk)
     rows = rows.withColumn("_seen", F.when(F.col("row_index") % detect_every == 0, F.coalesce("score", F.lit(0.0))))
     if detect_every > 1:
         rows = with_last_known(rows, keys, ["row_index"], "_seen", "_score", rows_per_chunk=rows_per_chunk)
@@ -97,8 +94,11 @@ def clip_rows(videos: DataFrame, frames: str = "frames", clip_len: int = 16, max
 def clip_centres(frames: DataFrame, keys: list[str], order: list[str], clip_len: int = 16,
                  rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """The representative (middle) row of each full clip."""
-    return count_windows(frames, keys, order, clip_len, rows_per_chunk=rows_per_chunk) \
-        .filter(F.col("window_pos") == clip_len // 2).withColumnRenamed("window_index", "clip_index").drop("window_pos", "row_index")
+    rows = count_windows(frames, keys, order, clip_len, rows_per_chunk)
+    rest = [c for c in frames.columns if c not in keys]
+    middle = F.max_by(F.struct(*rest), (F.col("window_pos") == clip_len // 2).cast("int"))
+    return rows.groupBy(*keys, F.col("window_index").alias("clip_index")).agg(F.count(F.lit(1)).alias("_rows"), middle.alias("_m")) \
+        .filter(F.col("_rows") == clip_len).select(*keys, "clip_index", "_m.*")
 
 
 def detection_frame(frames: DataFrame, keys: list[str], order: list[str], every: int, carry: bool = True,
@@ -111,7 +111,3 @@ def detection_frame(frames: DataFrame, keys: list[str], order: list[str], every:
         rows = with_last_known(rows.withColumnRenamed("det_frame", "_f"), keys, ["row_index"], "_f", "det_frame",
                                rows_per_chunk=rows_per_chunk).drop("_f")
     return rows
-
-
-def centre_flag(score: Column, threshold: float) -> Column:
-    return score >= threshold

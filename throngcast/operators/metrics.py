@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .. import constants as K
 from ..config import MilConfig
 from ..functions import scalars as S
-from .ordered import ROWS_PER_CHUNK, exact_percentiles, with_previous, with_running_sum, with_row_index
+from .ordered import ROWS_PER_CHUNK, exact_percentiles, with_previous, single_row, with_running_sum, with_row_index
 from .zones import small_side
 
 
@@ -62,7 +62,7 @@ def classification_metrics(rows: DataFrame, label: str = "label", score: str = "
     wins = ranked.agg((F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
     total = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
     f1_base = 2 * F.col("tp") + F.col("fp") + F.col("fn")
-    return parts.join(wins).select(((F.col("tp") + F.col("tn")) / total).alias("accuracy"),
+    return single_row(parts, wins).select(((F.col("tp") + F.col("tn")) / total).alias("accuracy"),
                                    F.when(f1_base > 0, 2 * F.col("tp") / f1_base).otherwise(0.0).alias("f1"), "auc")
 
 

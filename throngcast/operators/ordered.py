@@ -155,6 +155,12 @@ def with_last_known(df: DataFrame, keys: list[str], order: list[str], column: st
     return _clean(c.with_carry(carry, ["_carry"]).withColumn(name, F.coalesce(local, "_carry")))
 
 
+def single_row(*frames: DataFrame) -> DataFrame:
+    """The columns of several one-row tables side by side, without a join."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return rows.agg(*[F.first(c, ignorenulls=True).alias(c) for f in frames for c in f.columns])
+
+
 def fits(df: DataFrame, keys: list[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> bool:
     """Whether no key holds more rows than a chunk: one pre-aggregated count over the key columns."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
@@ -189,7 +195,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], ranks: dict[str, tuple[str
     if also:
         parts.append(large.groupBy(*keys).agg(*also) if keys else large.agg(*also))
     if not keys:
-        return reduce(lambda a, b: a.join(b), parts)          # one row each
+        return single_row(*parts)
     result = reduce(lambda a, b: join_keys(a, b, keys, "left", b.columns[len(keys):]),
                     parts, hot)
     small = light(join_keys(df, F.broadcast(hot), keys, "left_anti"))
@@ -198,8 +204,11 @@ def exact_percentiles(df: DataFrame, keys: list[str], ranks: dict[str, tuple[str
 
 def _ranked_percentiles(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, float], rows_per_chunk: int) -> DataFrame:
     weights = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
-    total = weights.groupBy(*keys).agg(F.sum("_w").alias("_rows")) if keys else weights.agg(F.sum("_w").alias("_rows"))
-    weights = join_keys(weights, F.broadcast(total), keys, "inner", ["_rows"]) if keys else weights.join(F.broadcast(total))
+    if keys:        # one row per large key
+        total = weights.groupBy(*keys).agg(F.sum("_w").alias("_rows"))
+        weights = join_keys(weights, F.broadcast(total), keys, "inner", ["_rows"])
+    else:
+        weights = weights.withColumn("_rows", F.lit(weights.agg(F.sum("_w")).first()[0]))
     ranked = with_running_sum(weights, keys, [value], F.col("_w"), "_upto", rows_per_chunk)
     picks = []
     for name, q in ranks.items():

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import constants as K
 from ..functions import geometry as G, scalars as S
+from ..session import cut_lineage
 
 LITERAL_ZONES = 64      # up to here a zone set is compiled into one CASE expression
 BROADCAST_ROWS = 100_000
@@ -18,9 +19,13 @@ def default_zones(spark: SparkSession) -> DataFrame:
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint when a dimension really is small; above the limit the optimizer decides."""
-    few = df.limit(limit + 1).count() <= limit
-    return F.broadcast(df) if few else df
+    """A dimension of few, narrow rows for a join: computed once, and broadcast only if it really is small.
+
+    Such sides are often aggregates over the big table. They are checkpointed, so the size check and the
+    join read the result instead of computing it twice; above the limit the optimizer picks the join.
+    """
+    kept = cut_lineage(df)
+    return F.broadcast(kept) if kept.limit(limit + 1).count() <= limit else kept
 
 
 def _zone_list(zones=None) -> list[tuple[str, list]]:

@@ -35,6 +35,6 @@ def query(name: str, covers: str, sql: str | None = None, recursive: bool = Fals
 
 
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
-    """Doubles to a fixed number of digits, so both engines print the same value."""
-    return df.select(*[F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+    """Doubles to a fixed number of digits (and no negative zero), so both engines print the same value."""
+    return df.select(*[(F.round(f.name, digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
                        for f in df.schema.fields])

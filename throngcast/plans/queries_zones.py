@@ -258,12 +258,12 @@ def _(t):
 
 
 @query("projected_points", "J14 A25", """
-    SELECT s_suppkey AS id, CASE WHEN s_suppkey % 10 = 0 THEN 'anchor' ELSE 'fitted' END AS source, round(1.2e0 + 0.001e0 * (s_suppkey % 37) + 0.002e0 * s_nationkey, 6) AS lat
+    SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'anchor' ELSE 'fitted' END AS source, round(1.2e0 + 0.001e0 * (s_suppkey % 37) + 0.002e0 * s_nationkey, 6) AS lat
     FROM supplier""")
 def _(t):
-    """Suppliers on a plan; every tenth is an anchor on a known plane, which the fit recovers."""
+    """Suppliers on a plan; every third is an anchor on a known plane, which the fit recovers."""
     n = t.read("supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 37).cast("double").alias("x"), F.col("s_nationkey").cast("double").alias("y"))
-    anchors = n.filter("id % 10 = 0").select("id", "x", "y", (1.2 + 0.001 * F.col("x") + 0.002 * F.col("y")).alias("lat"),
+    anchors = n.filter("id % 3 = 0").select("id", "x", "y", (1.2 + 0.001 * F.col("x") + 0.002 * F.col("y")).alias("lat"),
                                              (103.6 + 0.003 * F.col("x") - 0.001 * F.col("y")).alias("lng"))
     fit = spatial.affine_fit(anchors).first()
     return rounded(spatial.project(n, fit, anchors).select("id", "source", "lat"), 6)

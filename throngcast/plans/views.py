@@ -237,7 +237,7 @@ SQL = {
                 SELECT m.*, magnitude >= greatest(0.2e0, q) AS strong FROM moving m JOIN (
                     SELECT frame_id, zone_id, quantile_cont(magnitude, 0.75) AS q FROM moving GROUP BY ALL) USING (frame_id, zone_id)))""",
     "features": """
-        SELECT frame_id AS ts, zone_id, samples, active_samples, speed_mean, speed_var, coalesce(entropy, 0e0) AS dir_entropy,
+        SELECT frame_id AS ts, zone_id, samples, active_samples, speed_mean, speed_var, coalesce(entropy, 0e0) + 0e0 AS dir_entropy,
                divergence, turbulence, active_samples / CAST(samples AS DOUBLE) AS density FROM (
             SELECT frame_id, zone_id, count(*) AS samples, count(*) FILTER (active) AS active_samples,
                    coalesce(avg(magnitude) FILTER (active), 0e0) AS speed_mean,
