@@ -208,16 +208,35 @@ def _(t):
     return rounded(R.global_max(_states(t)))
 
 
-@query("fall_events", "W26 T08", None)
+_FALL = """
+    SELECT device, 0 AS rn, CAST(NULL AS BIGINT) AS arrival, 'idle' AS phase, CAST(NULL AS VARCHAR) AS event, 0 AS fell, 0 AS hit, ts AS moved, 1e0 AS before, 0 AS prompted
+    FROM samples WHERE rn = 1
+    UNION ALL
+    SELECT device, rn, arrival, next, CASE WHEN phase = 'prompt' AND next = 'idle' THEN 'emergency' WHEN phase = 'impact' AND next = 'prompt' THEN 'prompt' END,
+           CASE WHEN phase = 'idle' AND next = 'freefall' THEN ts ELSE fell END, CASE WHEN phase = 'freefall' AND next = 'impact' THEN ts ELSE hit END,
+           CASE WHEN phase = 'freefall' AND next = 'impact' THEN ts ELSE moved END, CASE WHEN phase = 'prompt' THEN before ELSE m END,
+           CASE WHEN phase = 'impact' AND next = 'prompt' THEN ts ELSE prompted END FROM (
+        SELECT *, CASE phase WHEN 'prompt' THEN CASE WHEN ts - prompted >= 15000 THEN 'idle' ELSE 'prompt' END
+                WHEN 'idle' THEN CASE WHEN m < 0.45e0 THEN 'freefall' ELSE 'idle' END
+                WHEN 'freefall' THEN CASE WHEN ts - fell > 2200 THEN 'idle' WHEN m > 2.2e0 THEN 'impact' ELSE 'freefall' END
+                ELSE CASE WHEN ts - hit >= 10000 AND ts - moved >= 10000 THEN 'prompt' WHEN ts - hit > 16000 THEN 'idle' ELSE 'impact' END END AS next FROM (
+            SELECT s.device, s.rn, s.arrival, s.ts, s.m, f.phase, f.fell, f.hit, f.before, f.prompted,
+                   CASE WHEN f.phase <> 'prompt' AND (abs(s.m - f.before) > 0.16e0 OR abs(s.m - 1) > 0.16e0) THEN s.ts ELSE f.moved END AS moved
+            FROM falls f JOIN samples s ON s.device = f.device AND s.rn = f.rn + 1))"""
+
+
+@query("fall_events", "W26 T08", "SELECT arrival, phase, event AS fall_event FROM falls WHERE rn > 0", recursive=True, views={
+    "samples": """SELECT *, row_number() OVER (PARTITION BY device ORDER BY ts, arrival) AS rn FROM (
+        SELECT event_id AS arrival, user_id % 10 AS device, (epoch_us(ts) // 1000) // 2000 AS ts, CASE WHEN value < 20 THEN 0.2e0 WHEN value > 60 THEN 3e0 ELSE 1e0 END AS m FROM events)""",
+    "falls": _FALL})
 def _(t):
     """Accelerometer magnitudes derived from the events: calm, free fall and impact phases per user."""
     e = t.read("events").select(
         F.col("event_id").alias("arrival"), (F.col("user_id") % 10).alias("device"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"),
         F.col("value"))
-    samples = e.withColumn("ts", F.floor(F.col("ms") / 1000)).withColumn(
-        "magnitude", F.when(F.col("value") < 40, 0.2).when(F.col("value") > 200, 3.0).otherwise(1.0))
-    out = ordered_fold(samples, ["device"], ["ts", "arrival"], folds.FallDetector())
-    return out.groupBy("device", "phase", "fall_event").agg(F.count(F.lit(1)).alias("n"))
+    samples = e.withColumn("ts", F.floor(F.col("ms") / 2000)).withColumn(
+        "magnitude", F.when(F.col("value") < 20, 0.2).when(F.col("value") > 60, 3.0).otherwise(1.0))
+    return ordered_fold(samples, ["device"], ["ts", "arrival"], folds.FallDetector()).select("arrival", "phase", "fall_event")
 
 
 @query("newest_incidents", "W25", """

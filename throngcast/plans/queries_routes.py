@@ -222,10 +222,19 @@ def supply_edges(t):
     return rows.filter("dst IS NOT NULL AND src <> dst").groupBy("src", "dst").agg(F.avg("l_quantity").alias("length"), F.count(F.lit(1)).alias("n"))
 
 
-@query("supply_distances", "G02 G05", None)
+@query("supply_distances", "G02 G05", """, dist(source, node, cost) USING KEY (source, node) AS (
+    SELECT node, node, 0e0 FROM starts
+    UNION SELECT source, dst, min(c) FROM (
+        SELECT d.source, e.dst, d.cost + e.length AS c, r.cost AS known FROM dist d JOIN supply e ON e.src = d.node
+        LEFT JOIN recurring.dist r ON r.source = d.source AND r.node = e.dst) WHERE known IS NULL OR c < known GROUP BY source, dst)
+    SELECT source, node, round(cost, 6) AS cost FROM dist""", recursive=True, views={
+        "starts": "SELECT CAST(min(s_suppkey) AS VARCHAR) AS node FROM supplier GROUP BY s_nationkey",
+        "supply": """SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, avg(q) AS length FROM (
+            SELECT l_suppkey AS src, lead(l_suppkey) OVER w AS dst, l_quantity AS q FROM lineitem
+            WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)) WHERE dst IS NOT NULL AND src <> dst GROUP BY ALL"""})
 def _(t):
     """Cheapest distance from each nation's first supplier to every supplier, over the larger graph."""
     arcs = supply_edges(t).select(F.concat_ws("-", "src", "dst").alias("edge_id"), F.col("src").cast("string").alias("src"),
                                   F.col("dst").cast("string").alias("dst"), F.col("length").alias("cost"))
     starts = t.read("supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").cast("string").alias("node")).select("node")
-    return rounded(graph.cheapest_routes(arcs, starts).select("source", "node", "cost", "hops"), 6)
+    return rounded(graph.cheapest_routes(arcs, starts).select("source", "node", "cost"), 6)
