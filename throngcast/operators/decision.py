@@ -78,6 +78,12 @@ def guidance(decisions: DataFrame, target: str = "target") -> DataFrame:
         "guidance_severity": pick(3)})
 
 
+def route_requests(raw: DataFrame) -> DataFrame:
+    """Start node of a route request, from the current or the older field name."""
+    start = F.coalesce(S.clean_text(F.col("currentNodeId")), S.clean_text(F.col("fromNodeId")))
+    return raw.withColumn("current_node", start).drop("currentNodeId", "fromNodeId")
+
+
 def targets(decisions: DataFrame, exits_by_node: DataFrame, mode: str) -> DataFrame:
     """Where to send rerouted users: the best exit in an evacuation, else their own destination; none drops them."""
     rows = decisions.filter("action = 'REROUTE'")

@@ -6,10 +6,6 @@ from importlib import import_module
 def load_all():
     """All registered queries by name."""
     from . import catalog
-    for part in ("risk", "zones", "routes", "presence", "video", "models", "streams"):
-        try:
-            import_module(f"{__name__}.queries_{part}")
-        except ModuleNotFoundError as e:
-            if f"queries_{part}" not in str(e):
-                raise
+    for part in ("risk", "zones", "routes", "presence", "video", "models", "streams", "files"):
+        import_module(f"{__name__}.queries_{part}")
     return catalog.QUERIES

@@ -64,5 +64,12 @@ def with_source_video(specs: DataFrame, videos: DataFrame) -> tuple[DataFrame, D
     return specs.join(known, keys, "left_semi"), missing
 
 
+def same_labels(names: Column, wanted: list[str] = tuple(K.COCO_VEHICLES.values())) -> Column:
+    """Whether a model's class names are exactly the wanted set (any order, case and blanks aside)."""
+    clean = F.transform(names, lambda n: F.lower(F.trim(n)))
+    target = F.array(*[F.lit(w) for w in wanted])
+    return (F.size(names) == len(wanted)) & (F.size(F.array_except(clean, target)) == 0) & (F.size(F.array_except(target, clean)) == 0)
+
+
 def last_artifact(files: DataFrame, suffix: str) -> DataFrame:
     return files.filter(F.col("path").endswith(suffix)).agg(F.max("path").alias("path"))
