@@ -105,7 +105,6 @@ def status_tally(rows: DataFrame, key: str = "source", status: str = "status",
 
 
 def kept_images(boxes: DataFrame, image: str = "image", min_boxes: int = 1) -> DataFrame:
-    """Label text per image with enough boxes; the lines of one image are as many as its boxes."""
-    return boxes.groupBy(image).agg(F.count(F.lit(1)).alias("boxes"), F.array_join(
-        F.transform(F.sort_array(F.collect_list(F.struct("det_id", "line"))), lambda b: b.line), "\n").alias("label_text")) \
-        .filter(F.col("boxes") >= min_boxes)
+    """Label lines of the images with enough boxes, as rows: an image with very many boxes is never gathered."""
+    enough = boxes.groupBy(image).agg(F.count(F.lit(1)).alias("boxes")).filter(F.col("boxes") >= min_boxes)
+    return boxes.join(enough.select(image), image, "left_semi")

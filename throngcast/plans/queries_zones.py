@@ -275,12 +275,12 @@ def _(t):
 
 
 @query("label_lines", "A37 P12 P23", """
-    SELECT image, count(*) AS boxes, string_agg(text, chr(10) ORDER BY l_partkey, l_suppkey, line, text) AS label_text FROM (
-        SELECT frame_id AS image, l_partkey, l_suppkey, line, format('{} {:.6f} {:.6f} {:.6f} {:.6f}', l_suppkey % 5, (x1 + (x2 - x1) * 0.5e0) / 320,
-               (y1 + (y2 - y1) * 0.5e0) / 240, (x2 - x1) / 320, (y2 - y1) / 240) AS text FROM detections WHERE label = 'vehicle') GROUP BY image HAVING count(*) >= 2""")
+    SELECT frame_id AS image, l_partkey, l_suppkey, line AS line_no, format('{} {:.6f} {:.6f} {:.6f} {:.6f}', l_suppkey % 5, (x1 + (x2 - x1) * 0.5e0) / 320,
+           (y1 + (y2 - y1) * 0.5e0) / 240, (x2 - x1) / 320, (y2 - y1) / 240) AS line FROM detections d
+    WHERE label = 'vehicle' AND (SELECT count(*) FROM detections o WHERE o.frame_id = d.frame_id AND o.label = 'vehicle') >= 2""")
 def _(t):
     from ..operators.metrics import kept_images
     lines = t.detections.filter("label = 'vehicle'").select(
-        F.col("frame_id").alias("image"), F.struct("l_partkey", "l_suppkey", "line").alias("det_id"),
+        F.col("frame_id").alias("image"), "l_partkey", "l_suppkey", F.col("line").alias("line_no"),
         G.label_line(F.col("l_suppkey") % 5, F.col("bbox"), K.FRAME_WIDTH, K.FRAME_HEIGHT).alias("line"))
     return kept_images(lines, min_boxes=2)
