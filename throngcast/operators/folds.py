@@ -41,41 +41,55 @@ class RiskState(Fold):
 
     def run(self, state, columns):
         cfg = self.cfg
-        holds = (0, 0, 0, 0)     # ms above warn, above critical, below warn, below critical
-        if state:
-            ema, slope, severity, since, last = state[:5]
-            holds = tuple(state[5:])
-        rows = []
-        for ts, risk in zip(columns[self.ts].tolist(), columns[self.risk].astype(float).tolist()):
-            if cfg.clamp_to_unit:
-                risk = min(1.0, max(0.0, risk)) if risk == risk else risk
-            if state is None:
-                ema, slope, since, last = risk, 0.0, ts, ts
-                severity = "critical" if risk >= cfg.critical_up else "warn" if risk >= cfg.warn_up else "info"
-                state = ()
-                rows.append((ema, slope, "flat", severity, False))
-                continue
-            dt = max(0, ts - last)
-            average = cfg.ema_alpha * risk + (1 - cfg.ema_alpha) * ema
-            if dt > 0:
+        take, keep = cfg.ema_alpha, 1 - cfg.ema_alpha
+        warn_up, critical_up, warn_down, critical_down = cfg.warn_up, cfg.critical_up, cfg.warn_down, cfg.critical_down
+        risks = columns[self.risk].astype(float)
+        if cfg.clamp_to_unit:
+            risks = np.clip(risks, 0.0, 1.0)
+        times, risks = columns[self.ts].tolist(), risks.tolist()
+        averages, slopes, severities, changes = [], [], [], []
+        if state is None:
+            ema, since, last = risks[0], times[0], times[0]
+            severity = "critical" if ema >= critical_up else "warn" if ema >= warn_up else "info"
+            # held times: above warn, above critical, below warn, below critical
+            slope, above_w, above_c, below_w, below_c = 0.0, 0, 0, 0, 0
+            averages.append(ema)
+            slopes.append(slope)
+            severities.append(severity)
+            times, risks = times[1:], risks[1:]
+        else:
+            ema, slope, severity, since, last, above_w, above_c, below_w, below_c = state
+        begun = len(averages)
+        for i, (ts, risk) in enumerate(zip(times, risks), begun):
+            dt = ts - last if ts > last else 0
+            average = take * risk + keep * ema
+            if dt:
                 slope = (average - ema) / (dt / 1000)
             ema, last = average, ts
-            tests = (ema >= cfg.warn_up, ema >= cfg.critical_up, ema <= cfg.warn_down, ema <= cfg.critical_down)
-            holds = tuple(held + dt if on else 0 for held, on in zip(holds, tests))
-            target = severity
+            above_w = above_w + dt if ema >= warn_up else 0
+            above_c = above_c + dt if ema >= critical_up else 0
+            below_w = below_w + dt if ema <= warn_down else 0
+            below_c = below_c + dt if ema <= critical_down else 0
             if ts - since >= cfg.min_change_interval_ms:
-                target = self._next(severity, holds)
-            changed = target != severity
-            if changed:
-                severity, since = target, ts
-            trend = "rising" if slope > cfg.slope_eps else "falling" if slope < -cfg.slope_eps else "flat"
-            rows.append((ema, slope, trend, severity, changed))
-        names = ["risk_ema", "slope_per_sec", "trend", "severity", "changed"]
-        return (ema, slope, severity, since, last, *holds), {n: _object(r[i] for r in rows) for i, n in enumerate(names)}
-
-    def _next(self, severity, holds):
+                target = self._next(severity, above_w, above_c, below_w, below_c)
+                if target != severity:
+                    severity, since = target, ts
+                    changes.append(i)
+            averages.append(ema)
+            slopes.append(slope)
+            severities.append(severity)
+        slope_array = np.array(slopes)
+        changed = np.zeros(len(averages), dtype=bool)
+        changed[changes] = True
+        trend = np.where(slope_array > cfg.slope_eps, "rising", np.where(slope_array < -cfg.slope_eps, "falling", "flat"))
+        if state is None:
+            trend[0] = "flat"
+        return (ema, slope, severity, since, last, above_w, above_c, below_w, below_c), {
+            "risk_ema": np.array(averages), "slope_per_sec": slope_array, "trend": trend.astype(object),
+            "severity": _object(severities), "changed": changed}
+
+    def _next(self, severity, above_warn, above_critical, below_warn, below_critical):
         cfg = self.cfg
-        above_warn, above_critical, below_warn, below_critical = holds
         if severity == "info" and above_warn >= cfg.to_warn_hold_ms:
             return "warn"
         if severity == "warn" and above_critical >= cfg.to_critical_hold_ms:
