@@ -142,7 +142,7 @@ def _(t):
 
 
 @query("status_tally", "A31", """
-    SELECT l_shipmode AS source, count(*) FILTER (s = 'F') AS ok, count(*) FILTER (s = 'O') AS skip, 0 AS fail FROM (SELECT l_returnflag AS l_shipmode, l_linestatus AS s FROM lineitem) GROUP BY 1""")
+    SELECT l_shipmode AS source, count(*) FILTER (s = 'F') AS ok, count(*) FILTER (s = 'O') AS skip, CAST(0 AS BIGINT) AS fail FROM (SELECT l_returnflag AS l_shipmode, l_linestatus AS s FROM lineitem) GROUP BY 1""")
 def _(t):
     rows = t.read("lineitem").select(F.col("l_returnflag").alias("source"), F.when(F.col("l_linestatus") == "F", "ok").otherwise("skip").alias("status"))
     return M.status_tally(rows)

@@ -51,7 +51,7 @@ def routes(t):
 
 
 @query("shortest_paths", "G02 G05 F03", """
-    SELECT source, node, round(cost, 6) AS cost, len(nodes) - 1 AS hops, array_to_string(nodes, '>') AS route FROM best WHERE rn = 1""",
+    SELECT source, node, round(cost, 6) AS cost, CAST(len(nodes) - 1 AS INT) AS hops, array_to_string(nodes, '>') AS route FROM best WHERE rn = 1""",
        recursive=True, views={"walks": _WALKS, "best": _BEST})
 def _(t):
     return rounded(routes(t).select("source", "node", "cost", "hops", F.array_join("nodes", ">").alias("route")), 6)

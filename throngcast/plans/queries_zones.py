@@ -241,7 +241,7 @@ def _(t):
         SELECT year(l_shipdate) * 12 + month(l_shipdate) AS frame_id, l_partkey % 80 AS x, l_suppkey % 60 AS y, l_discount AS v FROM lineitem) GROUP BY frame_id""")
 def _(t):
     ship = F.col("l_shipdate").cast("timestamp")
-    cells = t.read("lineitem").select((F.year(ship) * 12 + F.month(ship)).alias("frame_id"), (F.col("l_partkey") % 80).alias("x"),
+    cells = t.read("lineitem").select((F.year(ship) * 12 + F.month(ship)).cast("bigint").alias("frame_id"), (F.col("l_partkey") % 80).alias("x"),
                                       (F.col("l_suppkey") % 60).alias("y"), F.col("l_discount").alias("v"))
     return rounded(Z.density_map_counts(cells, ROI, (320, 240), (80, 60)), 6)
 
