@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,11 +31,32 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application; their Python workers import the state machines."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    # only the driver reads this file, Spark distributes it
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='throngcast-package-')}/throngcast", "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    # the worker that starts a stream's processor runs next to the driver and does not see added files
+    known = context.environment.get("PYTHONPATH", "")
+    context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, str(package.parent)]))
+    _SHIPPED.add(context.applicationId)
 
 
 def prepare(spark: SparkSession) -> None:
-    """Runtime settings the operators rely on, for sessions built elsewhere."""
+    """Package and runtime settings the operators rely on, for sessions built elsewhere."""
+    ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
