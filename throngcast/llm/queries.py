@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare
-from . import aliases, chat, decontaminate, host_rules, main_text, packing, private_spans, simhash, site_lines
+from . import aliases, chat, decontaminate, host_rules, main_text, packing, private_spans, repeats, simhash, site_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,6 +45,12 @@ def tokenizer_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+@_query("op1_repeats")
+def _(table):
+    cut = repeats.remove_repeats(incidents(table("documents").select("doc_id", "text")))
+    return cut.select(F.col("incident_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", _hex(F.col("kept")).alias("kept_sha256"))
+
+
 @_query("op2_private_spans")
 def _(table):
     signals = table("documents").select(F.col("doc_id").alias("signal_id"), F.col("text").alias("note"))
