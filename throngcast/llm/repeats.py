@@ -23,7 +23,7 @@ SPAN = LENGTH - GRAM + 1                                 # grams in a window
 WIDTH = 2 * LENGTH - GRAM                                # bytes of the longest segment
 _MUL, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _POSITION = np.uint64((1 << 24) - 1)
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
 NEVER = np.iinfo(np.int64).max                           # order of a NULL id: after all others
 
 
@@ -117,9 +117,10 @@ def _hash_words(rows: np.ndarray) -> np.ndarray:
 def _segment_bytes(data: np.ndarray, first: np.ndarray, windows: np.ndarray) -> np.ndarray:
     """Rows of 88 bytes: each segment, zeros after its end."""
     wide = -(-WIDTH // 8) * 8
-    at = first[:, None] + np.arange(wide)
-    rows = np.where(np.arange(wide) < (windows + LENGTH - 1)[:, None], data[np.minimum(at, len(data) - 1)], np.uint8(0))
-    return np.ascontiguousarray(rows, np.uint8)
+    padded = np.concatenate((data, np.zeros(wide, np.uint8)))
+    rows = np.lib.stride_tricks.sliding_window_view(padded, wide)[first]
+    rows[np.arange(wide) >= (windows + LENGTH - 1)[:, None]] = 0
+    return rows
 
 
 def maximal_repeats(order: np.ndarray, lcp: np.ndarray, left: np.ndarray, least: int = LENGTH) -> Iterator[tuple[int, int, int]]:
@@ -378,8 +379,8 @@ def _compress(texts: pa.Array) -> pa.Array:
     return pa.array([zstandard.compress(t, 3) for t in texts.to_pylist()], pa.binary())
 
 
-def remove_repeats(incidents: DataFrame, description: str = "description", incident_id: str = "incident_id", part_bytes: int = 8 << 20,
-                   unit_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(incidents: DataFrame, description: str = "description", incident_id: str = "incident_id", part_bytes: int = 6 << 20,
+                   unit_bytes: int = 8 << 20) -> DataFrame:
     """(incident_id, n_bytes, n_removed, n_spans, kept) for every incident.
 
     Removes each byte covered by a string of LENGTH bytes that also starts in a description with a smaller incident_id. Strings
