@@ -79,7 +79,8 @@ def _buffer(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    """Anchors are minima, so their hashes are small numbers; they are mixed once more to spread evenly."""
+    return (((hashes * _MIX2) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _packed(**columns: np.ndarray | bytes) -> bytes:
