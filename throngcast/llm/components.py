@@ -29,6 +29,6 @@ def connected(edges: DataFrame) -> DataFrame:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     found = maps.pop()
     while maps:
-        later = found.withColumnsRenamed({"node": "root", "root": "last"})
+        later = found.select(F.col("node").alias("root"), F.col("root").alias("last"))
         found = written(maps.pop().join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root")), "roots")
     return found

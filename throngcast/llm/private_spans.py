@@ -29,9 +29,10 @@ WIDE = {
     "card": r"(?<![0-9])[0-9](?:[\x20./_-]{0,2}[0-9]){13,18}+(?![0-9])",
     "phone": r"(?<![0-9+])[+(]{0,2}[0-9](?:[\x20()./-]{0,3}[0-9]){8,14}+(?![0-9])",
 }
-#: A cheap sign without which no pattern of the kind fits.
-SIGN = {"email": r"@|(?i:[(\[]at[)\]])", "ip": r"[0-9](?:\.|\[|\()", "card": "[0-9]", "phone": "[0-9]"}
-BEFORE = 24
+#: Cheap signs without which no pattern of the kind fits.
+BASE_SIGN = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
+WIDE_SIGN = {"email": r"@|[(\[][Aa][Tt][)\]]", "ip": r"[0-9](?:\.|\[|\()", "card": "[0-9](?s:.){12}", "phone": "[0-9](?s:.){7}"}
+BEFORE, STEP = 24, 256
 FEATURES = ("length", "digits", "groups", "longest", "separators", "plus", "parens", "dots", "luhn", "octets", "at", "words",
             "glued", "cue_phone", "cue_card", "cue_ip", "cue_mail", "letters", "date")
 _CUES = {"cue_phone": r"(?i)\b(tel|phone|call|mobile|fax|reach|contact)\w*\W{0,3}(me|us|on|at|is|no|nr)?\W{0,3}$",
@@ -40,28 +41,38 @@ _CUES = {"cue_phone": r"(?i)\b(tel|phone|call|mobile|fax|reach|contact)\w*\W{0,3
          "cue_mail": r"(?i)\b(e-?mail|mail|write|contact|reach)\w*\W{0,3}(me|us|to|at|is)?\W{0,3}$"}
 
 
-def _running(sizes: Column) -> Column:
-    """Sums of all entries up to each one, in blocks so that long arrays stay near linear."""
-    step = 256
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / step).cast("int")), lambda b: F.slice(sizes, b * step + 1, step))
-    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
-    sums = F.transform(blocks, lambda b, k: F.transform(b, lambda _, i: F.aggregate(
-        F.concat(F.slice(totals, 1, k), F.slice(b, 1, i + 1)), F.lit(0), lambda a, x: a + x)))
-    return F.flatten(sums)
+def _blocks(sizes: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / STEP).cast("int")), lambda b: F.slice(sizes, b * STEP + 1, STEP))
 
 
-def matches(text: Column, pattern: str, sign: str) -> Column:
-    """array<struct<begin, end, said, before, after>> of all matches; code points, end exclusive."""
-    said, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    steps = F.flatten(F.zip_with(F.slice(gaps, 1, F.size(said)), said, lambda g, s: F.array(F.length(g), F.length(s))))
-    found = F.transform(F.arrays_zip(said.alias("said"), gaps.alias("gap")), lambda z, i: F.struct(
-        z["said"].alias("said"), F.right(z["gap"], F.lit(BEFORE)).alias("before"), F.substring(F.get(gaps, i + 1), 1, 1).alias("after")))
-    whole = F.zip_with(F.slice(found, 1, F.size(said)), F.sequence(F.lit(0), F.size(said) - 1), lambda m, i: F.struct(i.alias("i"), m.alias("m")))
-    sums = _running(steps)
-    placed = F.transform(whole, lambda w: F.struct(F.get(sums, w["i"] * 2).alias("begin"), F.get(sums, w["i"] * 2 + 1).alias("end"),
-                                                   w["m"]["said"].alias("said"), w["m"]["before"].alias("before"), w["m"]["after"].alias("after")))
-    none = F.array().cast("array<struct<begin:int,end:int,said:string,before:string,after:string>>")
-    return F.when(text.rlike(sign) & (F.regexp_count(text, F.lit(pattern)) > 0), placed).otherwise(none)
+def _running(blocks: str, totals: str) -> Column:
+    """Sums of all entries up to each one; blocks of entries with known totals keep long arrays near linear."""
+    return F.flatten(F.transform(blocks, lambda b, k: F.transform(b, lambda _, i: F.aggregate(
+        F.concat(F.slice(totals, 1, k), F.slice(b, 1, i + 1)), F.lit(0), lambda a, x: a + x))))
+
+
+def _with_matches(df: DataFrame, text: Column, patterns: dict[str, str], signs: dict[str, str]) -> tuple[DataFrame, dict[str, str]]:
+    """Adds, per kind, array<struct<begin, end, said, before, after>> of all matches; code points, end exclusive. Returns the names.
+
+    What matched and what stood between are columns of their own: an expression used inside a lambda would run per element.
+    """
+    said, gaps, sums, found = ({k: fresh(df, f"{stem}_{k}") for k in patterns} for stem in ("said", "gaps", "sums", "found"))
+    none, none_found = F.array().cast("array<string>"), F.array().cast("array<struct<begin:int,end:int,said:string,before:string,after:string>>")
+    df = df.withColumns({said[k]: F.when(text.rlike(signs[k]), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none) for k, p in patterns.items()})
+    df = df.withColumns({gaps[k]: F.when(F.size(said[k]) > 0, F.split(text, p, -1)).otherwise(none) for k, p in patterns.items()})
+    blocks, totals = ({k: fresh(df, f"{stem}_{k}") for k in patterns} for stem in ("blocks", "totals"))
+    df = df.withColumns({sums[k]: F.flatten(F.zip_with(F.slice(gaps[k], 1, F.size(said[k])), said[k], lambda g, s: F.array(F.length(g), F.length(s)))) for k in patterns})
+    df = df.withColumns({blocks[k]: F.when(F.size(said[k]) > 0, _blocks(F.col(sums[k]))) for k in patterns})
+    df = df.withColumns({totals[k]: F.transform(blocks[k], lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)) for k in patterns})
+    df = df.withColumns({sums[k]: _running(blocks[k], totals[k]) for k in patterns})
+
+    def placed(k: str) -> Column:
+        return F.transform(said[k], lambda s, i: F.struct(
+            F.get(sums[k], i * 2).alias("begin"), F.get(sums[k], i * 2 + 1).alias("end"), s.alias("said"),
+            F.right(F.get(gaps[k], i), F.lit(BEFORE)).alias("before"), F.substring(F.get(gaps[k], i + 1), 1, 1).alias("after")))
+
+    df = df.withColumns({found[k]: F.when(F.size(said[k]) > 0, placed(k)).otherwise(none_found) for k in patterns})
+    return df.drop(*said.values(), *gaps.values(), *sums.values(), *blocks.values(), *totals.values()), found
 
 
 def _digits(said: Column) -> Column:
@@ -189,18 +200,16 @@ def find_private(signals: DataFrame, note: str = "note", **fit) -> DataFrame:
     of each other, so ties, repeated rows and NULL ids need no rule. Nothing is shuffled. `fit` goes to fit_trees.
     """
     score, thresholds = fit_trees(signals.sparkSession, **fit)
-    text, kept, wide = F.col(fresh(signals, "text")), {k: fresh(signals, f"base_{k}") for k in KINDS}, fresh(signals, "wide")
-    scored, names = fresh(signals, "scored"), {k: fresh(signals, f"wide_{k}") for k in KINDS}
+    text, wide, scored = F.col(fresh(signals, "text")), fresh(signals, "wide"), fresh(signals, "scored")
     text_name = fresh(signals, "text")
-    out = signals.withColumn(text_name, content(note))
+    out, kept = _with_matches(signals.withColumn(text_name, content(note)), text, BASE, BASE_SIGN)
 
     def checked(i: int, k: str) -> Column:
-        return F.transform(F.filter(matches(text, BASE[k], SIGN[k]), lambda m: _valid(k, m["said"])),
+        return F.transform(F.filter(kept[k], lambda m: _valid(k, m["said"])),
                            lambda m: F.struct(m["begin"].alias("begin"), F.lit(i).alias("kind"), m["end"].alias("end")))
 
-    out = out.withColumns({kept[k]: checked(i, k) for i, k in enumerate(KINDS)})
-    out = out.withColumn("base", F.array_sort(F.concat(*kept.values())))
-    out = out.withColumns({names[k]: matches(text, WIDE[k], SIGN[k]) for k in KINDS})
+    out = out.withColumn("base", F.array_sort(F.concat(*[checked(i, k) for i, k in enumerate(KINDS)]))).drop(*kept.values())
+    out, names = _with_matches(out, text, WIDE, WIDE_SIGN)
 
     def candidates(i: int, k: str) -> Column:
         new = F.filter(F.col(names[k]), lambda m: ~F.exists(F.col("base"), lambda b: (b["begin"] < m["end"]) & (m["begin"] < b["end"])))
@@ -214,7 +223,7 @@ def find_private(signals: DataFrame, note: str = "note", **fit) -> DataFrame:
         lambda c: F.negate(c["worse"]) >= F.get(limits, c["kind"])))
     best = F.filter(scored, lambda c: ~F.exists(F.col(scored), lambda o: (o < c) & (o["begin"] < F.negate(c["back"])) & (c["begin"] < F.negate(o["back"]))))
     added = F.transform(best, lambda c: F.struct(c["begin"].alias("begin"), c["kind"].alias("kind"), F.negate(c["back"]).alias("end")))
-    return out.withColumn("spans", F.array_sort(F.concat(F.col("base"), added))).drop(text_name, wide, scored, *kept.values(), *names.values())
+    return out.withColumn("spans", F.array_sort(F.concat(F.col("base"), added))).drop(text_name, wide, scored, *names.values())
 
 
 def count_of(spans: Column, kind: str) -> Column:
