@@ -150,7 +150,7 @@ def passages(incidents: DataFrame, items: DataFrame, description: str = "descrip
         (a["n"] + F.greatest(F.lit(0), w["start"] + w["size"] - F.greatest(a["end"], w["start"]))).alias("n"),
         F.greatest(a["end"], w["start"] + w["size"]).alias("end")), lambda a: a["n"])
     named = matched.select("t1", "t2", F.explode("items").alias("item_id")).distinct().groupBy("t1", "t2").agg(F.collect_set("item_id").alias("item_ids"))
-    hits = spans.select("t1", "t2", covered.cast("long").alias("n_hit")).join(named, ["t1", "t2"])
+    hits = spans.select("t1", "t2", covered.cast("long").alias("n_hit")).join(named, ["t1", "t2"], "left")
     return looked, hits
 
 
@@ -168,7 +168,7 @@ def contamination(incidents: DataFrame, items: DataFrame, description: str = "de
     hits = written(hits, "hits").withColumnsRenamed({"t1": k1, "t2": k2, "n_hit": f"{k1}_n", "item_ids": f"{k1}_items"})
     out = looked.withColumns({k1: F.xxhash64(text), k2: F.xxhash64(F.lit("text"), text), "n_words": F.col(seen)["n_words"]}).drop(seen)
     out = out.join(hits, [k1, k2], "left")
-    return out.withColumns({"n_hit": F.coalesce(f"{k1}_n", F.lit(0)).cast("long"), "item_ids": F.coalesce(f"{k1}_items", F.array()),
+    return out.withColumns({"n_hit": F.coalesce(f"{k1}_n", F.lit(0)).cast("long"), "item_ids": F.coalesce(F.col(f"{k1}_items"), F.array().cast(dict(hits.dtypes)[f"{k1}_items"])),
                             "contaminated": F.col(f"{k1}_n").isNotNull()}).drop(k1, k2, f"{k1}_n", f"{k1}_items")
 
 

@@ -35,10 +35,10 @@ WIDE_SIGN = {"email": r"@|[(\[][Aa][Tt][)\]]", "ip": r"[0-9](?:\.|\[|\()", "card
 BEFORE, STEP = 24, 256
 FEATURES = ("length", "digits", "groups", "longest", "separators", "plus", "parens", "dots", "luhn", "octets", "at", "words",
             "glued", "cue_phone", "cue_card", "cue_ip", "cue_mail", "letters", "date")
-_CUES = {"cue_phone": r"(?i)\b(tel|phone|call|mobile|fax|reach|contact)\w*\W{0,3}(me|us|on|at|is|no|nr)?\W{0,3}$",
-         "cue_card": r"(?i)\b(card|visa|mastercard|amex|credit|debit|pay)\w*\W{0,3}(no|nr|number|is|with)?\W{0,3}$",
+_CUES = {"cue_phone": r"(?i)\b(tel|phone|call|mobile|fax|reach|contact)\w*\W{0,3}((me|us|on|at|is|no|nr)\W{1,3}){0,2}$",
+         "cue_card": r"(?i)\b(card|visa|mastercard|amex|credit|debit|pay)\w*\W{0,3}((no|nr|number|is|with)\W{1,3}){0,2}$",
          "cue_ip": r"(?i)\b(ip|address|host|server|login|from)\W{0,3}(is|at)?\W{0,3}$",
-         "cue_mail": r"(?i)\b(e-?mail|mail|write|contact|reach)\w*\W{0,3}(me|us|to|at|is)?\W{0,3}$"}
+         "cue_mail": r"(?i)\b(e-?mail|mail|write|contact|reach)\w*\W{0,3}((me|us|to|at|is)\W{1,3}){0,2}$"}
 
 
 def _blocks(sizes: Column) -> Column:
@@ -176,7 +176,7 @@ def fit_trees(spark: SparkSession, rows: int = 8000, trees: int = 10, depth: int
         margin = sum((expression(root, values) * w for w, root in roots), F.lit(0.0))
         return 1 / (1 + F.exp(-2 * margin))
 
-    held = frame.where("id % 16 >= 12").select("kind", "label", F.round(score(F.array(*FEATURES)), 3).alias("p")).groupBy("kind", "p").agg(F.sum("label").alias("y"), F.count("*").alias("n"))
+    held = frame.where("id % 16 >= 12").select("kind", "label", (F.floor(score(F.array(*FEATURES)) * 1000) / 1000).alias("p")).groupBy("kind", "p").agg(F.sum("label").alias("y"), F.count("*").alias("n"))
     thresholds = {k: math.inf for k in KINDS}
     for kind in KINDS:                                   # at most 1001 rounded scores a kind
         y = n = 0

@@ -109,7 +109,7 @@ _BLOBS = "part bigint, blob binary"
 def _hash_words(rows: np.ndarray) -> np.ndarray:
     """64 bits for each row of bytes (a multiple of eight wide)."""
     out = np.zeros(len(rows), np.uint64)
-    for word in rows.view(np.uint64).reshape(len(rows), -1).T:
+    for word in rows.view(np.uint64).reshape(len(rows), rows.shape[1] // 8).T:
         out = (out ^ word) * _MIX2
         out ^= out >> np.uint64(32)
     return out

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import content, fresh, small_batches, written
+from .common import content, small_batches, written
 from .components import connected
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -196,11 +196,12 @@ def fingerprint_links(prints: DataFrame, fingerprint: str = "fingerprint", hot:
 
 
 def near_duplicates(incidents: DataFrame, description: str = "description", incident_id: str = "incident_id") -> DataFrame:
-    """Incidents with `fingerprint` (long) and `component_id`, the smallest incident_id among all texts reachable by links.
+    """Incidents with `fingerprint` (long), `component_id`, the smallest incident_id among all texts reachable by links, and
+    `component_root`, the fingerprint that stands for the component.
 
     Texts link at MAX_BITS or fewer differing bits of their fingerprints. NULL texts count as empty; texts without words have
     fingerprint 0 and link like any other; repeated rows and equal texts share a component. NULL ids are never the smallest,
-    a component of NULL ids alone has a NULL id. Every row and column stays; columns of the two names are replaced.
+    a component of NULL ids alone has a NULL id. Every row and column stays; columns of these names are replaced.
 
     Equal fingerprints meet in one pre-aggregated row, so large groups of copies cost nothing further on; joins back to the
     rows have one row per fingerprint on the other side, and adaptive execution splits a fingerprint with many rows.
@@ -211,13 +212,10 @@ def near_duplicates(incidents: DataFrame, description: str = "description", inci
     rooted = smallest.join(root.withColumnRenamed("node", "fingerprint"), "fingerprint", "left") \
         .withColumn("root", F.coalesce("root", "fingerprint"))
     low = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = written(rooted.join(low, "root").select("fingerprint", "component_id"), "classes")
-    return marked.drop("component_id").join(classes, "fingerprint", "left")
+    classes = written(rooted.join(low, "root").select("fingerprint", F.col("root").alias("component_root"), "component_id"), "classes")
+    return marked.drop("component_id", "component_root").join(classes, "fingerprint", "left")
 
 
 def one_per_component(marked: DataFrame, incident_id: str = "incident_id") -> DataFrame:
-    """Of each component the incident with the smallest id; of repeated ids or NULL ids one row stays."""
-    name = fresh(marked, "same")
-    first = marked.where(F.col(incident_id).eqNullSafe(F.col("component_id")))
-    return first.withColumn(name, F.coalesce(F.col(incident_id).cast("string"), F.concat(F.lit("none "), F.col("fingerprint").cast("string")))) \
-        .dropDuplicates([name]).drop(name)
+    """Of each component the incident with the smallest id; where several rows have that id (or all are NULL), one of them."""
+    return marked.where(F.col(incident_id).eqNullSafe(F.col("component_id"))).dropDuplicates(["component_root"])
