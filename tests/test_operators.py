@@ -311,3 +311,22 @@ def test_parameter_checks(build):
 def test_partial_configs_keep_defaults():
     assert PolicyConfig(rising_warn_slope=.2).penalty_critical == 3.0 and AltRiskConfig().critical_off == .68
     assert K.MODE_MULTIPLIER["alert"] == 1.15
+
+
+def test_no_size_limits_on_zones_hotspots_and_routing_zones(spark):
+    from throngcast.operators import presence, risk
+    many = [(f"Z{i}", [(i * 10, 0), (i * 10 + 9, 0), (i * 10 + 9, 9), (i * 10, 9)]) for i in range(190)]
+    boxes = spark.createDataFrame([(1, [i * 10.0, 0.0, i * 10.0 + 8, 8.0], 0.5, "person") for i in range(190)] + [(1, [5000.0, 0.0, 5008.0, 8.0], 0.5, "person"), (1, [1.0], 0.5, "person")],
+                                  "frame_id long, bbox array<double>, conf double, label string")
+    got = zones.detections_by_zone(boxes, zones=many, width=1920, height=1080).collect()
+    assert sorted((r.zone_id, r.n) for r in got) == sorted((z, 1) for z, _ in many)
+    table = zones.zone_table(spark, many).withColumn("capacity", F.lit(4.0))
+    assert {r.activity for r in zones.label_counts(boxes, zones=table, width=1920, height=1080).collect()} == {0.25}
+    few = zones.with_zone(boxes, zones=many[:3], width=1920, height=1080).where("zone_id is not null").count()
+    assert few == zones.with_zone(boxes, zones=zones.zone_table(spark, many[:3]), width=1920, height=1080).where("zone_id is not null").count() == 3
+    areas = spark.createDataFrame([("a", 1.3, 103.8), ("b", None, 103.8)], "area_name string, lat double, lng double")
+    spots = spark.createDataFrame([(1.3 + i * 1e-4, 103.8, 0.001) for i in range(201)], "lat double, lng double, intensity double")
+    whole, split = (sorted((r.area_name, round(r.score, 9)) for r in presence.area_scores(areas, spots, per_block=n).collect()) for n in (2000, 50))
+    assert whole == split and whole[1] == ("b", 0.08)
+    routing = spark.range(10_001).select(F.concat(F.lit("R"), "id").alias("routing_zone_id"), F.lit("A").alias("parent_id"))
+    assert zones.every_pair(spark.range(3).withColumnRenamed("id", "frame_id"), routing).distinct().count() == 30_003

@@ -97,10 +97,12 @@ def test_fall_timer_without_new_samples(spark, tmp_path):
     assert events == ["prompt", "emergency"]
 
 
-def test_count_windows_across_batches(spark, tmp_path):
+@pytest.mark.parametrize("backwards", [False, True])
+def test_count_windows_across_batches(spark, tmp_path, backwards):
     cols, schema = ["video", "frame_idx", "motion"], "video string, frame_idx bigint, motion double"
     rows = [("v", i, float((i * 37) % 11)) for i in range(47)]
-    for n, (a, b) in enumerate([(0, 13), (13, 16), (16, 47)]):
+    parts = [(0, 13), (13, 16), (16, 47)]
+    for n, (a, b) in enumerate(parts[::-1] if backwards else parts):
         add(tmp_path, f"p{n}", rows[a:b], cols)
     got = streams.run_to_table(streams.count_window_stream(feed(spark, tmp_path, schema)), "windows").orderBy("window_index").collect()
     full = spark.createDataFrame(rows, schema).withColumns({"brightness": F.lit(0.0), "edge": F.lit(0.0)})

@@ -110,7 +110,7 @@ class ForestConfig:
     sample_rows: int = 256
     contamination: str | float = "auto"
     seed: int = 42
-    max_rows_per_dataset: int = 200_000
+    max_rows_per_dataset: int = 0      # 0: no cap
     max_total_rows: int = 0
 
     def __post_init__(self):

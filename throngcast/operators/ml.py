@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import constants as K
 from ..config import ForestConfig
-from ..session import shared_folder
+from ..session import cut_lineage, shared_folder
 from . import fusion
 from .metrics import calibration
 from .ordered import ROWS_PER_CHUNK, exact_percentiles
 from .sampling import capped_sample
 
-TREE_SCHEMA = "tree int, node int, feature int, cut double, left_node int, right_node int, path double"
+TREE_SCHEMA = "tree int, node int, feature int, cut double, left_node int, right_node int, path double, sample_size int"
 
 
 def robust_scaler(rows: DataFrame, features: list[str] = K.FEATURE_COLUMNS, rows_per_chunk: int = ROWS_PER_CHUNK) -> dict:
@@ -53,6 +53,8 @@ def fit_forest(rows: DataFrame, ids: list[str], scaler: dict, cfg: ForestConfig
     wanted = cfg.trees * cfg.sample_rows
     pool = capped_sample(rows.select(*ids, scaled_vector(scaler).alias("v")), [], ids, wanted, cfg.seed)
     n = pool.count()
+    if n == 0:
+        raise ValueError("no rows to fit a forest to")
     size = min(cfg.sample_rows, n)
     copies = -(-cfg.trees * size // n)
     dealt = pool.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))) \
@@ -76,27 +78,27 @@ def _tree_builder(seed: int):
             low, high = part.min(axis=0), part.max(axis=0)
             open_features = np.flatnonzero(high > low)
             if depth >= limit or len(part) <= 1 or not len(open_features):
-                nodes.append((tree, node, -1, 0.0, -1, -1, depth + float(mean_path(len(part)))))
+                nodes.append((tree, node, -1, 0.0, -1, -1, depth + float(mean_path(len(part))), len(data)))
                 continue
             f = int(rng.choice(open_features))
             cut = float(rng.uniform(low[f], high[f]))
             side = part[:, f] <= cut
-            nodes.append((tree, node, f, cut, used, used + 1, 0.0))
+            nodes.append((tree, node, f, cut, used, used + 1, 0.0, len(data)))
             work += [(used, part[side], depth + 1), (used + 1, part[~side], depth + 1)]
             used += 2
         return pd.DataFrame(nodes, columns=[c.split()[0] for c in TREE_SCHEMA.split(", ")])
     return build
 
 
-def score_forest(rows: DataFrame, forest: DataFrame, scaler: dict, sample_rows: int = 256, name: str = "raw") -> DataFrame:
-    """Add the isolation score in [-1, 0]: the lower, the more anomalous."""
+def score_forest(rows: DataFrame, forest: DataFrame, scaler: dict, name: str = "raw") -> DataFrame:
+    """Add the isolation score in [-1, 0]: the lower, the more anomalous. Trees carry the size of the sample they were fitted to."""
     table = forest.toPandas()          # bounded by trees * 2 * sample_rows nodes
     trees = []
     for _, t in table.groupby("tree"):
         t = t.sort_values("node")
         trees.append(tuple(t[c].to_numpy() for c in ("feature", "cut", "left_node", "right_node", "path")))
     shared = rows.sparkSession.sparkContext.broadcast(trees)
-    norm = float(mean_path(sample_rows))
+    norm = max(float(mean_path(table["sample_size"].max() if len(table) else 2)), 1e-12)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -137,7 +139,7 @@ def train_forest(features: DataFrame, ids: list[str], cfg: ForestConfig = Forest
     train = balanced_sample(features, dataset, ids, cfg.max_rows_per_dataset, cfg.max_total_rows, cfg.seed)
     scaler = robust_scaler(train, rows_per_chunk=rows_per_chunk)
     forest = fit_forest(train, ids, scaler, cfg)
-    calib = calibration(score_forest(train, forest, scaler, cfg.sample_rows), rows_per_chunk=rows_per_chunk).first()
+    calib = calibration(score_forest(train, forest, scaler), rows_per_chunk=rows_per_chunk).first()
     return forest, scaler, calib
 
 
@@ -145,12 +147,13 @@ def tuning_grid(features: DataFrame, ids: list[str], evaluation: DataFrame, cont
     """Evaluation summary per contamination setting, as input of ``run_scores``."""
     from dataclasses import replace
     from .metrics import eval_summary
-    parts = []
     for c in contaminations:
-        forest, scaler, calib = train_forest(features, ids, replace(cfg, contamination=c))
-        scored = score_forest(evaluation, forest, scaler).withColumn("anomaly", fusion.calibrated(F.col("raw"), calib.p1, calib.p50))
-        parts.append(eval_summary(scored).withColumn("run", F.lit(f"contamination_{c}")))
-    return reduce(DataFrame.unionByName, parts)
+        replace(cfg, contamination=c)                    # validates the setting
+    # contamination moves the decision offset alone, scores and calibration do not depend on it: one fit serves all settings
+    forest, scaler, calib = train_forest(features, ids, cfg)
+    scored = score_forest(evaluation, forest, scaler).withColumn("anomaly", fusion.calibrated(F.col("raw"), calib.p1, calib.p50))
+    summary = cut_lineage(eval_summary(scored))
+    return reduce(DataFrame.unionByName, [summary.withColumn("run", F.lit(f"contamination_{c}")) for c in contaminations])
 
 
 def clip_classifier(train: DataFrame, features: str = "embedding", label: str = "label", probabilities: bool = False):

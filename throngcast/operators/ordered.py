@@ -244,7 +244,9 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], fold: Fold,
     """
     c = chunked(df, keys, order, rows_per_chunk)
     chunk = ["_chunk"] if c.split else []
-    placed = c.df.repartition(*keys, *chunk).sortWithinPartitions(*keys, *chunk, *order)
+    groups = [*keys, *chunk]
+    # without keys and cuts the whole (small) table is one sequence
+    placed = (c.df.repartition(*groups) if groups else c.df.coalesce(1)).sortWithinPartitions(*groups, *order)
     entry: dict = {}
     if c.split:
         needed = list(dict.fromkeys([*keys, "_chunk", *order, *fold.inputs]))

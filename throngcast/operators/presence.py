@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
 from ..functions import geometry as G, scalars as S
-from .zones import small_side
+from ..session import cut_lineage
+from .zones import small_side, with_blocks
 
-HOTSPOT_LIMIT = 200
+HOTSPOTS_PER_BLOCK = 2000
 
 
 def checked_updates(raw: DataFrame, now_ms: Column | None = None) -> DataFrame:
@@ -64,26 +63,36 @@ def area_alerts(hotspots: DataFrame) -> DataFrame:
         .agg(S.clamp(F.max("intensity")).alias("score"))
 
 
-def area_scores(areas: DataFrame, hotspots: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
+def area_scores(areas: DataFrame, hotspots: DataFrame, explicit: DataFrame | None = None, per_block: int = HOTSPOTS_PER_BLOCK) -> DataFrame:
     """Score of each area: its own alert, else the Gaussian influence of all hotspots on its centre.
 
-    Hotspots are few (checked) and become literals of one expression, so areas are never paired with a table.
+    Hotspots come as arrays of about ``per_block`` points; each area meets each array once and adds up its part, so
+    any number of them is served without pairing rows with rows.
     """
-    spots = hotspots.select("lat", "lng", "intensity").limit(HOTSPOT_LIMIT + 1).collect()
-    if len(spots) > HOTSPOT_LIMIT:
-        raise ValueError(f"more than {HOTSPOT_LIMIT} hotspots")
-    # positions as points of the unit sphere: trigonometry once per area, only chords per hotspot
-    lat, lng = F.radians("lat"), F.radians("lng")
-    rows = areas.withColumns({"_ux": F.cos(lat) * F.cos(lng), "_uy": F.cos(lat) * F.sin(lng), "_uz": F.sin(lat)})
-    pull = F.lit(0.0)
-    for s in spots:
-        at = math.radians(s.lat), math.radians(s.lng)
-        v = (math.cos(at[0]) * math.cos(at[1]), math.cos(at[0]) * math.sin(at[1]), math.sin(at[0]))
-        dx, dy, dz = F.col("_ux") - v[0], F.col("_uy") - v[1], F.col("_uz") - v[2]
+    # positions as points of the unit sphere: trigonometry once per point, only chords per pair
+    sphere = {"_ux": F.cos(F.radians("lat")) * F.cos(F.radians("lng")), "_uy": F.cos(F.radians("lat")) * F.sin(F.radians("lng")), "_uz": F.sin(F.radians("lat"))}
+    spots = cut_lineage(hotspots.select("lat", "lng", "intensity"))
+    n = spots.count()
+    blocks = max(1, -(-n // per_block))
+    packed = spots.withColumns(sphere).groupBy(F.pmod(F.xxhash64("lat", "lng", "intensity"), F.lit(blocks)).alias("_block")) \
+        .agg(F.collect_list(F.struct("_ux", "_uy", "_uz", "intensity")).alias("_spots"))
+
+    def pulled(total: Column, s: Column) -> Column:
+        dx, dy, dz = F.col("_ux") - s["_ux"], F.col("_uy") - s["_uy"], F.col("_uz") - s["_uz"]
         d = 2 * K.EARTH_RADIUS_M * F.asin(F.sqrt(dx * dx + dy * dy + dz * dz) / 2)
-        pull = pull + s.intensity * F.exp(-(d * d) / (2 * K.HOTSPOT_SIGMA_M ** 2))
-    no_centre = F.col("lat").isNull() | F.col("lng").isNull() | F.lit(not spots)
-    rows = rows.withColumn("estimate", F.when(no_centre, K.NO_HOTSPOT_SCORE).otherwise(S.clamp(pull))).drop("_ux", "_uy", "_uz")
+        return total + s["intensity"] * F.exp(-(d * d) / (2 * K.HOTSPOT_SIGMA_M ** 2))
+
+    rows = areas.withColumns(sphere)
+    part = F.aggregate("_spots", F.lit(0.0), pulled)
+    if blocks == 1:
+        rows = with_blocks(rows, packed, blocks).withColumn("_pull", part).drop("_spots")
+    else:
+        rows = cut_lineage(rows.withColumn("_area", F.monotonically_increasing_id()))
+        sums = with_blocks(rows.select("_area", "_ux", "_uy", "_uz"), packed, blocks).groupBy("_area").agg(F.sum(part).alias("_pull"))
+        rows = rows.join(sums, "_area", "left").drop("_area")
+    pull = F.coalesce("_pull", F.lit(0.0))
+    no_centre = F.col("lat").isNull() | F.col("lng").isNull() | F.lit(n == 0)
+    rows = rows.withColumn("estimate", F.when(no_centre, K.NO_HOTSPOT_SCORE).otherwise(S.clamp(pull))).drop("_ux", "_uy", "_uz", "_pull")
     if explicit is None:
         return rows.withColumn("score", F.col("estimate"))
     named = explicit.select(S.area_key(F.col("planning_area")).alias("_key"), F.col("score").alias("_score"))

@@ -9,7 +9,7 @@ from ..config import PolicyConfig, RiskStateConfig
 from ..functions import scalars as S
 from .folds import RiskState
 from .ordered import ROWS_PER_CHUNK, ordered_fold, with_last_known, with_previous
-from .zones import small_side
+from .zones import every_pair, small_side
 
 
 def fuse(perception: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def routing_zone_history(states: DataFrame, routing_zones: DataFrame, refresh: s
     per_parent = states.groupBy("frame_id", F.col("zone_id").alias("parent_id")) \
         .agg(F.max_by("risk_ema", ts).alias("ema"), F.max("meaningful").alias("parent_changed"))
     first_frame = frames.agg(F.min("frame_id")).first()[0]
-    rows = _every_frame(frames, routing_zones).join(per_parent, ["frame_id", "parent_id"], "left")
+    rows = every_pair(frames, routing_zones.select("routing_zone_id", "parent_id")).join(per_parent, ["frame_id", "parent_id"], "left")
     key, order = ["routing_zone_id"], ["frame_id"]
     rows = with_last_known(rows, key, order, "ema", "current", rows_per_chunk=rows_per_chunk)
     rows = rows.withColumn("current", F.coalesce("current", F.lit(0.0)))
@@ -59,16 +59,6 @@ def routing_zone_history(states: DataFrame, routing_zones: DataFrame, refresh: s
     return rows.select("frame_id", ts, "routing_zone_id", "parent_id", "risk", (filled | moved).alias("moved"))
 
 
-def _every_frame(frames: DataFrame, routing_zones: DataFrame) -> DataFrame:
-    """Frames times routing zones, with the zone list (checked to be small) as a literal array in the row."""
-    zones = routing_zones.select("routing_zone_id", "parent_id").limit(10_001).collect()
-    if len(zones) > 10_000:
-        raise ValueError("more than 10000 routing zones: join frames to the children of the zones they contain")
-    pairs = F.array(*[F.struct(F.lit(z.routing_zone_id).alias("routing_zone_id"), F.lit(z.parent_id).alias("parent_id"))
-                      for z in zones])
-    return frames.select("*", F.inline(pairs))
-
-
 def advisories(states: DataFrame, context: DataFrame | None = None, cfg: PolicyConfig = PolicyConfig()) -> DataFrame:
     """One advisory per state row: action, routing mode, messages, reroute hint and directives."""
     rows = states

@@ -35,8 +35,8 @@ def capped_sample(df: DataFrame, keys: list[str], ids: list[str], cap: int, seed
 
 
 def balanced_sample(df: DataFrame, key: str, ids: list[str], cap_per_key: int, cap_total: int = 0, seed: int = 42) -> DataFrame:
-    """Cap per dataset, then overall."""
-    rows = capped_sample(df, [key], ids, cap_per_key, seed)
+    """Cap per dataset, then overall; 0 sets no cap."""
+    rows = capped_sample(df, [key], ids, cap_per_key, seed) if cap_per_key > 0 else df
     return capped_sample(rows, [], ids, cap_total, seed) if cap_total > 0 else rows
 
 

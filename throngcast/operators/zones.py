@@ -29,10 +29,21 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def _zone_list(zones=None) -> list[tuple[str, list]]:
-    zones = [(z, p) for z, _, _, p in K.ZONES] if zones is None else zones
-    if len(zones) > LITERAL_ZONES:
-        raise ValueError("use locate_in_grid for large zone sets")
-    return zones
+    return [(z, p) for z, _, _, p in K.ZONES] if zones is None else list(zones)
+
+
+def _compiled(zones) -> bool:
+    """Whether a zone set becomes one expression: a short list does, a table or a long list is joined on grid cells."""
+    return not isinstance(zones, DataFrame) and len(_zone_list(zones)) <= LITERAL_ZONES
+
+
+def zone_table(spark: SparkSession, zones) -> DataFrame:
+    """A zone set (None, a list of id and polygon, or a table already) as a table with zone_id, zone_ord, capacity, polygon."""
+    if isinstance(zones, DataFrame):
+        return zones if "capacity" in zones.columns else zones.withColumn("capacity", F.lit(K.DEFAULT_CAPACITY))
+    caps = {z: c for z, _, c, _ in K.ZONES}
+    rows = [(z, i, caps.get(z, K.DEFAULT_CAPACITY), [(float(x), float(y)) for x, y in p]) for i, (z, p) in enumerate(_zone_list(zones))]
+    return spark.createDataFrame(rows, f"zone_id string, zone_ord int, capacity double, polygon array<{G.POINT}>")
 
 
 def zone_number(px: Column, py: Column, zones=None, width: int = K.FRAME_WIDTH, height: int = K.FRAME_HEIGHT) -> Column:
@@ -72,35 +83,87 @@ def locate_in_grid(points: DataFrame, zones: DataFrame, cell: float = 64.0,
     return points.join(hits, "point_id", "left")
 
 
-def _numbered(detections: DataFrame, zones=None) -> DataFrame:
+def _pixels(detections: DataFrame) -> DataFrame:
     cx, cy = G.box_centre(F.col("bbox"))
-    centred = detections.withColumns({"_px": S.round_half_even(cx), "_py": S.round_half_even(cy)})
-    number = F.when(G.valid_box(F.col("bbox")), zone_number(F.col("_px"), F.col("_py"), zones))
-    return centred.withColumn("_zone", number).drop("_px", "_py")
+    return detections.withColumns({"_px": S.round_half_even(cx), "_py": S.round_half_even(cy)})
 
 
-def with_zone(detections: DataFrame, zones=None) -> DataFrame:
-    """Add the zone of the box centre, rounded half-even to a pixel; NULL without a valid box or outside."""
-    return _numbered(detections, zones).withColumn("zone_id", zone_name(F.col("_zone"), zones)).drop("_zone")
+def _numbered(detections: DataFrame, zones=None, width: int = K.FRAME_WIDTH, height: int = K.FRAME_HEIGHT) -> DataFrame:
+    number = F.when(G.valid_box(F.col("bbox")), zone_number(F.col("_px"), F.col("_py"), zones, width, height))
+    return _pixels(detections).withColumn("_zone", number).drop("_px", "_py")
 
 
-def _per_zone(detections: DataFrame, zones, frame: str, *totals: Column) -> DataFrame:
+def _in_cells(detections: DataFrame, zones, width: int, height: int, cell: float = 64.0) -> DataFrame:
+    """Adds zone_id through a join on grid cells, for any number of zones.
+
+    The zone side has one row per cell with the zones that touch it in order, so a box joins once and no row identity is needed.
+    """
+    box = G.bounding_box(F.col("polygon"))
+    span = lambda a, b: F.sequence(F.floor(a / cell), F.floor(b / cell))
+    touched = zone_table(detections.sparkSession, zones).withColumn("_cx", F.explode(span(box["x0"], box["x1"]))) \
+        .withColumn("_cy", F.explode(span(box["y0"], box["y1"])))
+    cells = touched.groupBy("_cx", "_cy").agg(F.array_sort(F.collect_list(F.struct(
+        "zone_ord", "zone_id", "polygon", *[v.alias(k) for k, v in box.items()]))).alias("_near"))
+    px, py = F.col("_px"), F.col("_py")
+    inside = G.valid_box(F.col("bbox")) & (px >= 0) & (px < width) & (py >= 0) & (py < height)
+    placed = _pixels(detections).withColumns({"_cx": F.when(inside, F.floor(px / cell)), "_cy": F.when(inside, F.floor(py / cell))})
+    # the box test is cheap and spares most polygons
+    hit = F.filter("_near", lambda z: (px >= z["x0"]) & (px <= z["x1"]) & (py >= z["y0"]) & (py <= z["y1"]) & G.in_polygon_column(px, py, z["polygon"]))
+    return placed.join(small_side(cells), ["_cx", "_cy"], "left").withColumn("zone_id", F.get(hit, F.lit(0))["zone_id"]) \
+        .drop("_cx", "_cy", "_px", "_py", "_near")
+
+
+def with_zone(detections: DataFrame, zones=None, width: int = K.FRAME_WIDTH, height: int = K.FRAME_HEIGHT) -> DataFrame:
+    """Add the zone of the box centre, rounded half-even to a pixel; NULL without a valid box or outside.
+
+    ``zones`` is a table (zone_id, zone_ord, polygon, capacity), a list of id and polygon, or None for the built-in ones.
+    """
+    if not _compiled(zones):
+        return _in_cells(detections, zones, width, height)
+    return _numbered(detections, zones, width, height).withColumn("zone_id", zone_name(F.col("_zone"), zones)).drop("_zone")
+
+
+def _per_zone(detections: DataFrame, zones, frame: str, width: int, height: int, *totals: Column) -> DataFrame:
     """Totals per frame and zone, without the boxes outside all zones.
 
     The zone that is filtered and joined on later is an aggregate (the maximum of equal numbers), not the
     grouping column: a predicate on that would be pushed below the projection and repeat the whole zone test,
     box arithmetic included, in one huge filter.
     """
-    per = _numbered(detections, zones).groupBy(frame, "_zone").agg(F.max("_zone").alias("_no"), *totals)
+    if not _compiled(zones):
+        return _in_cells(detections, zones, width, height).groupBy(frame, "zone_id").agg(*totals).filter("zone_id IS NOT NULL")
+    per = _numbered(detections, zones, width, height).groupBy(frame, "_zone").agg(F.max("_zone").alias("_no"), *totals)
     named = per.filter("_no IS NOT NULL").withColumn("zone_id", zone_name(F.col("_no"), zones))
     return named.select(frame, "zone_id", *per.columns[3:])
 
 
+def with_blocks(rows: DataFrame, packed: DataFrame, blocks: int, salts: int = 64) -> DataFrame:
+    """Each row with each of ``blocks`` packed rows (``_block``, arrays of bounded length).
+
+    One block is broadcast, its length being bounded. More are dealt by (block, salt), so that rows spread over many tasks.
+    """
+    if blocks == 1:
+        return rows.withColumn("_block", F.lit(0).cast("long")).join(F.broadcast(packed), "_block", "left").drop("_block")
+    last = F.lit(blocks - 1).cast("long")
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    copies = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return dealt.join(copies, ["_block", "_salt"]).drop("_block", "_salt")
+
+
+def every_pair(rows: DataFrame, dimension: DataFrame, per_row: int = 4096) -> DataFrame:
+    """Each row with each entry of a dimension, as dense results need it: entries travel as arrays of about ``per_row``."""
+    counted = cut_lineage(dimension)
+    blocks = max(1, -(-counted.count() // per_row))
+    packed = counted.groupBy(F.pmod(F.xxhash64(*dimension.columns), F.lit(blocks)).alias("_block")) \
+        .agg(F.collect_list(F.struct(*dimension.columns)).alias("_entries"))
+    return with_blocks(rows, packed, blocks).select("*", F.inline("_entries")).drop("_entries")
+
+
 def detections_by_zone(detections: DataFrame, frame: str = "frame_id", labels: list[str] | None = None,
-                       zones=None) -> DataFrame:
+                       zones=None, width: int = K.FRAME_WIDTH, height: int = K.FRAME_HEIGHT) -> DataFrame:
     """Count and confidence sum per frame and zone; boxes outside all zones are dropped."""
     rows = detections if labels is None else detections.filter(F.col("label").isin(labels))
-    return _per_zone(rows, zones, frame, F.count(F.lit(1)).alias("n"),
+    return _per_zone(rows, zones, frame, width, height, F.count(F.lit(1)).alias("n"),
                      F.sum(F.coalesce("conf", F.lit(0.0))).alias("conf_sum"))
 
 
@@ -110,11 +173,14 @@ def frame_zone_skeleton(frames: DataFrame, zone_rows: list[tuple[str, float]]) -
     return frames.select("*", F.inline(zones))
 
 
-def zone_density(counts: DataFrame, frames: DataFrame, zone_rows: list[tuple[str, float]] | None = None,
+def zone_density(counts: DataFrame, frames: DataFrame, zone_rows: list[tuple[str, float]] | DataFrame | None = None,
                  frame: str = "frame_id", detector_available: bool = True) -> DataFrame:
-    """Density, confidence and people for every frame and zone, also where nothing was seen."""
+    """Density, confidence and people for every frame and zone, also where nothing was seen. ``zone_rows``: id and capacity."""
     zone_rows = [(z, c) for z, _, c, _ in K.ZONES] if zone_rows is None else zone_rows
-    dense = frame_zone_skeleton(frames.select(frame), zone_rows)
+    if isinstance(zone_rows, DataFrame):
+        dense = every_pair(frames.select(frame), zone_rows.select("zone_id", F.coalesce("capacity", F.lit(K.DEFAULT_CAPACITY)).alias("capacity")))
+    else:
+        dense = frame_zone_skeleton(frames.select(frame), zone_rows)
     if not detector_available:
         return dense.select(frame, "zone_id", F.lit(0.0).alias("density"), F.lit(K.FALLBACK_CONF).alias("conf"),
                             F.lit(0).cast("bigint").alias("people_count"))
@@ -125,20 +191,25 @@ def zone_density(counts: DataFrame, frames: DataFrame, zone_rows: list[tuple[str
         n.cast("bigint").alias("people_count"))
 
 
-def label_counts(detections: DataFrame, frame: str = "frame_id", zones=None) -> DataFrame:
-    """People, vehicles and heads per frame and zone, with the combined activity share of the capacity."""
-    caps = {z: c for z, _, c, _ in K.ZONES}
+def label_counts(detections: DataFrame, frame: str = "frame_id", zones=None, width: int = K.FRAME_WIDTH,
+                 height: int = K.FRAME_HEIGHT) -> DataFrame:
+    """People, vehicles and heads per frame and zone, with the combined activity share of the zone's own capacity."""
     tally = lambda label: F.count_if(F.col("label") == label)
-    counts = _per_zone(detections, zones, frame, tally("person").alias("people"), tally("vehicle").alias("vehicles"),
+    counts = _per_zone(detections, zones, frame, width, height, tally("person").alias("people"), tally("vehicle").alias("vehicles"),
                        tally("head").alias("heads"))
-    capacity = S.lookup(F.col("zone_id"), caps, F.lit(K.DEFAULT_CAPACITY))
-    return counts.withColumn("activity", S.clamp((F.col("people") + F.col("vehicles")) / F.greatest(capacity, F.lit(1.0))))
+    if _compiled(zones):
+        capacity = S.lookup(F.col("zone_id"), {z: c for z, _, c, _ in K.ZONES}, F.lit(K.DEFAULT_CAPACITY))
+        return counts.withColumn("activity", S.clamp((F.col("people") + F.col("vehicles")) / F.greatest(capacity, F.lit(1.0))))
+    own = small_side(zone_table(detections.sparkSession, zones).select("zone_id", F.col("capacity").alias("_cap")))
+    capacity = F.greatest(F.coalesce("_cap", F.lit(K.DEFAULT_CAPACITY)), F.lit(1.0))
+    return counts.join(own, "zone_id", "left").withColumn("activity", S.clamp((F.col("people") + F.col("vehicles")) / capacity)) \
+        .select(*counts.columns, "activity")
 
 
-def with_head_proxies(detections: DataFrame) -> DataFrame:
-    """Each person box also gives a head row."""
+def with_head_proxies(detections: DataFrame, width: int = K.FRAME_WIDTH, height: int = K.FRAME_HEIGHT) -> DataFrame:
+    """Each person box also gives a head row, clipped to the frame."""
     own = F.struct("bbox", "conf", "label", "classId", "className")
-    head = F.struct(G.head_box(F.col("bbox")).alias("bbox"), F.col("conf"), F.lit("head").alias("label"),
+    head = F.struct(G.head_box(F.col("bbox"), width, height).alias("bbox"), F.col("conf"), F.lit("head").alias("label"),
                     F.lit(-1).alias("classId"), F.lit("head_proxy").alias("className"))
     rest = [c for c in detections.columns if c not in ("bbox", "conf", "label", "classId", "className")]
     both = F.when(F.col("label") == "person", F.array(own, head)).otherwise(F.array(own))

@@ -284,3 +284,25 @@ def _(t):
         F.col("frame_id").alias("image"), "l_partkey", "l_suppkey", F.col("line").alias("line_no"),
         G.label_line(F.col("l_suppkey") % 5, F.col("bbox"), K.FRAME_WIDTH, K.FRAME_HEIGHT).alias("line"))
     return kept_images(lines, min_boxes=2)
+
+
+@query("detections_in_many_zones", "J03 A01 A03", """
+    SELECT 'Z' || CAST(py // 30 * 64 + px // 30 AS VARCHAR) AS zone_id, count(*) AS n
+    FROM (SELECT CAST(round_even(0.5e0 * (6e0 * x1 + 6e0 * x2), 0) AS BIGINT) AS px, CAST(round_even(0.5e0 * (4.5e0 * y1 + 4.5e0 * y2), 0) AS BIGINT) AS py
+        FROM detections)
+    WHERE px >= 0 AND px < 1920 AND py >= 0 AND py < 1080 AND px % 30 <> 0 AND py % 30 <> 0
+        AND (py // 30 * 64 + px // 30) < (SELECT count(*) FROM part) GROUP BY 1""")
+def detections_in_many_zones(t):
+    """Zones from a table, over 64 of them, on a frame of 1920 x 1080; boxes on a border between zones are left out on both sides."""
+    parts = t.spark.read.parquet(f"{t.folder}/part.parquet")
+    n = parts.count()
+    ord_ = F.col("id")
+    x, y = (ord_ % 64 * 30).cast("double"), (F.floor(ord_ / 64) * 30).cast("double")
+    corner = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
+    zones = t.spark.range(n).select(F.concat(F.lit("Z"), ord_.cast("string")).alias("zone_id"), ord_.cast("int").alias("zone_ord"), F.lit(10.0).alias("capacity"),
+                                    F.array(corner(0, 0), corner(30, 0), corner(30, 30), corner(0, 30)).alias("polygon"))
+    scale = F.array(*[F.lit(v) for v in (6.0, 4.5, 6.0, 4.5)])
+    boxes = t.detections.where(F.size("bbox") == 4).withColumn("bbox", F.zip_with("bbox", scale, lambda a, b: a * b))
+    px, py = (S.round_half_even((F.col("bbox")[i] + F.col("bbox")[i + 2]) / 2) for i in (0, 1))
+    inner = boxes.where((px % 30 != 0) & (py % 30 != 0))
+    return Z.detections_by_zone(inner, zones=zones, width=1920, height=1080).groupBy("zone_id").agg(F.sum("n").cast("bigint").alias("n"))

@@ -48,7 +48,7 @@ def feature_tables(spark: SparkSession, paths: list[str], required: list[str] =
 def filter_datasets(rows: DataFrame, include: list[str] = (), exclude: list[str] = (), whole_files: bool = False) -> DataFrame:
     """Keep rows by dataset name (trimmed, any case), or whole files by whether any of their datasets matches."""
     name = F.lower(F.trim("dataset"))
-    listed = lambda names: name.isin([n.strip().lower() for n in names if n.strip()])
+    listed = lambda names: F.coalesce(name.isin([n.strip().lower() for n in names if n.strip()]), F.lit(False))
     if not whole_files:
         rows = rows.filter(listed(include)) if include else rows
         return rows.filter(~listed(exclude)) if exclude else rows

@@ -182,25 +182,31 @@ class IncidentProcessor(StatefulProcessor):
 
 
 class CountWindowProcessor(StatefulProcessor):
-    """Means and extremes of every ``size`` consecutive frames per key; the unfinished rest waits in the state."""
+    """Means and extremes of every ``size`` consecutive frames, keyed by video and window number.
+
+    A window waits in the state, at most ``size`` values, until all its frames are there; the order in which they arrive does not matter.
+    Frames count from 0 without gaps; a repeated frame replaces the earlier one; a window that stays short gives nothing.
+    """
 
     output = "video string, window_index bigint, motion_mean double, motion_std double, motion_max double, jerk_mean double"
 
-    def __init__(self, size: int, order: list[str] = ("frame_idx",)):
-        self.size, self.order = size, list(order)
+    def __init__(self, size: int):
+        self.size = size
 
     def init(self, handle):
         self.state = handle.getValueState("pending", "json string")
 
     def handleInputRows(self, key, rows, timerValues):
-        done, pending = json.loads(self.state.get()[0]) if self.state.exists() else (0, [])
-        values = pending + _ordered(rows, self.order)["motion"].astype(float).tolist()
+        known = json.loads(self.state.get()[0]) if self.state.exists() else {}
         out = []
-        while len(values) >= self.size:
-            window, values = np.array(values[:self.size]), values[self.size:]
-            out.append((key[0], done, window.mean(), window.std(), window.max(), np.abs(np.diff(window)).mean()))
-            done += 1
-        self.state.update((json.dumps((done, values)),))
+        for pdf in rows:
+            known |= {str(i): float(v) for i, v in zip(pdf["frame_idx"].tolist(), pdf["motion"].tolist())}
+        if len(known) >= self.size:
+            window = np.array([v for _, v in sorted((int(i), v) for i, v in known.items())])
+            out.append((key[0], int(key[1]), window.mean(), window.std(), window.max(), np.abs(np.diff(window)).mean()))
+            self.state.clear()
+        else:
+            self.state.update((json.dumps(known),))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in self.output.split(", ")])
 
     def close(self):

@@ -74,7 +74,8 @@ def stale_metric_stream(polls: DataFrame) -> DataFrame:
 
 
 def count_window_stream(frames: DataFrame, cfg: CrashConfig = CrashConfig()) -> DataFrame:
-    return frames.groupBy("video").transformWithStateInPandas(
+    window = F.floor(F.col("frame_idx") / cfg.frames_per_window).cast("bigint")
+    return frames.withColumn("window_index", window).groupBy("video", "window_index").transformWithStateInPandas(
         P.CountWindowProcessor(cfg.frames_per_window), P.CountWindowProcessor.output, "Append", "None")
 
 
