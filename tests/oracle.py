@@ -33,7 +33,7 @@ def plain(value):
 
 
 def sort_key(row):
-    return [(v is None, str(type(v)), f"{v:.6f}" if isinstance(v, float) else str(v)) for v in row]
+    return [(v is None, str(type(v)), f"{round(v, 6) + 0.0:.6f}" if isinstance(v, float) else str(v)) for v in row]
 
 
 def same(a, b):
