@@ -161,3 +161,25 @@ def test_cooldown_edge():
     fold = folds.Cooldown("ts", "want", K.REROUTE_COOLDOWN_MS)
     out = run(fold, ts=[0, 2999, 3000, 3001], want=[True, True, True, True])
     assert out["granted"].tolist() == [True, False, True, False]
+
+
+@pytest.mark.parametrize("level", [.1, .6, .5, .9])
+def test_quiet_hot_zone_needs_few_rounds(spark, monkeypatch, level):
+    """64 chunks of a zone that stays in one level after a short start; each state round is one collect of exits."""
+    n = 64 * 200
+    first = F.when(F.col("id") < 20, .7).otherwise(level)      # .5 then keeps the warn of the start
+    quiet = spark.range(n).select("id", (F.col("id") * 1000).alias("ts"), F.lit("A").alias("zone"), first.alias("risk_raw"), F.lit(1.0).alias("magnitude"))
+    quiet = quiet.withColumn("want", F.col("id") % 4000 == 7)
+    rounds, exits = [], O._exits
+    monkeypatch.setattr(O, "_exits", lambda *a: rounds.append(1) or exits(*a))
+    for fold in (folds.RiskState(), folds.FallDetector(), folds.AltRisk("risk_raw", "risk_raw", "risk_raw"), folds.Cooldown("ts", "want", 3000)):
+        rounds.clear()
+        names = ["id", *fold.output]
+        assert rows(O.ordered_fold(quiet, ["zone"], ["ts", "id"], fold, 200), *names) == rows(O.ordered_fold(quiet, ["zone"], ["ts", "id"], fold), *names)
+        assert 1 <= len(rounds) <= 3, type(fold).__name__
+
+
+def test_null_risk_carries_the_average():
+    out = run(folds.RiskState(), ts=[0, 1000, 2000, 3000], risk_raw=[None, .5, None, .5])
+    assert out["risk_ema"].tolist() == pytest.approx([0, .175, .175, .28875])
+    assert out["severity"].tolist() == ["info"] * 4

@@ -31,7 +31,11 @@ class Ewma(Fold):
 
 
 class RiskState(Fold):
-    """Risk average, slope, trend and severity with hold times and a minimum dwell."""
+    """Risk average, slope, trend and severity with hold times and a minimum dwell.
+
+    A NULL risk carries the average on; before the first risk it is 0. The state keeps no time beyond what a hold or the dwell
+    asks for, so a zone that stays as it is has the same state however long it did.
+    """
 
     output = {"risk_ema": "double", "slope_per_sec": "double", "trend": "string", "severity": "string",
               "changed": "boolean"}
@@ -49,7 +53,7 @@ class RiskState(Fold):
         times, risks = columns[self.ts].tolist(), risks.tolist()
         averages, slopes, severities, changes = [], [], [], []
         if state is None:
-            ema, since, last = risks[0], times[0], times[0]
+            ema, since, last = risks[0] if risks[0] == risks[0] else 0.0, times[0], times[0]
             severity = "critical" if ema >= critical_up else "warn" if ema >= warn_up else "info"
             # held times: above warn, above critical, below warn, below critical
             slope, above_w, above_c, below_w, below_c = 0.0, 0, 0, 0, 0
@@ -62,7 +66,7 @@ class RiskState(Fold):
         begun = len(averages)
         for i, (ts, risk) in enumerate(zip(times, risks), begun):
             dt = ts - last if ts > last else 0
-            average = take * risk + keep * ema
+            average = take * risk + keep * ema if risk == risk else ema
             if dt:
                 slope = (average - ema) / (dt / 1000)
             ema, last = average, ts
@@ -84,10 +88,17 @@ class RiskState(Fold):
         trend = np.where(slope_array > cfg.slope_eps, "rising", np.where(slope_array < -cfg.slope_eps, "falling", "flat"))
         if state is None:
             trend[0] = "flat"
-        return (ema, slope, severity, since, last, above_w, above_c, below_w, below_c), {
+        state = (ema, slope, severity, max(since, last - cfg.min_change_interval_ms), last,
+                 min(above_w, cfg.to_warn_hold_ms), min(above_c, cfg.to_critical_hold_ms),
+                 min(below_w, cfg.to_info_hold_ms), min(below_c, cfg.to_warn_from_critical_hold_ms))
+        return state, {
             "risk_ema": np.array(averages), "slope_per_sec": slope_array, "trend": trend.astype(object),
             "severity": _object(severities), "changed": changed}
 
+    def variants(self, state, settled):
+        moved = (*settled[:3], settled[3] + state[4] - settled[4], state[4], *settled[5:])
+        return [(*s[:2], level, *s[3:]) for s in (state, moved) for level in ("info", "warn", "critical")]
+
     def _next(self, severity, above_warn, above_critical, below_warn, below_critical):
         cfg = self.cfg
         if severity == "info" and above_warn >= cfg.to_warn_hold_ms:
@@ -124,6 +135,9 @@ class AltRisk(Fold):
             levels.append(level)
         return (risk, level), {"alt_risk": np.array(risks), "alt_state": _object(levels)}
 
+    def variants(self, state, settled):
+        return [(s[0], level) for s in (state, settled) for level in ("normal", "warn", "critical")]
+
     def _next(self, level, risk):
         cfg = self.cfg
         if level == "critical" and risk > cfg.critical_off:
@@ -157,6 +171,8 @@ class Cooldown(Fold):
             if grant:
                 last = ts
             out.append(grant)
+        # a grant (or none) longer ago than the gap is as good as one just that long ago
+        last = times[-1] - self.gap_ms if last is None else max(last, times[-1] - self.gap_ms)
         return (last,), {"granted": np.array(out, dtype=bool)}
 
 
@@ -226,7 +242,10 @@ class FallDetector(Fold):
                 phase = "idle"
             phases.append(phase)
             events.append(event)
-        return (phase, fell, hit, moved, before, prompted), {"phase": _object(phases), "fall_event": _object(events)}
+        # a phase remembers only the times it asks for
+        state = (phase, fell if phase == "freefall" else 0, hit if phase == "impact" else 0, moved if phase == "impact" else 0, before,
+                 prompted if phase == "prompt" else None)
+        return state, {"phase": _object(phases), "fall_event": _object(events)}
 
 
 def _object(values) -> np.ndarray:

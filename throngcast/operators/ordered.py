@@ -233,6 +233,13 @@ class Fold:
     def run(self, state, columns):
         raise NotImplementedError
 
+    def variants(self, state: tuple, settled: tuple) -> list[tuple]:
+        """States a chunk may start from, given a guess and the last state of the key that is certain.
+
+        Rows may leave a level as it is, and an average that starts elsewhere may come to rest one last digit apart.
+        """
+        return [settled]
+
 
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], fold: Fold,
                  rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
@@ -240,7 +247,8 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], fold: Fold,
 
     Chunks of a large key run at once. Each starts from an assumed state; chunks whose assumed state
     differs from what the chunk before ended with run again until all agree, so the result is that of
-    one sequential pass. State machines with resets and decaying averages agree after two or three rounds.
+    one sequential pass. State machines with resets, decaying averages, and timers cut at their hold times agree after two or
+    three rounds, quiet keys included; a throttle whose grants follow one another without a pause may take more.
     """
     c = chunked(df, keys, order, rows_per_chunk)
     chunk = ["_chunk"] if c.split else []
@@ -259,23 +267,42 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], fold: Fold,
 
 
 def _agree_on_states(hot: DataFrame, keys: list[str], fold: Fold) -> dict:
-    entry, exits, pending = {}, {}, None
-    schema = "id string, state string"
-    while pending is None or pending:
-        # one row per chunk that ran, at most a few thousand
-        for row in hot.mapInArrow(_exits(fold, keys, entry, pending), schema).collect():
-            exits[row.id] = row.state
+    """Entry state of every chunk of the cut keys.
+
+    Each round runs only chunks that still lack the exit for their entry state; Spark filters the others out. The driver
+    holds one small row per chunk and tried state. From the third round on a chunk is tried with all the
+    fold's variants of the state, so that a level which nothing resets does not cost a round per chunk.
+    """
+    schema = "id string, at bigint, entry string, state string"
+    marked = hot.withColumn("_at", F.xxhash64(*keys, "_chunk"))
+    tried: dict[str, dict] = {}
+    place: dict[str, int] = {}
+    wanted: dict[str, list] | None = None
+    rounds = 0
+    while wanted is None or wanted:
+        rows = marked if wanted is None else marked.filter(F.col("_at").isin([place[name] for name in wanted]))
+        for row in rows.mapInArrow(_exits(fold, keys, wanted), schema).collect():
+            tried.setdefault(row.id, {})[row.entry] = row.state
+            place[row.id] = row.at
+        rounds += 1
+        entry, wanted = {}, {}
         chunks: dict = {}
-        for name in exits:
+        for name in tried:
             *key, number = json.loads(name)
             chunks.setdefault(json.dumps(key), []).append((number, name))
-        pending = set()
         for numbered in chunks.values():
-            numbered.sort()
-            for (_, before), (_, after) in zip(numbered, numbered[1:]):
-                if entry.get(after) != exits[before]:
-                    entry[after] = exits[before]
-                    pending.add(after)
+            state, *_ = tried[min(numbered)[1]].values()
+            settled = None
+            for _, name in sorted(numbered)[1:]:
+                entry[name], known = state, tried[name]
+                if state not in known:
+                    settled = settled or state
+                if settled:                              # this chunk or one before lacks its exit
+                    likely = [json.dumps(v) for v in fold.variants(_load(state), _load(settled))] if rounds > 1 else []
+                    new = [v for v in dict.fromkeys([state, *likely]) if v not in known]
+                    if new:
+                        wanted[name] = new
+                state = known.get(state, [*known.values()][-1])      # an exit, or a guess for the chunks that follow
     return entry
 
 
@@ -322,20 +349,29 @@ def _emit(fold: Fold, keys: list[str], chunk: list[str], kept: list[str], entry:
     return run
 
 
-def _exits(fold: Fold, keys: list[str], entry: dict, pending: set | None):
+def _exits(fold: Fold, keys: list[str], wanted: dict[str, list] | None):
+    """(id, _at, entry, exit) of every chunk for each state it is tried with; the first round knows none."""
     def run(batches):
-        current, state, ends = None, None, {}
+        current, states, ends = None, {}, []
+
+        def close():
+            ends.extend((current, at, entry, json.dumps(state)) for entry, state in states.items())
+
         for batch in batches:
-            values = _inputs(batch, fold)
+            values, ats = _inputs(batch, fold), batch.column("_at")
             for name, first, end in _segments(batch, keys + ["_chunk"]):
-                if pending is not None and name not in pending:
+                if wanted is not None and name not in wanted:
                     continue
                 if name != current:
-                    current, state = name, _load(entry.get(name))
-                state, _ = fold.run(state, {n: v[first:end] for n, v in values.items()})
-                ends[name] = json.dumps(state)
-        yield pa.RecordBatch.from_pydict({"id": pa.array(list(ends), pa.string()),
-                                          "state": pa.array(list(ends.values()), pa.string())})
+                    close()
+                    current, at = name, ats[first].as_py()
+                    states = {e: _load(e) for e in ([None] if wanted is None else wanted[name])}
+                rows = {n: v[first:end] for n, v in values.items()}
+                states = {e: fold.run(s, rows)[0] for e, s in states.items()}
+        close()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([e[i] for e in ends], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))],
+            ["id", "at", "entry", "state"])
     return run
 
 
