@@ -36,7 +36,7 @@ def _(t):
     return rounded(kept.groupBy("dataset", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("speed_mean").alias("speed")), 6)
 
 
-@query("eval_log_ranking", "S17 S16 A36", """
+@query("eval_log_ranking", "S17 A36", """
     SELECT CAST(row_number() OVER (ORDER BY avg(d) DESC) AS INT) AS rank, 'log' AS run, round(avg(d), 6) AS score, count(*) AS compared_pairs FROM (
         SELECT max(m) FILTER (split = 'abnormal') - max(m) FILTER (split = 'normal') + 0.5e0 * (max(p) FILTER (split = 'abnormal') - max(p) FILTER (split = 'normal')) AS d FROM (
             SELECT dataset, split, round(avg(anomaly), 9) AS m, round(quantile_cont(anomaly, 0.95), 9) AS p FROM eval_rows GROUP BY ALL) GROUP BY dataset)""")

@@ -61,7 +61,7 @@ def _(t):
     return rounded(_bags(t))
 
 
-@query("mil_pair_loss", "A24 U03", """
+@query("mil_pair_loss", "A24", """
     SELECT a.video // 2 AS pair_id, round(greatest(0e0, 1 - (a.topk_mean - b.topk_mean)), 9) AS ranking,
            round(greatest(0e0, 1 - (a.topk_mean - b.topk_mean)) + 8e-5 * a.sparsity + 8e-5 * a.smoothness, 9) AS total
     FROM bags a JOIN bags b ON b.video = a.video + 1 WHERE a.video % 2 = 0""", views=_SCORED)
@@ -148,7 +148,7 @@ def _(t):
     return M.status_tally(rows)
 
 
-@query("balanced_sample", "W21 J22 U01", "SELECT dataset, least(count(*), 1000) AS kept FROM eval_rows GROUP BY dataset")
+@query("balanced_sample", "W21", "SELECT dataset, least(count(*), 1000) AS kept FROM eval_rows GROUP BY dataset")
 def _(t):
     """Rows kept per dataset by a capped sample over all rows."""
     s = sampling.balanced_sample(t.eval_rows, "dataset", ["o_orderkey"], 1000)
@@ -163,7 +163,7 @@ def _(t):
     return parts.groupBy("dataset", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("holdout_split", "W23 J16", """
+@query("holdout_split", "W23", """
     SELECT split, n FROM (SELECT count(*) AS t, CAST(greatest(1, round_even(count(*) * 0.1e0, 0)) AS BIGINT) AS v FROM orders), LATERAL (VALUES ('val', v), ('train', t - v)) x(split, n)""")
 def _(t):
     return sampling.holdout_split(t.read("orders").select("o_orderkey"), ["o_orderkey"]).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
@@ -192,7 +192,7 @@ def _(t):
     return rounded(ml.anomaly_scores(rows, ["zone_id"], ["ts"], model).select("ts", "zone_id", "anomaly"), 6)
 
 
-@query("tuning_runs", "M08 A36 S18", None)
+@query("tuning_runs", "M08 A36", None)
 def _(t):
     rows = _training_rows(t).withColumn("split", F.when(F.col("ts") % 2 == 0, "normal").otherwise("abnormal"))
     runs = ml.tuning_grid(rows, ["ts", "zone_id"], rows, ["auto", 0.05], ForestConfig(trees=50))

@@ -48,7 +48,7 @@ def _(t):
     return rounded(P.presence_grid(P.latest_presence(t.presence)))
 
 
-@query("presence_windows", "T12 A15", f"""
+@query("presence_windows", "A15", f"""
     SELECT start_ms, lat_cell, lng_cell, count(*) AS users FROM (
         SELECT *, unnest(range(0, 10)) AS back FROM (SELECT t_ms, {_CELL} FROM (SELECT lat, lng, (ts_ms - 1704067200000) // 10000 AS t_ms FROM presence)))
     , LATERAL (SELECT (t_ms // 3000 - back) * 3000 AS start_ms) GROUP BY ALL HAVING count(*) >= 2""")
@@ -60,7 +60,7 @@ def _(t):
     return P.presence_grid(w, ["start_ms"]).select("start_ms", "lat_cell", "lng_cell", "users")
 
 
-@query("presence_validation", "P17 S11", """
+@query("presence_validation", "P17", """
     SELECT CASE WHEN event_id % 11 = 0 THEN 'userId is required' WHEN event_id % 7 = 0 OR event_id % 13 = 0 THEN 'lat/lng must be finite numbers' END AS rejected,
            count(*) AS n, sum(CASE WHEN event_id % 5 = 0 THEN 99 ELSE event_id END)::BIGINT AS ts_sum FROM events GROUP BY 1""")
 def _(t):
@@ -125,7 +125,7 @@ def _(t):
     return rounded(scored.select("c_custkey", S.heat_band(F.col("score"), K.CROWD_HEAT_BANDS).alias("band"), "score"))
 
 
-@query("camera_first_n", "O04 P35 S07", """
+@query("camera_first_n", "O04 P35", """
     SELECT camera_id, round(lat, 9) AS lat FROM (SELECT * FROM cameras ORDER BY feed_pos LIMIT 30) WHERE lat IS NOT NULL AND image_url IS NOT NULL""")
 def _(t):
     return rounded(C.first_cameras(t.cameras, 30).select("camera_id", "lat"))
@@ -158,15 +158,19 @@ def _(t):
     return C.system_metrics(t.cameras, P.latest_presence(t.presence), _now(t))
 
 
-@query("metric_staleness", "T10", """, fold AS (
+METRIC_FOLD = """, fold AS (
     SELECT zone_id, rn, arrival, CASE WHEN value IS NOT NULL THEN ts END AS fetched, value AS last, CASE WHEN value IS NULL THEN 'unavailable' ELSE 'live' END AS source
     FROM ordered WHERE rn = 1
     UNION ALL SELECT zone_id, rn, arrival, CASE WHEN good THEN ts ELSE fetched END, CASE WHEN good THEN value ELSE last END,
         CASE WHEN good THEN 'live' WHEN fetched IS NULL THEN 'unavailable' ELSE 'cache' END FROM (
         SELECT o.*, f.fetched, f.last, (f.fetched IS NULL OR o.ts - f.fetched > 45000) AND o.value IS NOT NULL AS good
         FROM fold f JOIN ordered o ON o.zone_id = f.zone_id AND o.rn = f.rn + 1))
-    SELECT arrival, last AS last_value, fetched AS updated_at, source FROM fold""", recursive=True, views={"ordered": """
-        SELECT zone_id, arrival, ts, CASE WHEN conf IS NOT NULL THEN density END AS value, row_number() OVER (PARTITION BY zone_id ORDER BY ts, arrival) AS rn FROM perception"""})
+    SELECT arrival, last AS last_value, fetched AS updated_at, source FROM fold"""
+METRIC_VIEWS = {"ordered": """
+        SELECT zone_id, arrival, ts, CASE WHEN conf IS NOT NULL THEN density END AS value, row_number() OVER (PARTITION BY zone_id ORDER BY ts, arrival) AS rn FROM perception"""}
+
+
+@query("metric_staleness", "", METRIC_FOLD, recursive=True, views=METRIC_VIEWS)
 def _(t):
     polls = t.perception.select("arrival", "zone_id", F.col("ts").alias("ts_ms"), F.when(F.col("conf").isNotNull(), F.col("density")).alias("value"))
     return C.metric_with_staleness(polls, ["zone_id"], ["ts_ms", "arrival"]).select("arrival", "last_value", "updated_at", "source")
@@ -205,7 +209,7 @@ def _(t):
     return t.read("documents").select("doc_id", F.octet_length(data).cast("bigint").alias("bytes"), F.md5(data).alias("digest"))
 
 
-@query("geometry_paths", "P13 S13 A27", """
+@query("geometry_paths", "P13 A27", """
     SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 3 THEN 0 ELSE 1 END AS paths, round(CASE WHEN s_suppkey % 4 <> 3 THEN s_nationkey + 0.5e0 END, 6) AS lat,
            round(CASE WHEN s_suppkey % 4 <> 3 THEN s_suppkey + 1e0 END, 6) AS lng FROM supplier""")
 def _(t):
@@ -237,9 +241,9 @@ def _(t):
 
 @query("skip_existing", "S19", """
     SELECT substr(sha1('event-' || event_id), 1, 12) AS cache_key, event_id FROM events e WHERE NOT EXISTS (
-        SELECT 1 FROM orders WHERE o_orderkey = e.event_id)""")
+        SELECT 1 FROM orders WHERE o_orderkey = e.event_id AND o_orderstatus = 'O')""")
 def _(t):
     from ..sources.catalogs import cache_key, not_yet_done
     rows = t.read("events").select("event_id", cache_key(F.concat(F.lit("event-"), F.col("event_id").cast("string"))).alias("cache_key"))
-    done = t.read("orders").select(cache_key(F.concat(F.lit("event-"), F.col("o_orderkey").cast("string"))).alias("cache_key"))
-    return not_yet_done(rows, done, "cache_key")
+    finished = t.read("orders").filter("o_orderstatus = 'O'")
+    return not_yet_done(rows, finished.select(cache_key(F.concat(F.lit("event-"), F.col("o_orderkey").cast("string"))).alias("cache_key")), "cache_key")

@@ -66,7 +66,7 @@ def _(t):
     return rounded(t.perception.select("arrival", S.fused_risk(F.col("density"), F.col("anomaly")).alias("risk")))
 
 
-@query("expand_routing_zones", "J01 S05", f"""
+@query("expand_routing_zones", "J01", f"""
     SELECT routing_zone_id, parent_id, round(coalesce(risk, 0e0), 9) AS risk, {_SEV.format('coalesce(risk, 0e0)')} AS severity
     FROM routing_zones LEFT JOIN zone_avg ON zone_id = parent_id""")
 def _(t):
@@ -90,7 +90,7 @@ def _(t):
     return rounded(I.local_deltas(t.incidents), 4)
 
 
-@query("blocked_zones", "A05 A38", "SELECT zone_id, local_delta >= 9999 AS blocked FROM deltas")
+@query("blocked_zones", "A05", "SELECT zone_id, local_delta >= 9999 AS blocked FROM deltas")
 def _(t):
     return I.with_blocked(I.local_deltas(t.incidents)).select("zone_id", "blocked")
 
@@ -225,18 +225,22 @@ _FALL = """
             FROM falls f JOIN samples s ON s.device = f.device AND s.rn = f.rn + 1))"""
 
 
-@query("fall_events", "W26 T08", "SELECT arrival, phase, event AS fall_event FROM falls WHERE rn > 0", recursive=True, views={
+FALL_VIEWS = {
     "samples": """SELECT *, row_number() OVER (PARTITION BY device ORDER BY ts, arrival) AS rn FROM (
         SELECT event_id AS arrival, user_id % 10 AS device, (epoch_us(ts) // 1000) // 2000 AS ts, CASE WHEN value < 20 THEN 0.2e0 WHEN value > 60 THEN 3e0 ELSE 1e0 END AS m FROM events)""",
-    "falls": _FALL})
-def _(t):
+    "falls": _FALL}
+
+
+def fall_samples(events):
     """Accelerometer magnitudes derived from the events: calm, free fall and impact phases per user."""
-    e = t.read("events").select(
-        F.col("event_id").alias("arrival"), (F.col("user_id") % 10).alias("device"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"),
-        F.col("value"))
-    samples = e.withColumn("ts", F.floor(F.col("ms") / 2000)).withColumn(
-        "magnitude", F.when(F.col("value") < 20, 0.2).when(F.col("value") > 60, 3.0).otherwise(1.0))
-    return ordered_fold(samples, ["device"], ["ts", "arrival"], folds.FallDetector()).select("arrival", "phase", "fall_event")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return events.select(F.col("event_id").alias("arrival"), (F.col("user_id") % 10).alias("device"), F.floor(ms / 2000).alias("ts"),
+                         F.when(F.col("value") < 20, 0.2).when(F.col("value") > 60, 3.0).otherwise(1.0).alias("magnitude"))
+
+
+@query("fall_events", "W26", "SELECT arrival, phase, event AS fall_event FROM falls WHERE rn > 0", recursive=True, views=FALL_VIEWS)
+def _(t):
+    return ordered_fold(fall_samples(t.read("events")), ["device"], ["ts", "arrival"], folds.FallDetector()).select("arrival", "phase", "fall_event")
 
 
 @query("newest_incidents", "W25", """
@@ -248,7 +252,7 @@ def _(t):
     return newest_per_key(t.incidents, ["zone_id"], "ts", 60, "incident_id").select("zone_id", "incident_id", "newest_rank")
 
 
-@query("open_incidents", "T04 A38", """
+@query("open_incidents", "T04", """
     SELECT zone_id, CAST(count(*) AS BIGINT) AS open, round(sum(coalesce(value, 0e0)), 4) AS value FROM (
         SELECT user_id, arg_max(event_type, event_id) AS op, arg_max(value, event_id) AS value, 'Z' || (user_id % 25) AS zone_id
         FROM events GROUP BY user_id) WHERE op <> 'signup' GROUP BY zone_id""")

@@ -29,7 +29,7 @@ def costs(t, mode="alert"):
     return graph.edge_costs(t.edges, zone_risk(t), small_deltas(t), zone_load(t), mode)
 
 
-@query("edge_costs", "G01 J05 U06 S06", "SELECT edge_id, src, dst, zone_id, length, round(cost, 6) AS cost FROM arcs")
+@query("edge_costs", "G01 J05 U06", "SELECT edge_id, src, dst, zone_id, length, round(cost, 6) AS cost FROM arcs")
 def _(t):
     return rounded(costs(t), 6)
 
@@ -50,7 +50,7 @@ def routes(t):
     return graph.cheapest_routes(costs(t), t.exits.select(F.col("exit_id").alias("node")))
 
 
-@query("shortest_paths", "G02 G05 F03", """
+@query("shortest_paths", "G02 G05", """
     SELECT source, node, round(cost, 6) AS cost, CAST(len(nodes) - 1 AS INT) AS hops, array_to_string(nodes, '>') AS route FROM best WHERE rn = 1""",
        recursive=True, views={"walks": _WALKS, "best": _BEST})
 def _(t):

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..streaming import streams
 from .catalog import query, rounded
-from .queries_risk import STATE_VIEWS
+from .queries_presence import METRIC_FOLD, METRIC_VIEWS
+from .queries_risk import FALL_VIEWS, STATE_VIEWS, fall_samples
 from .views import Tables
 
 
@@ -61,3 +62,27 @@ def _(t):
 def _(t):
     requests = _stream(t).perception.select(F.col("zone_id").alias("cache_key"), "ts", "arrival", F.col("density").alias("value"))
     return rounded(streams.run_to_table(streams.inference_cache_stream(requests), "stream_cache").select("arrival", "cached_value", "hit"))
+
+
+@query("stream_falls", "T08", "SELECT arrival, phase, event AS fall_event FROM falls WHERE rn > 0", recursive=True, views=FALL_VIEWS)
+def _(t):
+    """The timer's own rows (no sample behind them) are left to the tests."""
+    samples = fall_samples(_stream(t).read("events"))
+    return streams.run_to_table(streams.fall_stream(samples), "stream_falls").filter("arrival IS NOT NULL").select("arrival", "phase", "fall_event")
+
+
+@query("stream_metric", "T10", METRIC_FOLD, recursive=True, views=METRIC_VIEWS)
+def _(t):
+    polls = _stream(t).perception.select("arrival", F.col("zone_id").alias("metric"), F.col("ts").alias("ts_ms"), F.when(F.col("conf").isNotNull(), F.col("density")).alias("value"))
+    return streams.run_to_table(streams.stale_metric_stream(polls), "stream_metric").select("arrival", "last_value", "updated_at", "source")
+
+
+@query("stream_windows", "T11", """
+    SELECT video, window_index, round(avg(motion), 6) AS motion_mean, max(motion) AS motion_max, round(avg(jerk), 6) AS jerk_mean FROM (
+        SELECT *, abs(motion - lag(motion) OVER (PARTITION BY video, window_index ORDER BY frame_idx)) AS jerk FROM (
+            SELECT 'c' || (event_id % 8) AS video, event_id // 8 AS frame_idx, event_id // 8 // 10 AS window_index, value AS motion FROM events))
+    GROUP BY video, window_index HAVING count(*) = 10""")
+def _(t):
+    e = F.col("event_id")
+    frames = _stream(t).read("events").select(F.concat(F.lit("c"), (e % 8).cast("string")).alias("video"), F.floor(e / 8).alias("frame_idx"), F.col("value").alias("motion"))
+    return rounded(streams.run_to_table(streams.count_window_stream(frames), "stream_windows").select("video", "window_index", "motion_mean", "motion_max", "jerk_mean"), 6)

@@ -12,7 +12,7 @@ _WINDOW_COLS = ["motion_mean", "motion_std", "motion_max", "motion_p90", "jerk_m
                 "edge_std", "start_sec", "end_sec"]
 
 
-@query("crash_windows", "A17 W20 T11", "SELECT video, window_index, " + ", ".join(f"round({c}, 9) AS {c}" for c in _WINDOW_COLS) + " FROM windows")
+@query("crash_windows", "A17 W20", "SELECT video, window_index, " + ", ".join(f"round({c}, 9) AS {c}" for c in _WINDOW_COLS) + " FROM windows")
 def _(t):
     return rounded(C.crash_windows(t.frame_scores))
 
@@ -51,7 +51,7 @@ def _(t):
     return rounded(C.crash_summary(_scored(t), ["video"]))
 
 
-@query("frame_sampling", "W16 O08", """
+@query("frame_sampling", "W16", """
     SELECT video, frame_idx, frame_idx // 8 AS processed_index FROM frame_scores WHERE frame_idx % 8 = 0""")
 def _(t):
     return C.sampled(t.frame_scores, ["video"], ["frame_idx"], 25.0, 3.0).select("video", "frame_idx", "processed_index")

@@ -32,7 +32,7 @@ def _(t):
     return rounded(Z.zone_density(Z.detections_by_zone(t.detections), frames))
 
 
-@query("head_vehicle_pivot", "A03 A34 X05", """
+@query("head_vehicle_pivot", "A03 A34", """
     SELECT frame_id, zone_id, count(*) FILTER (label = 'person') AS people, count(*) FILTER (label = 'vehicle') AS vehicles,
            count(*) FILTER (label = 'head') AS heads, round(least(1e0, count(*) FILTER (label <> 'head') / 25e0), 9) AS activity
     FROM located WHERE zone_id IS NOT NULL GROUP BY ALL""")
@@ -77,13 +77,13 @@ def _(t):
     return rounded(t.features.select("ts", "zone_id", "speed_mean", "speed_var", "dir_entropy", "divergence", "turbulence"))
 
 
-@query("motion_occupancy", "A10 G06", """
+@query("motion_occupancy", "A10", """
     SELECT ts, zone_id, samples, active_samples, round(density, 9) AS occupancy FROM features""")
 def _(t):
     return rounded(t.features.select("ts", "zone_id", "samples", "active_samples", "occupancy"))
 
 
-@query("feature_deltas", "W06 X06", """
+@query("feature_deltas", "W06", """
     SELECT ts, zone_id, round(speed_mean - coalesce(lag(speed_mean) OVER w, 0e0), 9) AS delta_speed_mean,
            round(dir_entropy - coalesce(lag(dir_entropy) OVER w, 0e0), 9) AS delta_dir_entropy,
            round(density - coalesce(lag(density) OVER w, 0e0), 9) AS delta_density FROM features WINDOW w AS (PARTITION BY zone_id ORDER BY ts)""")
@@ -137,7 +137,7 @@ _FUSE_FOLD = """, fold AS (
 _SPREAD = "greatest(0e0, least(1e0, {} * weight * zones_at_ts))"
 
 
-@query("hybrid_fusion", "W12 X03", _FUSE_FOLD, recursive=True, views={"ordered": f"""
+@query("hybrid_fusion", "W12", _FUSE_FOLD, recursive=True, views={"ordered": f"""
     SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY ts) AS rn FROM (
         SELECT ts, zone_id, greatest(0e0, least(1e0, (1 - mix) * anomaly_raw + mix * spread)) AS fused FROM (
             SELECT *, least(1e0, 0.65e0 * {_CONF}) AS mix, {_SPREAD.format(_GLOBAL)} AS spread FROM activity JOIN fallback USING (ts, zone_id)))"""})
@@ -145,7 +145,7 @@ def _(t):
     return _fused(t, False)
 
 
-@query("ensemble_fusion", "W13 X04", _FUSE_FOLD, recursive=True, views={"ordered": f"""
+@query("ensemble_fusion", "W13", _FUSE_FOLD, recursive=True, views={"ordered": f"""
     SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY ts) AS rn FROM (
         SELECT ts, zone_id, greatest(0e0, least(1e0, b / total * anomaly_raw + mix / total * spread + 0.25e0 / total * mil)) AS fused FROM (
             SELECT *, greatest(0e0, 1 - mix - 0.25e0) AS b, greatest(0e0, 1 - mix - 0.25e0) + mix + 0.25e0 AS total FROM (
@@ -155,7 +155,7 @@ def _(t):
     return _fused(t, True)
 
 
-@query("baseline_inference", "X01 M04 W17 S15", """, fold AS (
+@query("baseline_inference", "M04", """, fold AS (
     SELECT zone_id, ts, rn, anomaly_raw AS anomaly FROM ordered WHERE rn = 1
     UNION ALL SELECT o.zone_id, o.ts, o.rn, 0.7e0 * f.anomaly + (1 - 0.7e0) * o.anomaly_raw FROM fold f JOIN ordered o ON o.zone_id = f.zone_id AND o.rn = f.rn + 1)
     SELECT ts, zone_id, round(anomaly, 9) AS anomaly FROM fold""", recursive=True, views={
@@ -165,7 +165,7 @@ def _(t):
     return rounded(anomaly_scores(t.features, ["zone_id"], ["ts"]).select("ts", "zone_id", "anomaly"))
 
 
-@query("behaviour_blend", "P26 W18 X02", """, fold AS (
+@query("behaviour_blend", "P26 W18", """, fold AS (
     SELECT zone_id, ts, rn, r AS risk FROM ordered WHERE rn = 1
     UNION ALL SELECT o.zone_id, o.ts, o.rn, 0.7e0 * f.risk + (1 - 0.7e0) * o.r FROM fold f JOIN ordered o ON o.zone_id = f.zone_id AND o.rn = f.rn + 1)
     SELECT ts, zone_id, round(risk, 9) AS risk FROM fold""", recursive=True, views={"ordered": f"""
