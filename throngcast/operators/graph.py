@@ -40,36 +40,52 @@ def edge_costs(edges: DataFrame, zone_risk: DataFrame | None = None, deltas: Dat
         .select("edge_id", "src", "dst", "zone_id", "length", "cost")
 
 
-def cheapest_routes(edges: DataFrame, starts: DataFrame, reverse: bool = False, max_rounds: int | None = None) -> DataFrame:
-    """Cheapest route from every start to every node it reaches: source, node, cost, hops, nodes, edge_ids.
+ROUNDS_PER_CHECKPOINT = 4
 
-    All starts relax together, one join and one pre-aggregated minimum per round; a round extends only
-    routes that improved in the round before, and ends when none did. Ties: fewest hops, then node order.
-    With ``reverse`` routes run from the node to the source (start from the exits once to serve all nodes).
-    """
+
+def _relaxed(best: DataFrame, steps: DataFrame, keys: list[str], reverse: bool) -> DataFrame:
+    """One round: every route that improved in the last one is extended by a step; the least route per key stays."""
+    grow = lambda old, new: F.concat(F.array(new), old) if reverse else F.concat(old, F.array(new))
+    route = F.col("route")
+    longer = route.withField("cost", route.cost + F.col("_step.cost")).withField("hops", route.hops + 1) \
+        .withField("nodes", grow(route.nodes, F.col("_there"))).withField("edge_ids", grow(route.edge_ids, F.col("_step.edge_id").cast("string")))
+    open_ = F.col("_there").isNotNull() & ~F.array_contains(route.nodes, F.col("_there"))
+    both = F.array(F.struct("node", route.withField("fresh", F.lit(False)).alias("route")),
+                   F.when(open_, F.struct(F.col("_there").alias("node"), longer.alias("route"))))
+    rows = best.join(steps, (F.col("node") == F.col("_here")) & route.fresh, "left") \
+        .select(*[k for k in keys if k != "node"], F.explode(F.filter(both, lambda r: r.isNotNull())).alias("r"))
+    return rows.select(*[k for k in keys if k != "node"], "r.*").groupBy(*keys).agg(F.min("route").alias("route"))
+
+
+def _relax_all(edges: DataFrame, best: DataFrame, keys: list[str], reverse: bool, max_rounds: int | None) -> DataFrame:
+    """Rounds until no route improves; ``best`` has the keys (``node`` among them) and ``rank``, which settles equal costs."""
     here, there = ("dst", "src") if reverse else ("src", "dst")
     steps = cut_lineage(edges.groupBy(F.col(here).alias("_here"), F.col(there).alias("_there"))
                         .agg(F.min(F.struct("cost", "edge_id")).alias("_step")))
-    best = starts.select(F.col("node").alias("source"), "node").distinct().withColumn("route", F.struct(
-        F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.array("node").alias("nodes"),
-        F.array().cast("array<string>").alias("edge_ids"), F.lit(True).alias("fresh")))
-    best = cut_lineage(best)
+    best = best.select(*keys, F.struct(
+        F.lit(0.0).alias("cost"), "rank", F.lit(0).alias("hops"), F.array("node").alias("nodes"),
+        F.array().cast("array<string>").alias("edge_ids"), F.lit(True).alias("fresh")).alias("route"))
     rounds = 0
     while max_rounds is None or rounds < max_rounds:
-        grow = lambda old, new: F.concat(F.array(new), old) if reverse else F.concat(old, F.array(new))
-        longer = best.filter("route.fresh").join(steps, F.col("node") == F.col("_here")) \
-            .filter(~F.array_contains("route.nodes", F.col("_there"))) \
-            .select("source", F.col("_there").alias("node"), F.struct(
-                (F.col("route.cost") + F.col("_step.cost")).alias("cost"), (F.col("route.hops") + 1).alias("hops"),
-                grow(F.col("route.nodes"), F.col("_there")).alias("nodes"),
-                grow(F.col("route.edge_ids"), F.col("_step.edge_id").cast("string")).alias("edge_ids"),
-                F.lit(True).alias("fresh")).alias("route"))
-        old = best.withColumn("route", F.col("route").withField("fresh", F.lit(False)))
-        best = cut_lineage(old.unionByName(longer).groupBy("source", "node").agg(F.min("route").alias("route")))
-        rounds += 1
+        for _ in range(min(ROUNDS_PER_CHECKPOINT, (max_rounds or ROUNDS_PER_CHECKPOINT + rounds) - rounds)):
+            best = _relaxed(best, steps, keys, reverse)
+            rounds += 1
+        best = cut_lineage(best)
         if best.filter("route.fresh").isEmpty():
             break
-    return best.select("source", "node", "route.cost", "route.hops", "route.nodes", "route.edge_ids")
+    return best
+
+
+def cheapest_routes(edges: DataFrame, starts: DataFrame, reverse: bool = False, max_rounds: int | None = None) -> DataFrame:
+    """Cheapest route from every start to every node it reaches: source, node, cost, hops, nodes, edge_ids.
+
+    All starts relax together, one join and one pre-aggregated minimum per round; a round extends only
+    routes that improved in the round before, and a few rounds run as one plan. Ties: fewest hops, then node order.
+    With ``reverse`` routes run from the node to the source.
+    """
+    first = starts.select(F.col("node").alias("source"), "node", F.lit(0).alias("rank")).distinct()
+    return _relax_all(edges, first, ["source", "node"], reverse, max_rounds) \
+        .select("source", "node", "route.cost", "route.hops", "route.nodes", "route.edge_ids")
 
 
 def requested_routes(routes: DataFrame, requests: DataFrame) -> DataFrame:
@@ -93,12 +109,13 @@ def with_zone_path(routes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def best_exit(edges: DataFrame, exits: DataFrame) -> DataFrame:
-    """Cheapest exit of every node that reaches one; equal costs go to the exit listed first (``exit_ord``)."""
-    routes = cheapest_routes(edges, exits.select(F.col("exit_id").alias("node")), reverse=True)
-    ranked = routes.join(small_side(exits.select(F.col("exit_id").alias("source"), "exit_ord")), "source")
-    pick = F.min_by(F.struct(F.col("source").alias("exit_id"), "cost", "hops", "nodes", "edge_ids"),
-                    F.struct("cost", "exit_ord"))
-    return ranked.groupBy("node").agg(pick.alias("e")).select("node", "e.*")
+    """Cheapest exit of every node that reaches one; equal costs go to the exit listed first (``exit_ord``).
+
+    All exits relax backwards in one pass that keeps one route per node, not one per node and exit.
+    """
+    first = exits.groupBy(F.col("exit_id").alias("node")).agg(F.min("exit_ord").alias("rank"))
+    return _relax_all(edges, first, ["node"], True, None) \
+        .select("node", F.element_at("route.nodes", -1).alias("exit_id"), "route.cost", "route.hops", "route.nodes", "route.edge_ids")
 
 
 def low_risk_cost(base: Column, risk_from: Column, risk_to: Column, density_from: Column, density_to: Column,
