@@ -108,7 +108,8 @@ def _(table):
         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) d LEFT JOIN spread s ON d.line = s.line)
     SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
         sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS text_sha256
-    FROM kept GROUP BY doc_id""")
+    FROM kept GROUP BY doc_id
+    UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL""")
 def _(table):
     left = site_lines.remove_spread_lines(incidents(table("documents").select("doc_id", "source", "text")))
     return left.select(F.col("incident_id").alias("doc_id"), "n_lines", "n_removed", _hex(F.col("description")).alias("text_sha256"))
