@@ -157,6 +157,11 @@ def lookup(key: Column, table: dict, default: Column) -> Column:
     return out.otherwise(default)
 
 
+def custom_class(detector_id: Column) -> Column:
+    """Vehicle class of the custom model for a detector's class id, NULL for what is no vehicle."""
+    return lookup(detector_id, K.COCO_TO_CUSTOM, F.lit(None).cast("int"))
+
+
 def first_argmax(values: Column) -> Column:
     """Zero-based position of the largest value, the first one on ties."""
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")

@@ -117,3 +117,13 @@ def most_risky_zone(risks: DataFrame, zone: str = "routing_zone_id", position: s
     """Zone of highest risk (first in order on ties), a default when there is none."""
     best = F.min_by(zone, F.struct(-F.col("risk"), F.col(position)))
     return risks.agg(F.coalesce(best, F.lit(K.DEFAULT_RISKY_ZONE)).alias("zone_id"))
+
+
+def manual_changes(overrides: DataFrame, current: DataFrame) -> DataFrame:
+    """Risks set by hand (zone_id, risk): always emitted, clamped, and ``changed`` when they differ from the zone's current risk by 0.01 or more.
+
+    A zone without a current risk counts as 0.
+    """
+    known = current.select("zone_id", F.col("risk").alias("previous"))
+    rows = overrides.withColumn("risk", S.clamp(F.col("risk"))).join(known, "zone_id", "left")
+    return rows.withColumn("changed", F.abs(F.col("risk") - F.coalesce("previous", F.lit(0.0))) >= K.MANUAL_RISK_CHANGE)

@@ -263,3 +263,8 @@ def density_map_counts(cells: DataFrame, roi: list[tuple[int, int]], frame_size:
     inside = G.in_polygon(F.col("x"), F.col("y"), scaled)
     return cells.groupBy(frame).agg(F.sum("v").alias("total"), F.coalesce(F.sum(F.when(inside, F.col("v"))), F.lit(0.0))
                                     .alias("in_roi"))
+
+
+def vehicles(detections: DataFrame, class_id: str = "class_id", bbox: str = "bbox") -> DataFrame:
+    """Detections of vehicles with a whole box, and their ``custom_id``."""
+    return detections.withColumn("custom_id", S.custom_class(F.col(class_id))).filter(F.col("custom_id").isNotNull() & G.valid_box(F.col(bbox)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..operators import graph, incidents as I, presence as P, sampling
+from ..operators import graph, incidents as I, presence as P, risk as R, sampling, zones as Z
 from ..session import run_folder
 from ..sources import catalogs, readers, sinks
 from ..streaming import streams
@@ -221,3 +221,23 @@ def _(t):
     record = t.spark.read.schema("rows BIGINT").json(f"{path}/record")
     back = t.spark.read.csv(f"{path}/ranking", header=True, schema="rank INT, run STRING, score DOUBLE, compared_pairs BIGINT")
     return rounded(back.crossJoin(F.broadcast(record)), 6)          # one record
+
+
+@query("vehicle_detections", "P23 P33", """
+    SELECT l_orderkey AS frame_id, l_linenumber AS line, l_partkey, CASE l_partkey % 9 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 5 THEN 3 ELSE 4 END AS custom_id
+    FROM lineitem WHERE l_partkey % 9 IN (1, 2, 3, 5, 7) AND l_suppkey % 4 <> 0""")
+def _(t):
+    """Detector classes from the part; every fourth supplier's boxes lack a corner."""
+    box = F.when(F.col("l_suppkey") % 4 == 0, F.slice("bbox", 1, 3)).otherwise(F.col("bbox"))
+    rows = t.detections.withColumns({"bbox": box, "class_id": F.col("l_partkey") % 9})
+    return Z.vehicles(rows).select("frame_id", "line", "l_partkey", "custom_id")
+
+
+@query("manual_overrides", "T05", """
+    SELECT event_id, round(least(1e0, value / 100), 9) AS risk, abs(least(1e0, value / 100) - coalesce(z.risk, 0)) >= 0.01e0 AS changed
+    FROM events e LEFT JOIN zone_avg z ON z.zone_id = 'AZ' || (e.user_id % 8 + 1)""")
+def _(t):
+    """Each event sets its zone's risk by hand; two zones have no current one."""
+    current = R.fuse(t.perception).groupBy("zone_id").agg(F.avg("risk").alias("risk"))
+    wanted = t.read("events").select("event_id", _named("AZ", F.col("user_id") % 8 + 1).alias("zone_id"), (F.col("value") / 100).alias("risk"))
+    return rounded(R.manual_changes(wanted, current).select("event_id", "risk", "changed"))

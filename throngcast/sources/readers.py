@@ -166,8 +166,8 @@ def boundary_records(spark: SparkSession, path: str) -> DataFrame:
         F.col("pln_area_n").alias("area_name"), "geojson", S.first_filled(F.col("LAT_LNG"), F.col("SHAPE"), F.col("POLYGON")).alias("shape_text"))
 
 
-def presence_updates(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(schema("PRESENCE_UPDATE")).json(path)
+def presence_updates(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
+    return spark.readStream.schema(schema("PRESENCE_UPDATE")).option("maxFilesPerTrigger", max_files_per_trigger).json(path)
 
 
 def eval_log(spark: SparkSession, path: str) -> DataFrame:

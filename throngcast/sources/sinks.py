@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def frame_lines(rows: DataFrame) -> DataFrame:
-    """Rows per frame and zone to one perception record per frame; a frame holds one entry per zone."""
+    """Rows per frame and zone to one perception record per frame; a frame holds one entry per zone.
+
+    Frames are told apart by ``frame_id`` where there is one, so videos that share a time stay apart.
+    """
+    keys = [F.col("ts"), *[F.col("frame_id").alias("frameId") for c in rows.columns if c == "frame_id"]]
     zone = F.struct("zone_pos", F.struct(F.col("zone_id").alias("zoneId"), "density", "anomaly", "conf", F.col("people_count").alias("peopleCount")).alias("z"))
-    return rows.groupBy("ts").agg(F.transform(F.sort_array(F.collect_list(zone)), lambda e: e.z).alias("zones"))
+    return rows.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(zone)), lambda e: e.z).alias("zones"))
 
 
 def write_lines(rows: DataFrame, path: str) -> None:
