@@ -10,7 +10,9 @@ from ..sources import catalogs, readers, sinks
 from ..streaming import streams
 from .catalog import query, rounded
 
-KEY, NATION = F.col("s_suppkey"), F.col("s_nationkey")
+
+def _supplier() -> tuple[Column, Column]:
+    return F.col("s_suppkey"), F.col("s_nationkey")
 
 
 def _named(prefix: str, number: Column) -> Column:
@@ -35,10 +37,11 @@ def _all(**fields: Column) -> Column:
     FROM supplier""")
 def _(t):
     """One zone file per nation, a zone per supplier; odd nations rely on the file's defaults, odd suppliers on the older id field."""
-    even, x = NATION % 2 == 0, F.col("s_acctbal").cast("double")
+    number, nation = _supplier()
+    even, x = nation % 2 == 0, F.col("s_acctbal").cast("double")
     corner = lambda a, b: F.array(a, F.lit(float(b)))
-    name = _named("S", KEY)
-    zones = _all(zoneId=F.when(KEY % 2 == 0, name), id=F.when(KEY % 2 == 1, name), capacity=F.when(KEY % 3 != 0, KEY % 50 + 10.0),
+    name = _named("S", number)
+    zones = _all(zoneId=F.when(number % 2 == 0, name), id=F.when(number % 2 == 1, name), capacity=F.when(number % 3 != 0, number % 50 + 10.0),
                  polygon=F.array(corner(x, 0), corner(x + 10, 0), corner(x + 10, 10)))
     path = _documents(t, "zones", t.read("supplier"), "s_nationkey", width=F.first(F.when(even, 1920)), height=F.first(F.when(even, 1080)),
                       defaultCapacity=F.first(F.when(even, 40.0)), zones=zones)
@@ -52,7 +55,8 @@ def _(t):
         ('edges', 'E' || s_suppkey, 'RZ' || s_suppkey), ('capacities', 'RZ' || s_suppkey, CAST(10 + s_suppkey % 40 AS VARCHAR))) x(m, k, v)""")
 def _(t):
     """One mapping file per nation."""
-    zone, parent = _named("RZ", KEY), _named("AZ", KEY % 7)
+    number, nation = _supplier()
+    zone, parent = _named("RZ", number), _named("AZ", number % 7)
     pairs = lambda k, v: F.map_from_entries(F.collect_list(F.struct(k, v)))
     rows = t.read("supplier").select("s_nationkey", "s_suppkey", zone.alias("zone"), parent.alias("parent"))
     rows = rows.groupBy("s_nationkey", "parent").agg(F.collect_list("zone").alias("zones"), F.collect_list("s_suppkey").alias("keys"))
@@ -75,12 +79,13 @@ def _(t):
     UNION ALL SELECT 'exit', 'N' || min(s_suppkey), NULL, NULL, 0e0, NULL, NULL FROM supplier GROUP BY s_nationkey""")
 def _(t):
     """One map per nation: suppliers as nodes, an edge from each, the first one as exit. Missing flags are false."""
-    name, there, x = _named("N", KEY), _named("N", KEY + 25), F.col("s_acctbal").cast("double")
-    nodes = _all(id=name, pos=F.struct(x.alias("x"), KEY.cast("double").alias("y")), label=F.col("s_name"), kind=F.lit("hall"))
-    meta = F.struct(F.when(KEY % 3 == 0, True).alias("isOneWay"), F.when(KEY % 5 == 0, True).alias("isBlocking"))
-    edges = F.collect_list(F.struct(_named("E", KEY).alias("id"), name.alias("from"), there.alias("to"), x.alias("length"), _named("Z", NATION).alias("routingZoneId"), meta.alias("meta")))
-    path = _documents(t, "maps", t.read("supplier"), "s_nationkey", mapId=F.first(_named("m", NATION)), graph=F.struct(nodes.alias("nodes"), edges.alias("edges")),
-                      exits=F.array(_named("N", F.min(KEY))))
+    number, nation = _supplier()
+    name, there, x = _named("N", number), _named("N", number + 25), F.col("s_acctbal").cast("double")
+    nodes = _all(id=name, pos=F.struct(x.alias("x"), number.cast("double").alias("y")), label=F.col("s_name"), kind=F.lit("hall"))
+    meta = F.struct(F.when(number % 3 == 0, True).alias("isOneWay"), F.when(number % 5 == 0, True).alias("isBlocking"))
+    edges = F.collect_list(F.struct(_named("E", number).alias("id"), name.alias("from"), there.alias("to"), x.alias("length"), _named("Z", nation).alias("routingZoneId"), meta.alias("meta")))
+    path = _documents(t, "maps", t.read("supplier"), "s_nationkey", mapId=F.first(_named("m", nation)), graph=F.struct(nodes.alias("nodes"), edges.alias("edges")),
+                      exits=F.array(_named("N", F.min(number))))
     g = readers.map_graph(t.spark, path)
     none, flag = F.lit(None).cast("string"), F.lit(None).cast("boolean")
     shape = lambda df, kind, *c: df.select(F.lit(kind).alias("kind"), *[x.alias(n) for n, x in zip(("id", "a", "b", "value", "one_way", "blocked"), c)])
@@ -94,13 +99,14 @@ _TAKEN = "'2024-01-01T00:00:' || lpad(CAST(s_suppkey % 60 AS VARCHAR), 2, '0')"
 
 def _feeds(t) -> str:
     """A camera feed per nation: a newest and an older item, or for every third nation the flat envelope."""
-    taken = F.concat(F.lit("2024-01-01T00:00:"), F.lpad((KEY % 60).cast("string"), 2, "0"))
-    image = F.when(KEY % 13 == 0, " ").otherwise(_named(" http://cam/", KEY))
-    flat = NATION % 3 == 0
-    camera = F.collect_list(F.when(~flat, F.struct(_named(" ", KEY).alias("camera_id"), image.alias("image"), F.when(KEY % 4 == 0, "").otherwise(taken).alias("timestamp"),
-                                                   F.struct((KEY / 100).alias("latitude"), (KEY / 50).alias("longitude")).alias("location"))))
+    number, nation = _supplier()
+    taken = F.concat(F.lit("2024-01-01T00:00:"), F.lpad((number % 60).cast("string"), 2, "0"))
+    image = F.when(number % 13 == 0, " ").otherwise(_named(" http://cam/", number))
+    flat = nation % 3 == 0
+    camera = F.collect_list(F.when(~flat, F.struct(_named(" ", number).alias("camera_id"), image.alias("image"), F.when(number % 4 == 0, "").otherwise(taken).alias("timestamp"),
+                                                   F.struct((number / 100).alias("latitude"), (number / 50).alias("longitude")).alias("location"))))
     item = lambda ts: F.struct(F.lit(ts).alias("timestamp"), camera.alias("cameras"))
-    value = F.collect_list(F.when(flat, F.struct(KEY.cast("string").alias("CameraID"), image.alias("ImageLink"), taken.alias("Timestamp"))))
+    value = F.collect_list(F.when(flat, F.struct(number.cast("string").alias("CameraID"), image.alias("ImageLink"), taken.alias("Timestamp"))))
     return _documents(t, "feeds", t.read("supplier"), "s_nationkey", items=F.when(F.first(~flat), F.array(item("new"), item("old"))), value=F.when(F.first(flat), value))
 
 
@@ -136,10 +142,11 @@ def _(t):
            CASE WHEN s_suppkey % 9 <> 0 THEN s_suppkey / 8e0 END AS lat, s_suppkey / 4e0 AS lng FROM supplier WHERE (s_suppkey // 10) % 14 + 1 <= 12""")
 def _(t):
     """Result pages of ten suppliers; the announced last page is 13, the reader stops at 12."""
-    rows = t.read("supplier").withColumn("page", F.floor(KEY / 10))
+    number, nation = _supplier()
+    rows = t.read("supplier").withColumn("page", F.floor(number / 10))
     text = lambda c: c.cast("string")
-    results = _all(BUILDING=F.when(KEY % 3 == 0, F.col("s_name")), SEARCHVAL=F.col("s_name"), ROAD_NAME=F.when(KEY % 2 == 0, "road"),
-                   LATITUDE=F.when(KEY % 9 == 0, "n/a").otherwise(text(KEY / 8)), LONGITUDE=F.when(KEY % 5 == 0, text(KEY / 4)), LONGTITUDE=text(KEY / 4))
+    results = _all(BUILDING=F.when(number % 3 == 0, F.col("s_name")), SEARCHVAL=F.col("s_name"), ROAD_NAME=F.when(number % 2 == 0, "road"),
+                   LATITUDE=F.when(number % 9 == 0, "n/a").otherwise(text(number / 8)), LONGITUDE=F.when(number % 5 == 0, text(number / 4)), LONGTITUDE=text(number / 4))
     path = _documents(t, "search", rows, "page", pageNum=(F.first("page") % 14 + 1).cast("int"), totalNumPages=F.lit(13), results=results)
     return readers.search_pages(t.spark, path).select(F.col("position.pageNum").cast("bigint").alias("page"), "name", "address", "lat", "lng")
 
@@ -148,9 +155,10 @@ def _(t):
     SELECT s_name AS area_name, CASE WHEN s_suppkey % 2 = 0 THEN '{"type":"Polygon","n":' || s_suppkey || '}' END AS geojson,
            CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey || ',1|2,3|4,5' ELSE 'POLYGON ((' || s_suppkey || ' 1))' END AS shape_text FROM supplier""")
 def _(t):
-    shape = F.when(KEY % 3 == 0, F.concat(KEY.cast("string"), F.lit(",1|2,3|4,5")))
-    records = _all(pln_area_n=F.col("s_name"), geojson=F.when(KEY % 2 == 0, F.format_string('{"type":"Polygon","n":%s}', KEY.cast("string"))),
-                   LAT_LNG=shape, SHAPE=F.lit(" "), POLYGON=F.format_string("POLYGON ((%s 1))", KEY.cast("string")))
+    number, nation = _supplier()
+    shape = F.when(number % 3 == 0, F.concat(number.cast("string"), F.lit(",1|2,3|4,5")))
+    records = _all(pln_area_n=F.col("s_name"), geojson=F.when(number % 2 == 0, F.format_string('{"type":"Polygon","n":%s}', number.cast("string"))),
+                   LAT_LNG=shape, SHAPE=F.lit(" "), POLYGON=F.format_string("POLYGON ((%s 1))", number.cast("string")))
     return readers.boundary_records(t.spark, _documents(t, "areas", t.read("supplier"), "s_nationkey", SearchResults=records))
 
 
