@@ -74,6 +74,11 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
+def shingles(text, n):
+    words = WORD.findall(lower(text))
+    return {tuple(words[i:i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
 def components(prints):
     """Root position of each fingerprint, linked at four or fewer differing bits."""
     values, up = np.array(prints, np.uint64), list(range(len(prints)))

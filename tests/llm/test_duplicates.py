@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import brute
-from throngcast.llm import components, repeats, simhash, site_lines
+from throngcast.llm import components, repeats, similar, simhash, site_lines
 
 DOCS = "incident_id long, map_id string, description string, kept string"
 
@@ -103,3 +103,32 @@ def test_site_lines_equal_brute_force(spark, rows, sites):
     want = brute.without_spread_lines([(r[1], r[2]) for r in rows], sites)
     assert sorted((str(r.incident_id), str(r.description)) for r in got) == sorted((str(r[0]), str(w)) for r, w in zip(rows, want))
     assert all(r.kept is None or r.kept in ("x", "k") for r in got)
+
+
+def edited(seed=4):
+    """Texts of four bases with a few words replaced, a large group of copies, short and empty texts."""
+    rng = random.Random(seed)
+    bases = [[f"b{b}w{rng.randint(0, 400)}" for _ in range(rng.randint(60, 160))] for b in range(4)]
+    rows = []
+    for i in range(160):
+        words = list(bases[0 if i < 90 else i % 4])
+        for at in rng.choices(range(len(words)), k=rng.randint(0, 4)):
+            words[at] = f"x{rng.randint(0, 9999)}"
+        rows.append((i, "m", " ".join(words), "x"))
+    return rows + [(500, "m", None, "x"), (501, "m", " \n", "x"), (502, "m", "One two", "x"), (503, "m", "one  TWO", "x"), (None, "m", rows[3][2], "x"), (3, "m", rows[3][2], "x")]
+
+
+@pytest.mark.parametrize("small", [16, 2])
+def test_near_copies_equal_brute_force_jaccard(spark, small, monkeypatch):
+    monkeypatch.setattr(similar, "SMALL", small)
+    rows = edited()
+    sets = [brute.shingles(r[2], 5) for r in rows]
+    linked = [[j for j in range(len(rows)) if sets[i] == sets[j] or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8] for i in range(len(rows))]
+    low = list(range(len(rows)))
+    for _ in rows:
+        low = [min(low[j] for j in near) for near in linked]
+    assert any(simhash.MAX_BITS < bin(brute.fingerprint(rows[i][2]) ^ brute.fingerprint(rows[j][2])).count("1") for i in range(160) for j in linked[i])
+    least = {c: min(r[0] for r, x in zip(rows, low) if x == c and r[0] is not None) for c in set(low)}
+    got = similar.near_copies(frame(spark, rows)).collect()
+    assert sorted((str(r.incident_id), str(r.component_id)) for r in got) == sorted((str(r[0]), str(least[c])) for r, c in zip(rows, low))
+    assert similar.near_copies(frame(spark, [])).count() == 0

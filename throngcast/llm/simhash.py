@@ -208,9 +208,18 @@ def near_duplicates(incidents: DataFrame, description: str = "description", inci
     """
     marked = written(small_batches(incidents).withColumn("fingerprint", F.arrow_udf(_fingerprints, "bigint")(content(description))), "prints")
     smallest = written(marked.groupBy("fingerprint").agg(F.min(incident_id).alias("least_id")), "prints")
-    root = connected(fingerprint_links(smallest))
-    rooted = smallest.join(root.withColumnRenamed("node", "fingerprint"), "fingerprint", "left") \
-        .withColumn("root", F.coalesce("root", "fingerprint"))
+    return _placed(marked, smallest, connected(fingerprint_links(smallest)))
+
+
+def with_components(marked: DataFrame, root: DataFrame | None, incident_id: str = "incident_id") -> DataFrame:
+    """Rows with a `fingerprint`, with component_id and component_root by the roots (node, root) of linked fingerprints."""
+    smallest = written(marked.groupBy("fingerprint").agg(F.min(incident_id).alias("least_id")), "prints")
+    return _placed(marked, smallest, root)
+
+
+def _placed(marked: DataFrame, smallest: DataFrame, root: DataFrame | None) -> DataFrame:
+    rooted = smallest.withColumn("root", F.col("fingerprint")) if root is None else \
+        smallest.join(root.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     low = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classes = written(rooted.join(low, "root").select("fingerprint", F.col("root").alias("component_root"), "component_id"), "classes")
     return marked.drop("component_id", "component_root").join(classes, "fingerprint", "left")
