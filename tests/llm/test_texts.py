@@ -79,6 +79,13 @@ def test_main_text_of_single_pages(spark):
         assert r.text == (PAGES[r.page_id][1] if r.page_id < 8 else "")
 
 
+@pytest.mark.parametrize("before, after", [
+    ("<html><body class='no-sidebar'>", "</body></html>"), ("<html class='header-fixed'><body>", "</body></html>"), ("<body><div class='content with-sidebar'>", "</div></body>"),
+    ("<article class='post comments-open'>", "</article>"), ("<body><svg class=i viewBox='0 0 1 1'/>", "</body>"), ("<body><p><math/></p>", "<svg><text>no</text></svg></body>")])
+def test_layout_classes_and_empty_foreign_elements_lose_no_text(before, after):
+    assert main_text.main_blocks(f"{before}<p>whole story</p><div class='sidebar'>side</div>{after}", set()) == ["whole story"]
+
+
 def test_template_text_of_a_host_is_left_out(spark):
     rows = [(i, "http://h.org/x", f"<html><body><div><p>Welcome to our site</p><p>story {i} told</p><p>All rights here</p></div></body></html>") for i in range(6)]
     rows += [(10 + i, "http://few.org/", "<html><body><div><p>Welcome to our site</p></div></body></html>") for i in range(9)]

@@ -26,12 +26,16 @@ MARKS = frozenset("""ad ads adv advert adverts advertisement advertising sponsor
  breadcrumbs header masthead footer sidebar sidebars aside widget widgets notice notices cookie cookies consent gdpr banner banners alert popup modal overlay
  comment comments commentlist disqus reply replies respond discussion related recommended recommendations share sharing social newsletter subscribe subscription signup
  login search pagination pager toolbar tagcloud complementary contentinfo skip copyright legal""".split())
+#: Elements that hold the page or its text: words of their class, id or role are about layout and mark nothing.
+UNMARKED = frozenset("html body main article".split())
 #: Elements that a start tag does not close anything beyond.
 SCOPES = frozenset("article main section div body html ul ol dl table blockquote".split())
 MAX_DEPTH, MAX_PATH = 500, 2000
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: Classes that say that something marked is beside, not here: with-sidebar, no-sidebar.
+_BESIDE = re.compile(r"(?<!\S)(?:has|with|without|no)[-_]\S+")
 _SPACE = re.compile(r"\s+")
 _END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 #: Start tags that end an open paragraph or item.
@@ -83,6 +87,8 @@ def chunks(page: str) -> list[tuple[str, str, bool]]:
                 del stack[depth:]
             continue
         if name in RAW:
+            if name in ("svg", "math") and attributes.endswith("/"):         # foreign elements may be empty; elsewhere the slash means nothing
+                continue
             end = _END[name].search(page, at)
             at = end.end() if end else size
             continue
@@ -90,7 +96,8 @@ def chunks(page: str) -> list[tuple[str, str, bool]]:
         if "=" in attributes:
             marks = " ".join(v for m in _ATTRIBUTE.finditer(attributes) for v in m.groups()[1:] if v).lower()
         _, path, was_outside, article = stack[-1]
-        outside = was_outside or name in OUTSIDE or bool(marks) and not MARKS.isdisjoint(_WORD.findall(marks))
+        marked = bool(marks) and name not in UNMARKED and not MARKS.isdisjoint(_WORD.findall(_BESIDE.sub("", marks)))
+        outside = was_outside or name in OUTSIDE or marked
         if name in VOID:
             if not was_outside:
                 said.append("\n")
@@ -107,7 +114,7 @@ def chunks(page: str) -> list[tuple[str, str, bool]]:
             if stack[i][0] in CLOSES.get(name, ()) or stack[i][0] == "p":     # a block ends a paragraph, an item its neighbour
                 del stack[i:]
                 _, path, was_outside, article = stack[-1]
-                outside = was_outside or name in OUTSIDE or bool(marks) and not MARKS.isdisjoint(_WORD.findall(marks))
+                outside = was_outside or name in OUTSIDE or marked
                 break
             if stack[i][0] in SCOPES:
                 break
@@ -174,7 +181,7 @@ def _extract(pages: pa.Array, tokens: pa.Array) -> pa.Array:
 def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", salts: int = 16, **template) -> DataFrame:
     """Pages with `text`, the main text of the whole html (a column of that name is replaced); every row and column stays.
 
-    Elements that never hold main text (by tag, or by words in class, id or role) are skipped; so are text blocks that belong to
+    Elements that never hold main text (by tag, or by words in class, id or role of any but UNMARKED elements) are skipped; so are text blocks that belong to
     the template of the page's host. Blocks are joined by two \\n. NULL and empty pages give an empty text; a NULL url has the empty
     host; copies and repeated rows give equal results; a host with few pages has no template and loses nothing to it.
 
