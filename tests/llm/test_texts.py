@@ -79,6 +79,12 @@ def test_main_text_of_single_pages(spark):
         assert r.text == (PAGES[r.page_id][1] if r.page_id < 8 else "")
 
 
+def test_template_decides_inside_and_outside_articles(spark):
+    rows = [(i, "http://h.org/x", f"<html><body><div><p>story {i} told</p></div><article><h2>Our offers</h2><p>teaser {i}</p><p>Subscribe now</p></article></body></html>") for i in range(6)]
+    got = main_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"story {i} told\n\nteaser {i}" for i in range(6)}
+
+
 @pytest.mark.parametrize("before, after", [
     ("<html><body class='no-sidebar'>", "</body></html>"), ("<html class='header-fixed'><body>", "</body></html>"), ("<body><div class='content with-sidebar'>", "</div></body>"),
     ("<article class='post comments-open'>", "</article>"), ("<body><svg class=i viewBox='0 0 1 1'/>", "</body>"), ("<body><p><math/></p>", "<svg><text>no</text></svg></body>")])

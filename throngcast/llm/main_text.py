@@ -136,10 +136,9 @@ def _tokens(pages: pa.Array) -> pa.Array:
     rows = []
     for page in pages.to_pylist():
         counts: dict[int, int] = {}
-        for path, text, article in chunks(page):
-            if not (article and text):                                       # text of an article is a slot in any case
-                key = _key(path, text)
-                counts[key] = counts.get(key, 0) + 1
+        for path, text, _ in chunks(page):
+            key = _key(path, text)
+            counts[key] = counts.get(key, 0) + 1
         rows.append([{"token": k, "uses": n} for k, n in counts.items()])
     return pa.array(rows, pa.list_(pa.struct([("token", pa.int64()), ("uses", pa.int32())])))
 
@@ -168,10 +167,11 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
 
 
 def main_blocks(page: str, template: set[int]) -> list[str]:
-    """Text blocks in page order: those of articles when the page has any, else all whose token the template lacks."""
+    """Text blocks in page order whose token the template lacks; without a template, those of articles when the page has any."""
     found = chunks(page)
-    inside = [text for _, text, article in found if article and text]
-    return inside or [text for path, text, _ in found if text and _key(path, text) not in template]
+    left = [(text, article) for path, text, article in found if text and _key(path, text) not in template]
+    inside = [] if template else [text for text, article in left if article]
+    return inside or [text for text, _ in left]
 
 
 def _extract(pages: pa.Array, tokens: pa.Array) -> pa.Array:
@@ -182,7 +182,7 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", sa
     """Pages with `text`, the main text of the whole html (a column of that name is replaced); every row and column stays.
 
     Elements that never hold main text (by tag, or by words in class, id or role of any but UNMARKED elements) are skipped; so are text blocks that belong to
-    the template of the page's host. Blocks are joined by two \\n. NULL and empty pages give an empty text; a NULL url has the empty
+    the template of the page's host, inside articles too. On hosts without a template, text outside a page's articles is skipped. Blocks are joined by two \\n. NULL and empty pages give an empty text; a NULL url has the empty
     host; copies and repeated rows give equal results; a host with few pages has no template and loses nothing to it.
 
     Templates join back on (host, salt), repeated for each salt, so that the pages of a large host meet in many tasks.
