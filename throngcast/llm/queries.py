@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare
-from . import aliases, chat, decontaminate, host_rules, main_text, packing, private_spans, repeats, simhash, site_lines
+from . import aliases, chat, decontaminate, hard_negatives, host_rules, main_text, packing, private_spans, repeats, simhash, site_lines, value_codes, vector_copies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: How the given vectors map to the project's clip features.
+CLIP = {"vec_id": "clip_id", "embedding": "features"}
 #: How the given documents map to the project's incident records.
 INCIDENT = {"doc_id": "incident_id", "source": "map_id", "text": "description"}
 
@@ -120,3 +122,25 @@ def _(table):
     pages = table("pages")
     judged = aliases.judge_urls(pages.select(F.col("page_id").alias("camera_id"), F.col("url").alias("image_url")), aliases.page_links(pages))
     return judged.select(F.col("camera_id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+@_query("op11_hard_negatives")
+def _(table):
+    label = F.when(F.col("clip_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    clips = table("embeddings").select("vec_id", "label", "embedding").withColumnsRenamed(CLIP).withColumn("label", label)
+    mined = hard_negatives.mine_hard_negatives(clips, F.col("clip_id") % 100 == 0)
+    return mined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+@_query("op12_vector_copies")
+def _(table):
+    marked = vector_copies.close_vectors(table("embeddings").select("vec_id", "label", "embedding").withColumnsRenamed(CLIP))
+    return marked.select(F.col("clip_id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+@_query("op13_value_codes")
+def _(table):
+    coded, books = value_codes.compress(table("embeddings").select("vec_id", "label", "embedding").withColumnsRenamed(CLIP))
+    code = F.array_join(F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    spelled = ",".join(map(str, books.ravel().tolist()))
+    return coded.select(F.col("clip_id").alias("vec_id"), code.alias("code"), "error", "label_error", F.lower(_hex(F.lit(spelled).cast("binary"))).alias("codebooks_sha256"))
