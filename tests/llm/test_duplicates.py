@@ -132,3 +132,34 @@ def test_near_copies_equal_brute_force_jaccard(spark, small, monkeypatch):
     got = similar.near_copies(frame(spark, rows)).collect()
     assert sorted((str(r.incident_id), str(r.component_id)) for r in got) == sorted((str(r[0]), str(least[c])) for r, c in zip(rows, low))
     assert similar.near_copies(frame(spark, [])).count() == 0
+
+
+def test_shared_passages_make_no_pairs(spark, monkeypatch):
+    """Texts of one long shared passage and some own words are not near copies; hardly any pair of them is compared, however many they are."""
+    compared = []
+    whole = similar._similar
+
+    def counted(similarity):
+        acc = spark.sparkContext.accumulator(0)
+        compared.append(acc)
+        run = whole(similarity)
+        return lambda left, right: (acc.add(len(left)), run(left, right))[1]
+    monkeypatch.setattr(similar, "_similar", counted)
+    shared = " ".join(f"s{i}" for i in range(70))
+    sizes = {}
+    for n in (200, 400, 800):
+        rows = [(i, "m", shared + " " + " ".join(f"o{i}w{j}" for j in range(10)), "x") for i in range(n)]
+        assert len({r.component_root for r in similar.near_copies(frame(spark, rows)).collect()}) == n
+        sizes[n] = compared[-1].value
+    assert sizes[800] <= 2 * sizes[400] + 100 and sizes[400] <= 2 * sizes[200] + 100
+
+
+def test_text_ids(spark):
+    """The project's ids are text: the smallest one is the smallest text."""
+    shared = "the north gate is blocked by a fallen fence and people turn back towards the hall " * 2
+    rows = [("inc_10", "m", shared, "x"), ("inc_9", "m", shared, "x"), (None, "m", shared, "x"), ("inc_1", "m", "short", "x")]
+    texts = spark.createDataFrame(rows, "incident_id string, map_id string, description string, kept string")
+    cut = {r.incident_id: r.n_removed for r in repeats.remove_repeats(texts).collect()}
+    assert cut == {"inc_10": 0, "inc_9": len(shared), None: len(shared), "inc_1": 0}
+    for operator in (simhash.near_duplicates, similar.near_copies):
+        assert {r.incident_id: r.component_id for r in operator(texts).collect()} == {"inc_10": "inc_10", "inc_9": "inc_10", None: "inc_10", "inc_1": "inc_1"}

@@ -26,6 +26,13 @@ def load_encoding(ranks_file: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
+def vocabulary_ids(vocabulary_file: str):
+    """Encodes by the vocabulary's other form, which is slower and takes texts of any shape."""
+    from tokenizers import Tokenizer
+    vocabulary = Tokenizer.from_file(vocabulary_file)
+    return lambda text: vocabulary.encode(text, add_special_tokens=False).ids
+
+
 def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: whole if it fits, else full pieces after a first one that may be shorter."""
     if length <= capacity:
@@ -34,7 +41,7 @@ def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, length, capacity))]
 
 
-def tokenized_pieces(incidents: DataFrame, ranks_file: str, pattern: str, description: str = "description", incident_id: str = "incident_id",
+def tokenized_pieces(incidents: DataFrame, ranks_file: str, pattern: str, vocabulary_file: str, description: str = "description", incident_id: str = "incident_id",
                      capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
     """(incident_id, piece, start, length, ids_crc32[, ids]) of every incident; NULL texts are empty: the end id alone.
 
@@ -51,7 +58,13 @@ def tokenized_pieces(incidents: DataFrame, ranks_file: str, pattern: str, descri
         encoding = cache["encoding"]
         columns, offsets = [[] for _ in fields], [0]
         for text in texts.to_pylist():
-            ids = np.array([*encoding.encode(text, allowed_special="all"), END_ID], np.uint32)
+            try:
+                ids = encoding.encode(text, allowed_special="all")
+            except ValueError:                           # its pattern gives up on very long runs of white space
+                if "vocabulary" not in cache:
+                    cache["vocabulary"] = vocabulary_ids(vocabulary_file)
+                ids = cache["vocabulary"](text)
+            ids = np.array([*ids, END_ID], np.uint32)
             for i, (start, length) in enumerate(cut(len(ids), capacity)):
                 part = ids[start:start + length]
                 row = (i, start, length, zlib.crc32(part.astype("<u4").tobytes()), part.astype(np.int32))

@@ -41,10 +41,10 @@ def _hex(column) -> F.Column:
     return F.sha2(column, 256)
 
 
-def tokenizer_files() -> tuple[str, str]:
-    """Rank file and split pattern of the byte-level vocabulary."""
+def tokenizer_files() -> tuple[str, str, str]:
+    """Rank file, split pattern and vocabulary file of the byte-level vocabulary."""
     import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")
 
 
 @_query("op1_repeats")

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import content, fresh, small_batches, written
 
@@ -384,7 +385,7 @@ def remove_repeats(incidents: DataFrame, description: str = "description", incid
                    unit_bytes: int = 8 << 20) -> DataFrame:
     """(incident_id, n_bytes, n_removed, n_spans, kept) for every incident.
 
-    Removes each byte covered by a string of LENGTH bytes that also starts in a description with a smaller incident_id. Strings
+    Removes each byte covered by a string of LENGTH bytes that also starts in a description with a smaller incident_id (ids of any type, in its order). Strings
     are judged on the input; matches never cross texts; n_spans counts maximal removed runs; kept holds the remaining UTF-8
     bytes (binary, as a cut may split a character). NULL texts are empty. A NULL id is larger than all others; of rows with one id,
     none is smaller, so repeats among them alone stay. Other columns are ignored, an empty table gives an empty result.
@@ -393,8 +394,14 @@ def remove_repeats(incidents: DataFrame, description: str = "description", incid
     travel once, so a bucket gets at most one row per group and distinct segment however many texts share a passage, and results go back to
     groups, which find their segments again. No list of documents, anchors or repeats reaches the driver.
     """
-    rows = incidents.select(F.col(incident_id).alias("uid"), F.coalesce(F.col(incident_id).cast("long"), F.lit(NEVER)).alias("place"),
-                            F.encode(content(description), "UTF-8").alias("text"))
+    rows = incidents.select(F.col(incident_id).alias("uid"), F.encode(content(description), "UTF-8").alias("text"))
+    if isinstance(rows.schema["uid"].dataType, IntegralType):
+        rows = rows.withColumn("place", F.coalesce(F.col("uid").cast("long"), F.lit(NEVER)))
+    else:                                                 # ids of other types are compared by their place in their own order
+        ordered = rows.select("uid").where(F.col("uid").isNotNull()).distinct().repartitionByRange("uid").sortWithinPartitions("uid")
+        places = written(ordered.withColumn("place", F.monotonically_increasing_id()), "places")
+        rows = rows.join(places, "uid", "left").withColumn("place", F.coalesce("place", F.lit(NEVER)))
+    rows = rows.select("uid", "place", "text")
     total, n, distinct = rows.agg(F.sum(F.octet_length("text")), F.count("*"), F.count_distinct("uid")).first()
     repeated = n != distinct
     if repeated:                                          # ids alone do not tell rows apart: number them, once
