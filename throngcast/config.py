@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from .constants import FRAME_HEIGHT, FRAME_WIDTH
+
 
 @dataclass(frozen=True)
 class RiskStateConfig:
@@ -68,6 +70,25 @@ class FusionConfig:
     entropy_weight: float = 0.20
 
 
+@dataclass(frozen=True)
+class VideoConfig:
+    """How videos are looked at: rates, detector, and frame size."""
+    source_fps: float = 25.0
+    target_fps: float = 3.0
+    detect_every: int = 3
+    clip_len: int = 16
+    start_ts_ms: int = 0
+    flow_within: int | None = None          # frames; None: any age
+    labels: tuple | None = ("person",)      # None: all
+    detector_available: bool = True
+    width: int = FRAME_WIDTH
+    height: int = FRAME_HEIGHT
+
+    def __post_init__(self):
+        if self.source_fps <= 0 or self.clip_len < 1:
+            raise ValueError("source_fps and clip_len must be positive")
+
+
 @dataclass(frozen=True)
 class RoiDensityConfig:
     roi: tuple

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
@@ -40,56 +42,128 @@ def edge_costs(edges: DataFrame, zone_risk: DataFrame | None = None, deltas: Dat
         .select("edge_id", "src", "dst", "zone_id", "length", "cost")
 
 
-ROUNDS_PER_CHECKPOINT = 4
+ROUNDS_PER_CHECKPOINT = 6
+_ROUTE = ["cost", "rank", "hops", "parent", "edge_id", "fresh"]
 
 
-def _relaxed(best: DataFrame, steps: DataFrame, keys: list[str], reverse: bool) -> DataFrame:
-    """One round: every route that improved in the last one is extended by a step; the least route per key stays."""
-    grow = lambda old, new: F.concat(F.array(new), old) if reverse else F.concat(old, F.array(new))
-    route = F.col("route")
-    longer = route.withField("cost", route.cost + F.col("_step.cost")).withField("hops", route.hops + 1) \
-        .withField("nodes", grow(route.nodes, F.col("_there"))).withField("edge_ids", grow(route.edge_ids, F.col("_step.edge_id").cast("string")))
-    open_ = F.col("_there").isNotNull() & ~F.array_contains(route.nodes, F.col("_there"))
-    both = F.array(F.struct("node", route.withField("fresh", F.lit(False)).alias("route")),
-                   F.when(open_, F.struct(F.col("_there").alias("node"), longer.alias("route"))))
-    rows = best.join(steps, (F.col("node") == F.col("_here")) & route.fresh, "left") \
-        .select(*[k for k in keys if k != "node"], F.explode(F.filter(both, lambda r: r.isNotNull())).alias("r"))
-    return rows.select(*[k for k in keys if k != "node"], "r.*").groupBy(*keys).agg(F.min("route").alias("route"))
+def _steps(edges: DataFrame, reverse: bool) -> DataFrame:
+    """The cheapest edge per direction: _here, _there, _cost, _edge. With ``reverse`` a step goes against its edge."""
+    here, there = ("dst", "src") if reverse else ("src", "dst")
+    least = F.min(F.struct("cost", F.col("edge_id").cast("string").alias("edge_id"))).alias("_step")
+    return edges.groupBy(F.col(here).cast("string").alias("_here"), F.col(there).cast("string").alias("_there")).agg(least).select("_here", "_there", F.col("_step.cost").alias("_cost"), F.col("_step.edge_id").alias("_edge"))
 
 
-def _relax_all(edges: DataFrame, best: DataFrame, keys: list[str], reverse: bool, max_rounds: int | None) -> DataFrame:
-    """Rounds until no route improves; ``best`` has the keys (``node`` among them) and ``rank``, which settles equal costs."""
-    here, there = ("dst", "src") if reverse else ("src", "dst")
-    steps = cut_lineage(edges.groupBy(F.col(here).alias("_here"), F.col(there).alias("_there"))
-                        .agg(F.min(F.struct("cost", "edge_id")).alias("_step")))
-    best = best.select(*keys, F.struct(
-        F.lit(0.0).alias("cost"), "rank", F.lit(0).alias("hops"), F.array("node").alias("nodes"),
-        F.array().cast("array<string>").alias("edge_ids"), F.lit(True).alias("fresh")).alias("route"))
-    rounds = 0
+def _relaxed(best: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame:
+    """One round: what improved in the last one is extended by a step; the least entry per key stays."""
+    own = F.struct("node", *[F.col(c) if c != "fresh" else F.lit(False).alias(c) for c in _ROUTE])
+    longer = F.struct(F.col("_there").alias("node"), (F.col("cost") + F.col("_cost")).alias("cost"), "rank", (F.col("hops") + 1).alias("hops"),
+                      F.col("node").alias("parent"), F.col("_edge").alias("edge_id"), F.lit(True).alias("fresh"))
+    others = [k for k in keys if k != "node"]
+    rows = best.join(steps, (F.col("node") == F.col("_here")) & F.col("fresh"), "left") \
+        .select(*others, F.explode(F.filter(F.array(own, F.when(F.col("_there").isNotNull(), longer)), lambda r: r.isNotNull())).alias("r")).select(*others, "r.*")
+    return rows.groupBy(*keys).agg(F.min(F.struct(*_ROUTE)).alias("r")).select(*keys, "r.*")
+
+
+def _relax_all(steps: DataFrame, best: DataFrame, keys: list[str], max_rounds: int | None = None) -> DataFrame:
+    """Rounds until nothing improves. ``best``: keys (``node`` among them) and cost, rank (which settles equal costs), hops, the parent
+    the entry came from, the edge between them, and fresh. Entries are as small after a thousand rounds as after one."""
+    steps, rounds = small_side(steps), 0
     while max_rounds is None or rounds < max_rounds:
-        for _ in range(min(ROUNDS_PER_CHECKPOINT, (max_rounds or ROUNDS_PER_CHECKPOINT + rounds) - rounds)):
-            best = _relaxed(best, steps, keys, reverse)
+        for _ in range(ROUNDS_PER_CHECKPOINT if max_rounds is None else min(ROUNDS_PER_CHECKPOINT, max_rounds - rounds)):
+            best = _relaxed(best, steps, keys)
             rounds += 1
         best = cut_lineage(best)
-        if best.filter("route.fresh").isEmpty():
+        if best.filter("fresh").isEmpty():
             break
     return best
 
 
-def cheapest_routes(edges: DataFrame, starts: DataFrame, reverse: bool = False, max_rounds: int | None = None) -> DataFrame:
-    """Cheapest route from every start to every node it reaches: source, node, cost, hops, nodes, edge_ids.
+def _roots(starts: DataFrame, keys: list[str]) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return starts.select(*keys, F.lit(0.0).alias("cost"), "rank", F.lit(0).alias("hops"), none.alias("parent"), none.alias("edge_id"), F.lit(True).alias("fresh"))
+
+
+def _settle_ties(best: DataFrame, steps: DataFrame, first_level: int = 1) -> DataFrame:
+    """Of routes of equal cost and hops the one whose nodes, read from the source, come first.
+
+    Parents that differ are compared by their own routes: nodes of one depth get numbers in the order of their routes. Only the depths between
+    the first and the last tie are gone through, and none when nothing is tied, as costs that are not round numbers have it.
+    """
+    known = best.select("source", F.col("node").alias("_here"), F.col("cost").alias("_c"), F.col("hops").alias("_h"))
+    ways = best.where("hops > 0").select("source", "node", "cost", "hops").join(steps, F.col("node") == F.col("_there")).join(known, ["source", "_here"]) \
+        .where((F.col("_c") + F.col("_cost") == F.col("cost")) & (F.col("_h") + 1 == F.col("hops"))).select("source", "node", "hops", F.col("_here").alias("parent"), F.col("_edge").alias("edge_id"))
+    ways = cut_lineage(ways)
+    tied = ways.groupBy("source", "node", "hops").count().where("count > 1").agg(F.max("hops")).first()[0]
+    if tied is None:
+        return best
+    order = best.where("hops = 0").select("source", "node", F.lit(0).cast("long").alias("_at"))
+    chosen = None
+    for level in range(first_level, tied + 1):
+        here = ways.where(F.col("hops") == level).join(order.withColumnRenamed("node", "parent"), ["source", "parent"])
+        least = here.groupBy("source", "node").agg(F.min(F.struct("_at", "parent", "edge_id")).alias("w")).select("source", "node", "w.*")
+        numbered = cut_lineage(least.repartitionByRange("source", "_at", "node").sortWithinPartitions("source", "_at", "node").withColumn("_no", F.monotonically_increasing_id()))
+        order = numbered.select("source", "node", F.col("_no").alias("_at"))
+        part = numbered.select("source", "node", F.col("parent").alias("_p"), F.col("edge_id").alias("_e"))
+        chosen = part if chosen is None else chosen.unionByName(part)
+        if level % 16 == 0:
+            chosen = cut_lineage(chosen)
+    return cut_lineage(best.join(chosen, ["source", "node"], "left").withColumns({"parent": F.coalesce("_p", "parent"), "edge_id": F.coalesce("_e", "edge_id")}).drop("_p", "_e"))
+
+
+def cheapest_costs(edges: DataFrame, starts: DataFrame, reverse: bool = False, max_rounds: int | None = None) -> DataFrame:
+    """Cheapest way from every start to every node it reaches: source, node, cost, hops, parent (the node before), edge_id (between them).
+
+    All starts relax together, one join and one pre-aggregated minimum per round; a round extends only what improved in the round before,
+    and a few rounds run as one plan. Ties: fewest hops, then node order from the first node on. With ``reverse`` ways lead from the node to
+    the source, and parent is the next node.
+    """
+    steps = cut_lineage(_steps(edges, reverse))
+    first = _roots(starts.select(F.col("node").cast("string").alias("source"), F.col("node").cast("string"), F.lit(0).alias("rank")).distinct(), ["source", "node"])
+    best = _relax_all(steps, first, ["source", "node"], max_rounds)
+    # backwards the least next node gives the least route; forwards the first difference decides, which no single step sees
+    best = best if reverse else _settle_ties(best, steps)
+    return best.select("source", "node", "cost", "hops", "parent", "edge_id")
+
+
+def with_paths(ways: DataFrame, keys: list[str], asked: DataFrame | None = None, reverse: bool = False) -> DataFrame:
+    """Add the nodes and edge_ids of the asked ways (of all without ``asked``, which has the keys).
 
-    All starts relax together, one join and one pre-aggregated minimum per round; a round extends only
-    routes that improved in the round before, and a few rounds run as one plan. Ties: fewest hops, then node order.
-    With ``reverse`` routes run from the node to the source.
+    Pointer jumping: parents at distance 1, 2, 4, ... are joined from each other, and the node at any distance is found by the binary
+    digits of the distance, so a path takes as many joins as its length has digits, and paths nobody asked for are not built.
     """
-    first = starts.select(F.col("node").alias("source"), "node", F.lit(0).alias("rank")).distinct()
-    return _relax_all(edges, first, ["source", "node"], reverse, max_rounds) \
-        .select("source", "node", "route.cost", "route.hops", "route.nodes", "route.edge_ids")
+    others = [k for k in keys if k != "node"]
+    rows = ways if asked is None else ways.join(asked.select(*keys).distinct(), keys, "left_semi")
+    longest = rows.agg(F.max("hops")).first()[0] or 0
+    spots = rows.select(*keys, "hops", F.explode(F.sequence(F.lit(0), F.col("hops"))).alias("_d")).withColumn("_at", F.col("node"))
+    jump = ways.where("parent IS NOT NULL").select(*others, F.col("node").alias("_from"), F.col("parent").alias("_to"))
+    for digit in range(longest.bit_length()):
+        jump = small_side(jump)
+        far = jump.select(*others, F.col("_from").alias("_at"), F.col("_to").alias("_next"))
+        spots = spots.join(far, [*others, "_at"], "left") \
+            .withColumn("_at", F.when(F.col("_d").bitwiseAND(1 << digit) != 0, F.col("_next")).otherwise(F.col("_at"))).drop("_next")
+        jump = jump.join(jump.select(*others, F.col("_from").alias("_to"), F.col("_to").alias("_end")), [*others, "_to"]).select(*others, "_from", F.col("_end").alias("_to"))
+    named = spots.join(ways.select(*others, F.col("node").alias("_at"), F.col("edge_id").alias("_e")), [*others, "_at"])
+    place = F.col("_d") if reverse else F.col("hops") - F.col("_d")
+    # as long as the path, never longer than the number of nodes
+    lists = named.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(place.alias("p"), F.col("_at").alias("n"), F.col("_e").alias("e")))).alias("_l"))
+    edges = F.filter(F.transform("_l", lambda x: x.e), lambda e: e.isNotNull())
+    return rows.join(lists, keys).withColumns({"nodes": F.transform("_l", lambda x: x.n), "edge_ids": edges}).drop("_l")
+
+
+def cheapest_routes(edges: DataFrame, starts: DataFrame, reverse: bool = False, max_rounds: int | None = None) -> DataFrame:
+    """cheapest_costs with the path of every pair: source, node, cost, hops, nodes, edge_ids. With ``reverse`` routes run from the node to
+    the source."""
+    ways = cheapest_costs(edges, starts, reverse, max_rounds)
+    return with_paths(ways, ["source", "node"], reverse=reverse).select("source", "node", "cost", "hops", "nodes", "edge_ids")
 
 
 def requested_routes(routes: DataFrame, requests: DataFrame) -> DataFrame:
-    """Routes for (source, node) requests; an unknown or unreachable pair gets empty arrays and no cost."""
+    """Routes for (source, node) requests; an unknown or unreachable pair gets empty arrays and no cost.
+
+    ``routes`` from cheapest_routes, or from cheapest_costs: then only the paths of the requests are built.
+    """
+    if "nodes" not in routes.columns:
+        routes = with_paths(routes, ["source", "node"], requests).drop("parent", "edge_id")
     empty = F.array().cast("array<string>")
     found = requests.join(routes, ["source", "node"], "left")
     return found.withColumns({"nodes": F.coalesce(F.col("nodes").cast("array<string>"), empty),
@@ -108,14 +182,51 @@ def with_zone_path(routes: DataFrame, edges: DataFrame) -> DataFrame:
         "zone_path", F.coalesce(F.transform("_z", lambda z: z.zone), F.array().cast("array<string>"))).drop("_z")
 
 
-def best_exit(edges: DataFrame, exits: DataFrame) -> DataFrame:
-    """Cheapest exit of every node that reaches one; equal costs go to the exit listed first (``exit_ord``).
+def exit_costs(edges: DataFrame, exits: DataFrame) -> DataFrame:
+    """Cheapest exit of every node that reaches one: node, cost, rank of the exit, hops, parent (the next node), edge_id; equal costs go
+    to the exit listed first (``exit_ord``). All exits relax backwards in one pass that keeps one entry per node."""
+    first = exits.groupBy(F.col("exit_id").cast("string").alias("node")).agg(F.min("exit_ord").alias("rank"))
+    return _relax_all(_steps(edges, True), _roots(first, ["node"]), ["node"]).drop("fresh")
+
+
+def repaired_exit_costs(ways: DataFrame, before: DataFrame, after: DataFrame, exits: DataFrame) -> tuple[DataFrame, int]:
+    """exit_costs(after, exits) from ``ways`` = exit_costs(before, exits), and how many nodes were looked at again.
 
-    All exits relax backwards in one pass that keeps one route per node, not one per node and exit.
+    Dearer or missing edges void the ways that cross them: marks spread from the broken edges to all ways behind by pointer jumping. Voided nodes
+    and cheaper or new edges are then relaxed from the ways that still hold; all others stay as they are. Costs keep the exact sums a full
+    run has, so both agree to the last digit and in their ties. The exits have to be the same.
     """
-    first = exits.groupBy(F.col("exit_id").alias("node")).agg(F.min("exit_ord").alias("rank"))
-    return _relax_all(edges, first, ["node"], True, None) \
-        .select("node", F.element_at("route.nodes", -1).alias("exit_id"), "route.cost", "route.hops", "route.nodes", "route.edge_ids")
+    old, new = cut_lineage(_steps(before, True)), cut_lineage(_steps(after, True))
+    both = old.withColumnsRenamed({"_cost": "_was", "_edge": "_edge_was"}).join(new, ["_here", "_there"], "full_outer")
+    changed = cut_lineage(both.where(~F.col("_was").eqNullSafe(F.col("_cost")) | ~F.col("_edge_was").eqNullSafe(F.col("_edge"))))
+    better = changed.where(F.col("_cost").isNotNull() & (F.col("_was").isNull() | (F.col("_cost") <= F.col("_was"))))
+    broken = changed.where(F.col("_was").isNotNull()).select(F.col("_here").alias("parent"), F.col("_there").alias("node"), F.lit(True).alias("_broken"))
+    marks = ways.select("node", "parent").join(broken, ["parent", "node"], "left").select("node", "parent", F.coalesce("_broken", F.lit(False)).alias("void"))
+    for _ in range((ways.agg(F.max("hops")).first()[0] or 0).bit_length()):
+        above = marks.select(F.col("node").alias("parent"), F.col("parent").alias("_up"), F.col("void").alias("_void"))
+        marks = cut_lineage(marks.join(above, "parent", "left").select("node", F.col("_up").alias("parent"), (F.col("void") | F.coalesce("_void", F.lit(False))).alias("void")))
+    void = marks.where("void").select("node")
+    kept = ways.join(void, "node", "left_anti")
+    # ways that border on a voided node or on a cheaper edge start the rounds
+    wake = new.join(void.withColumnRenamed("node", "_there"), "_there", "left_semi").select(F.col("_here").alias("node")) \
+        .unionByName(better.select(F.col("_here").alias("node"))).distinct().withColumn("fresh", F.lit(True))
+    start = cut_lineage(kept.join(wake, "node", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False))).select("node", *_ROUTE))
+    out = _relax_all(new, start, ["node"]).drop("fresh")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _ROUTE if c != "fresh"])
+    settled = out.join(kept.select("node", *[F.col(c).alias(f"_{c}") for c in _ROUTE if c != "fresh"], F.lit(True).alias("_kept")), "node", "left")
+    touched = settled.where(F.col("_kept").isNull() | ~same).count() + void.join(out, "node", "left_anti").count()
+    return out, touched
+
+
+def exit_paths(ways: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Ways to the exits with their paths and the exit at the end: node, exit_id, cost, hops, nodes, edge_ids."""
+    found = with_paths(ways, ["node"], asked, reverse=True)
+    return found.select("node", F.element_at("nodes", -1).alias("exit_id"), "cost", "hops", "nodes", "edge_ids")
+
+
+def best_exit(edges: DataFrame, exits: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Cheapest exit of every node that reaches one (of the ``asked`` nodes only, if given), with the path to it."""
+    return exit_paths(exit_costs(edges, exits), asked)
 
 
 def low_risk_cost(base: Column, risk_from: Column, risk_to: Column, density_from: Column, density_to: Column,

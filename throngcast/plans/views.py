@@ -138,12 +138,44 @@ class Tables:
 
     @cached_property
     def clip_vectors(self) -> DataFrame:
-        dims = F.transform(F.slice("embedding", 1, 11), lambda x: F.abs(x.cast("double")))
+        """Class probabilities: all components, their sizes summed by position modulo the number of classes."""
+        size = F.transform("embedding", lambda x: F.abs(x.cast("double")))
+        of_class = lambda k: F.filter(size, lambda _, i: i % 11 == k)
+        dims = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda k: F.aggregate(of_class(k), F.lit(0.0), lambda acc, x: acc + x))
         total = F.aggregate(dims, F.lit(0.0), lambda acc, x: acc + x)
         return self.read("embeddings").select(
             F.floor(F.col("vec_id") / 16).alias("video"), F.col("vec_id").alias("clip_idx"), "label", "embedding",
             F.transform(dims, lambda x: x / total).alias("probs"))
 
+    @cached_property
+    def video_frames(self) -> DataFrame:
+        """Decoded frames of four videos."""
+        o = F.col("o_orderkey")
+        return self.read("orders").select(F.concat(F.lit("V"), (o % 4).cast("string")).alias("video"), F.floor(o / 4).cast("bigint").alias("frame_idx"),
+                                          F.concat(F.lit("d"), (o % 2).cast("string")).alias("dataset"), F.when(o % 4 < 2, "train").otherwise("test").alias("split"))
+
+    @cached_property
+    def video_detections(self) -> DataFrame:
+        f = F.col("frame_id")
+        return self.detections.select(F.concat(F.lit("V"), (f % 4).cast("string")).alias("video"), F.floor(f / 4).cast("bigint").alias("frame_idx"), "bbox", "conf", "label")
+
+    @cached_property
+    def video_flow(self) -> DataFrame:
+        """Motion fields every eighth frame, three frames late, so fewer than the frames looked at and between them."""
+        k = F.col("l_orderkey")
+        return self.read("lineitem").select(
+            F.concat(F.lit("V"), (k % 4).cast("string")).alias("video"), (F.floor(F.floor(k / 4) / 8) * 8 + 3).cast("bigint").alias("frame_idx"),
+            F.concat(F.lit("AZ"), (F.col("l_suppkey") % 6 + 1).cast("string")).alias("zone_id"),
+            ((F.col("l_quantity") - 25) / 10 + F.col("l_extendedprice") / 1e7).alias("u"), ((100 * F.col("l_discount") - 5) / 5).alias("v"),
+            F.col("l_tax").alias("divergence"), (F.col("l_tax") * F.col("l_quantity") / 10).alias("turbulence"))
+
+    @cached_property
+    def video_clips(self) -> DataFrame:
+        """Clip vectors dealt to the videos; every third starts four frames late, so clips overlap the next one's first frames."""
+        c = F.col("clip_idx")
+        return self.clip_vectors.select(F.concat(F.lit("V"), (c % 4).cast("string")).alias("video"), F.floor(c / 4).cast("bigint").alias("clip_index"),
+                                        (F.floor(c / 4) * 16 + F.when(F.floor(c / 4) % 3 == 0, 4).otherwise(0)).cast("bigint").alias("start_frame"), "probs", "embedding")
+
     @cached_property
     def features(self) -> DataFrame:
         """Zone features per monthly frame, as one video."""
@@ -308,7 +340,8 @@ SQL = {
         SELECT vec_id // 16 AS video, vec_id AS clip_idx, label, embedding,
                list_transform(dims, lambda x: x / total) AS probs FROM (
             SELECT *, list_reduce(dims, lambda a, x: a + x, 0e0) AS total FROM (
-                SELECT *, list_transform(embedding[1:11], lambda x: abs(CAST(x AS DOUBLE))) AS dims FROM embeddings))""",
+                SELECT *, list_transform(range(11), lambda k: list_reduce(list_filter(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))), lambda y, i: (i - 1) % 11 = k),
+                    lambda a, x: a + x, 0e0)) AS dims FROM embeddings))""",
 }
 
 

@@ -27,6 +27,24 @@ def perception_rows(frames: DataFrame) -> DataFrame:
         F.col("z.peopleCount").alias("people_count"))
 
 
+_PREDICTION = "ts long, frameId string, clipIndex long, predClassId int, "
+
+
+def behaviour_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Behaviour lines, one per clip; label_risk or expected_risk is NULL where the line has the other."""
+    lines = spark.read.schema(_PREDICTION + "predLabel string, predConf double, risk double, expectedRisk double").json(path)
+    return lines.select("ts", F.col("frameId").alias("frame_id"), F.col("clipIndex").alias("clip_index"), F.col("predClassId").alias("pred_class_id"), F.col("predLabel").alias("pred_label"),
+                        F.col("predConf").alias("pred_conf"), F.col("risk").alias("label_risk"), F.col("expectedRisk").alias("expected_risk"))
+
+
+def debug_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Debug lines of an ensemble, one per clip."""
+    lines = spark.read.schema(_PREDICTION + "behaviorLabel string, behaviorConf double, expectedRisk double, milScore double, paperMix double, milMix double, baseMix double").json(path)
+    return lines.select("ts", F.col("frameId").alias("frame_id"), F.col("clipIndex").alias("clip_index"), F.col("predClassId").alias("pred_class_id"), F.col("behaviorLabel").alias("pred_label"),
+                        F.col("behaviorConf").alias("pred_conf"), F.col("expectedRisk").alias("expected_risk"), F.col("milScore").alias("mil_score"), F.col("paperMix").alias("paper_mix"),
+                        F.col("milMix").alias("mil_mix"), F.col("baseMix").alias("base_mix"))
+
+
 def require_columns(df: DataFrame, required: list[str], what: str) -> DataFrame:
     missing = sorted(set(required) - set(df.columns))
     if missing:
