@@ -124,6 +124,23 @@ def test_other_folds_do_not_depend_on_chunks_or_batches(spark, series, batch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("keep, start", [(0.0, "first"), (1e-3, 2.0), (0.7, "first"), (0.7, "zero"), (0.99, "first"), (0.99999, 2.0), (1.0, "first")])
+def test_average_equals_the_recurrence(spark, keep, start):
+    """Blocks, blocks of blocks, chunks, NULLs at the beginning and between, equal times, and no Python in the plan."""
+    data = spark.range(3000).select("id", F.floor(F.col("id") / 3).alias("ts"), F.when(F.col("id") % 7 == 0, "B").otherwise("A").alias("zone"),
+                                    F.when((F.col("id") > 40) & (F.col("id") % 5 > 0), F.sin(F.col("id") * 1.7) + 2).alias("v"))
+    whole = O.with_average(data, ["zone"], ["ts", "id"], "v", "y", keep, start)
+    cut = O.with_average(data, ["zone"], ["ts", "id"], "v", "y", keep, start, rows_per_chunk=300)
+    fold = {r.id: r.y for r in O.ordered_fold(data, ["zone"], ["ts", "id"], folds.Ewma("v", "y", keep, start)).collect()}
+    assert whole.columns == [*data.columns, "y"] == cut.columns
+    for got in (whole, cut):
+        found = {r.id: r.y for r in got.collect()}
+        assert len(found) == 3000 and all((found[i] is None) == (y is None or y != y) for i, y in fold.items())
+        assert all(found[i] == pytest.approx(y, rel=1e-11) for i, y in fold.items() if found[i] is not None)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def run(fold, **columns):
     return fold.run(None, {k: np.array(v, dtype=object if any(x is None for x in v) else None)
                            for k, v in columns.items()})[1]

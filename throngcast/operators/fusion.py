@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import constants as K
 from ..config import FusionConfig
 from ..functions import scalars as S
-from .ordered import ROWS_PER_CHUNK, exact_percentiles, ordered_fold
-from .folds import Ewma
+from .ordered import ROWS_PER_CHUNK, exact_percentiles, with_average
 
 
 def robust_normalise(df: DataFrame, ts: str, columns: list[str], rows_per_chunk: int | None = None) -> DataFrame:
@@ -74,4 +73,4 @@ def behaviour_blend(risk: Column, density: Column, risk_weight: float = 0.7, den
 
 def smoothed(df: DataFrame, keys: list[str], order: list[str], value: str, name: str = "anomaly",
              keep: float = K.EWMA_KEEP, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    return ordered_fold(df, keys, order, Ewma(value, name, keep), rows_per_chunk)
+    return with_average(df, keys, order, value, name, keep, rows_per_chunk=rows_per_chunk)

@@ -11,6 +11,7 @@ holds more than a few thousand rows, which is why it may be broadcast or held by
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -155,6 +156,78 @@ def with_last_known(df: DataFrame, keys: list[str], order: list[str], column: st
     return _clean(c.with_carry(carry, ["_carry"]).withColumn(name, F.coalesce(local, "_carry")))
 
 
+def _decayed(df: DataFrame, part: list[Column], order: list[str], value: str, decay: float, name: str) -> DataFrame:
+    """Add ``name``: the sum of the non-NULL values so far, each times ``decay`` to the number of later ones.
+
+    The recurrence y = decay * y + value is affine, so runs of values compose. Inside a block of values the weights are powers of decay, which a
+    running sum takes; blocks are short enough for these powers to stay in range. What the blocks before contribute is the same recurrence over
+    their ends with decay to the block's length; once that is below rounding, two ends are all that counts.
+    """
+    size = max(1, min(512, int(250 / -math.log10(decay))))
+    n, block, at, local, end = (f"{name}_{c}" for c in ("n", "b", "at", "l", "e"))
+    past = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*part, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    power = lambda e: F.pow(F.lit(decay), e)
+    out = df.withColumn(n, F.count(value).over(past)).withColumn(block, F.floor((F.col(n) - 1) / size)).withColumn(at, F.col(n) - 1 - F.col(block) * size)
+    out = out.withColumn(local, power(F.col(at)) * F.coalesce(F.sum(F.col(value) * power(-F.col(at))).over(inside), F.lit(0.0)))
+    out = out.withColumn(end, F.when(F.col(value).isNotNull() & (F.col(at) == size - 1), F.col(local)))
+    if decay ** size < 1e-25:
+        earlier = F.coalesce(F.last(end, ignorenulls=True).over(before), F.lit(0.0))
+        out = out.withColumn(end, F.col(end) + decay ** size * earlier)
+        start = F.last(end, ignorenulls=True).over(before)
+    else:
+        out = _decayed(out, part, order, end, decay ** size, f"{name}_s")
+        start = F.lag(f"{name}_s").over(Window.partitionBy(*part).orderBy(*order))
+    # a block's start is read at its first value; NULLs after its last one belong to it as well
+    out = out.withColumn(end, F.when(F.col(value).isNotNull() & (F.col(at) == 0), F.coalesce(start, F.lit(0.0)))).withColumn(end, F.last(end, ignorenulls=True).over(past))
+    return out.withColumn(name, F.col(local) + power(F.col(at) + 1) * F.coalesce(end, F.lit(0.0))).drop(n, block, at, local, end, f"{name}_s")
+
+
+def with_average(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, keep: float, start="first",
+                 rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Add ``keep * previous + (1 - keep) * value`` along each key; a NULL value carries the average on.
+
+    ``start``: 'first' passes the first value through (NULL before it), 'zero' blends it with 0, a number is the start value. No row
+    waits for the one before: chunks, and blocks inside them, are scanned at once and composed afterwards. The result agrees with
+    the row-by-row recurrence up to rounding.
+    """
+    c = chunked(df, keys, order, rows_per_chunk)
+    part, sum_, place = c._group(), "_decayed", ["_seen", "_null"]
+    rows = c.df.withColumn("_v", F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))).withColumn("_null", F.col("_v").isNull())
+    # values are numbered once, and later windows go by the numbers, so rows of equal order keep one place
+    rows = rows.withColumn("_seen", F.count("_v").over(Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    past = Window.partitionBy(*part).orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)
+    if 0 < keep < 1:
+        rows = _decayed(rows, part, place, "_v", keep, sum_)
+    else:
+        rows = rows.withColumn(sum_, F.coalesce(F.last("_v", ignorenulls=True).over(past), F.lit(0.0)) if keep <= 0 else F.lit(0.0))
+    rows = rows.withColumn("_first", F.first("_v", ignorenulls=True).over(past))
+    keep_ = min(1.0, max(0.0, keep))
+    given = None if start == "first" else 0.0 if start == "zero" else float(start)
+    begin, earlier = F.lit(given), F.lit(0)
+    if c.split:
+        steps = F.struct(F.pow(F.lit(keep_), F.col("_count")).alias("a"), ((1 - keep_) * F.col("_sum")).alias("b"))
+        held = lambda w: F.collect_list(steps).over(w.rowsBetween(Window.unboundedPreceding, -1))        # one entry per chunk, at most MAX_CHUNKS
+        summary = Chunked(rows, c.keys, c.order, True).carry(
+            {"_count": F.count("_v"), "_sum": F.max_by(sum_, "_seen"), "_one": F.min_by("_v", F.when(~F.col("_null"), F.col("_seen")))},
+            {"_steps": held, "_lead": lambda w: F.first("_one", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+             "_count_before": lambda w: F.coalesce(F.sum("_count").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+        origin = F.coalesce("_lead", F.lit(0.0)) if given is None else F.lit(given)
+        carry = summary.select(*keys, "_chunk", F.aggregate("_steps", origin, lambda y, x: x.a * y + x.b).alias("_carry"), "_lead", "_count_before")
+        rows = Chunked(rows, c.keys, c.order, True).with_carry(carry, ["_carry", "_lead", "_count_before"])
+        earlier = F.coalesce("_count_before", F.lit(0))
+        first = F.when(earlier > 0, F.col("_lead")).otherwise(F.col("_first"))
+        begin = F.when(earlier > 0, F.col("_carry")).otherwise(first if given is None else F.lit(given))
+        begin = F.when(F.col("_hot"), begin).otherwise(F.col("_first") if given is None else F.lit(given))
+    elif given is None:
+        begin = F.col("_first")
+    average = (1 - keep_) * F.col(sum_) + F.pow(F.lit(keep_), F.col("_seen")) * begin
+    if given is None:                                    # the first value itself, to its last digit
+        average = F.when(earlier + F.col("_seen") == 1, F.coalesce("_first", "_lead") if c.split else F.col("_first")).otherwise(average)
+    return _clean(rows.withColumn(name, average).drop("_v", sum_, "_seen", "_null", "_lead", "_count_before"))
+
+
 def single_row(*frames: DataFrame) -> DataFrame:
     """The columns of several one-row tables side by side, without a join."""
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

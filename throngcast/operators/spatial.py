@@ -7,8 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import RoiDensityConfig
 from ..functions import geometry as G, scalars as S
 from ..session import cut_lineage
-from .folds import Ewma
-from .ordered import ROWS_PER_CHUNK, exact_percentiles, ordered_fold
+from .ordered import ROWS_PER_CHUNK, exact_percentiles, with_average
 
 
 def nearest_spacing(points: DataFrame, frame: str = "frame_id", first_cell: float = 4.0, growth: float = 4.0) -> DataFrame:
@@ -72,7 +71,7 @@ def roi_density(detections: DataFrame, cfg: RoiDensityConfig, keys: list[str] =
     raw = F.when(F.col("h_samples") >= cfg.min_samples, F.col("h_med_px") / cfg.avg_height_m)
     rows = rows.withColumn("scale_raw", F.when(raw > 1e-6, raw))
     start = "first" if cfg.init_scale_px_per_m is None else cfg.init_scale_px_per_m
-    rows = ordered_fold(rows, keys, [frame], Ewma("scale_raw", "scale", 1 - cfg.ema_alpha, start), rows_per_chunk)
+    rows = with_average(rows, keys, [frame], "scale_raw", "scale", 1 - cfg.ema_alpha, start, rows_per_chunk)
     area_px = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(roi, roi[1:] + roi[:1]))) / 2
     known = F.col("scale").isNotNull() & (F.col("scale") > 1e-6)
     area = F.when(known, F.greatest(F.lit(1e-6), area_px / (F.col("scale") * F.col("scale")))).otherwise(0.0)

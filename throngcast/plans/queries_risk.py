@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import scalars as S
 from ..operators import decision, folds, incidents as I, risk as R, zones as Z
-from ..operators.ordered import ordered_fold, with_last_known, with_previous
+from ..operators.ordered import ordered_fold, with_average, with_last_known, with_previous
 from .catalog import query, rounded
 
 _SEV = "CASE WHEN {0} >= 0.8 THEN 'critical' WHEN {0} >= 0.5 THEN 'warn' ELSE 'info' END"
@@ -110,7 +110,7 @@ def _(t):
     SELECT arrival, round(ewma, 9) AS ewma FROM fold""", recursive=True, views={
         "ordered": "SELECT zone_id, arrival, anomaly, row_number() OVER (PARTITION BY zone_id ORDER BY ts, arrival) AS rn FROM perception"})
 def _(t):
-    return rounded(ordered_fold(t.perception, ["zone_id"], ["ts", "arrival"], folds.Ewma("anomaly", "ewma")).select("arrival", "ewma"))
+    return rounded(with_average(t.perception, ["zone_id"], ["ts", "arrival"], "anomaly", "ewma", K.EWMA_KEEP).select("arrival", "ewma"))
 
 
 @query("risk_ema_trend", "W02 P06", f"SELECT arrival, round(risk_ema, 9) AS risk_ema, round(slope, 7) AS slope_per_sec, {_TREND} AS trend FROM states",
