@@ -330,3 +330,82 @@ def test_no_size_limits_on_zones_hotspots_and_routing_zones(spark):
     assert whole == split and whole[1] == ("b", 0.08)
     routing = spark.range(10_001).select(F.concat(F.lit("R"), "id").alias("routing_zone_id"), F.lit("A").alias("parent_id"))
     assert zones.every_pair(spark.range(3).withColumnRenamed("id", "frame_id"), routing).distinct().count() == 30_003
+
+
+def grid(spark, side, seed, changes=()):
+    """A square grid with costs from a hash, both ways; changes (src, dst, cost) replace edges, a NULL cost removes one."""
+    n = spark.range(side * side).withColumn("x", F.col("id") % side)
+    right = n.where(F.col("x") < side - 1).select("id", (F.col("id") + 1).alias("to"))
+    down = n.where(F.col("id") < side * (side - 1)).select("id", (F.col("id") + side).alias("to"))
+    both = right.unionAll(down)
+    both = both.unionAll(both.select(F.col("to").alias("id"), F.col("id").alias("to")))
+    edges = both.select(F.col("id").cast("string").alias("src"), F.col("to").cast("string").alias("dst"), (1 + F.pmod(F.xxhash64("id", "to", F.lit(seed)), F.lit(1000)) / 997.0).alias("cost"))
+    if changes:
+        new = spark.createDataFrame(changes, "src string, dst string, new double").withColumn("hit", F.lit(True))
+        edges = edges.join(new, ["src", "dst"], "left").where("hit IS NULL OR new IS NOT NULL").withColumn("cost", F.coalesce("new", "cost")).drop("new", "hit")
+    return edges.withColumn("edge_id", F.concat_ws("-", "src", "dst"))
+
+
+def dijkstra(edges, exits):
+    """node -> (cost, rank, hops, next node) of the cheapest exit."""
+    import heapq
+    back = {}
+    for r in edges:
+        back.setdefault(r.dst, []).append((r.src, r.cost))
+    best, heap = {}, [(0.0, rank, 0, "", e) for e, rank in exits]
+    heapq.heapify(heap)
+    while heap:
+        cost, rank, hops, parent, node = heapq.heappop(heap)
+        if node in best:
+            continue
+        best[node] = (cost, rank, hops, parent or None)
+        for src, c in back.get(node, []):
+            heapq.heappush(heap, (cost + c, rank, hops + 1, node, src))
+    return best
+
+
+def test_repaired_ways_equal_a_full_run(spark):
+    side, exits = 12, [("0", 0), ("143", 1)]
+    doors = spark.createDataFrame(exits, "exit_id string, exit_ord int")
+    changes = [("1", "0", None), ("0", "1", None), ("13", "1", 9.0), ("65", "66", 0.01), ("143", "142", 0.5), ("70", "71", 30.0), ("12", "0", 7.5)]
+    before, after = grid(spark, side, 3), grid(spark, side, 3, changes)
+    old = graph.exit_costs(before, doors)
+    new, touched = graph.repaired_exit_costs(old, before, after, doors)
+    want = dijkstra(after.collect(), exits)
+    got = {r.node: (r.cost, r.rank, r.hops, r.parent) for r in new.collect()}
+    assert got.keys() == want.keys() and all(got[n][1:] == w[1:] and got[n][0] == pytest.approx(w[0]) for n, w in want.items())
+    assert {r.node: (r.cost, r.hops, r.parent) for r in graph.exit_costs(after, doors).collect()} == {n: (c, h, p) for n, (c, _, h, p) in got.items()}
+    assert 0 < touched < side * side
+    cut_off = graph.repaired_exit_costs(old, before, after.where("dst NOT IN ('0', '143')"), doors)
+    assert {r.node for r in cut_off[0].collect()} == {"0", "143"} and cut_off[1] == side * side - 2
+    same, none = graph.repaired_exit_costs(old, before, before, doors)
+    assert none == 0 and same.count() == side * side
+
+
+def test_ways_on_a_large_grid(spark):
+    """100 000 nodes: entries stay small, and only the paths asked for are built."""
+    edges = grid(spark, 317, 1).where("CAST(src AS INT) < 100000 AND CAST(dst AS INT) < 100000")
+    lifts = spark.range(1, 100000).select(F.col("id").cast("string").alias("src"), F.floor(F.col("id") / 10).cast("string").alias("dst"),
+                                          (1 + F.pmod(F.xxhash64("id"), F.lit(1000)) / 991.0).alias("cost"), F.concat(F.lit("s"), F.col("id")).alias("edge_id"))
+    edges = edges.unionByName(lifts)
+    doors = spark.createDataFrame([("0", 0)], "exit_id string, exit_ord int")
+    asked = spark.createDataFrame([("99999",), ("50000",)], "node string")
+    ways = graph.exit_costs(edges, doors)
+    assert ways.columns == ["node", "cost", "rank", "hops", "parent", "edge_id"] and ways.count() == 100000
+    paths = {r.node: r for r in graph.exit_paths(ways, asked).collect()}
+    cost = {r.edge_id: r.cost for r in edges.collect()}
+    want = dijkstra(edges.collect(), [("0", 0)])
+    for node, r in paths.items():
+        assert r.exit_id == "0" and r.nodes[0] == node and len(r.nodes) == r.hops + 1 == want[node][2] + 1
+        assert sum(cost[e] for e in r.edge_ids) == pytest.approx(r.cost) == want[node][0]
+
+
+def test_equal_ways_go_by_their_first_difference(spark):
+    """Forwards, nodes count from the source on: B before C decides, though the last step would choose otherwise."""
+    rows = [("A", "B"), ("A", "C"), ("B", "Y"), ("C", "X"), ("X", "Z"), ("Y", "Z"), ("Z", "W")]
+    edges = spark.createDataFrame([(s, d, 1.0, f"{s}{d}") for s, d in rows], "src string, dst string, cost double, edge_id string")
+    start = spark.createDataFrame([("A",)], "node string")
+    found = {r.node: (r.nodes, r.edge_ids) for r in graph.cheapest_routes(edges, start).collect()}
+    assert found["W"] == (list("ABYZW"), ["AB", "BY", "YZ", "ZW"]) and found["X"] == (list("ACX"), ["AC", "CX"])
+    back = {r.node: r.nodes for r in graph.cheapest_routes(edges, spark.createDataFrame([("W",)], "node string"), reverse=True).collect()}
+    assert back["A"] == list("ABYZW") and back["C"] == list("CXZW")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import graph
+from ..session import run_folder
 from ..streaming import streams
+from . import queries_routes as R
 from .catalog import query, rounded
 from .queries_presence import METRIC_FOLD, METRIC_VIEWS
 from .queries_risk import FALL_VIEWS, STATE_VIEWS, fall_samples
@@ -86,3 +89,53 @@ def _(t):
     e = F.col("event_id")
     frames = _stream(t).read("events").select(F.concat(F.lit("c"), (e % 8).cast("string")).alias("video"), F.floor(e / 8).alias("frame_idx"), F.col("value").alias("motion"))
     return rounded(streams.run_to_table(streams.count_window_stream(frames), "stream_windows").select("video", "window_index", "motion_mean", "motion_max", "jerk_mean"), 6)
+
+
+# three micro-batches: normal mode; evacuation; evacuation with incidents in every fifth zone
+_REROUTE_VIEWS = {
+    **R._ROUTE_VIEWS,
+    "stages": "SELECT * FROM (VALUES (0, 1e0, 'normal'), (1, 1.4e0, 'evacuation'), (2, 1.4e0, 'evacuation')) t(batch, factor, mode)",
+    "hot_zones": "SELECT zone_id, local_delta FROM small_deltas WHERE CAST(substr(zone_id, 2) AS INT) % 5 = 0",
+    "stage_costs": """SELECT batch, src, dst, one_way, greatest(0e0, length * factor * (1 + 2 * greatest(0e0, coalesce(l.load_ratio, 1e0) - 1)) + 80 * least(1e0, 2 * coalesce(r.risk, 0e0))
+            + coalesce(d.local_delta, 0e0)) AS cost, coalesce(d.local_delta, 0e0) AS delta
+        FROM edges e CROSS JOIN stages s LEFT JOIN zone_risk r USING (zone_id) LEFT JOIN hot_zones d ON d.zone_id = e.zone_id AND s.batch = 2 LEFT JOIN zone_load l ON l.zone_id = e.zone_id""",
+    "stage_arcs": """SELECT batch, src, dst, cost FROM stage_costs WHERE delta < 9999 UNION ALL SELECT batch, dst, src, cost FROM stage_costs WHERE delta < 9999 AND NOT one_way""",
+    "stage_users": """SELECT s.batch, s.mode, a.user_id, bool_or(s.batch = 2 AND h.zone_id IS NOT NULL) AS has_incident, bool_or(risk >= 0.75e0) AS enters_high_risk,
+            bool_or(coalesce(load_ratio, 1e0) >= 1.15e0) AS congestion FROM stages s CROSS JOIN ahead a LEFT JOIN hot_zones h ON h.zone_id = a.zone_id
+        WHERE s.batch < 2 OR EXISTS (SELECT 1 FROM (SELECT user_id, unnest(zone_path) AS z FROM user_routes) u JOIN hot_zones ON zone_id = z WHERE u.user_id = a.user_id) GROUP BY ALL"""}
+
+
+@query("stream_reroute", "T06 T07 T13 X09", """, dist(batch, source, node, cost) USING KEY (batch, source, node) AS (
+        SELECT batch, e, e, 0e0 FROM stages, (VALUES ('0'), ('24')) v(e)
+        UNION SELECT batch, source, src, min(c) FROM (
+            SELECT d.batch, d.source, a.src, d.cost + a.cost AS c, r.cost AS known FROM dist d JOIN stage_arcs a ON a.batch = d.batch AND a.dst = d.node
+            LEFT JOIN recurring.dist r ON r.batch = d.batch AND r.source = d.source AND r.node = a.src) WHERE known IS NULL OR c < known GROUP BY batch, source, src),
+    nearest AS (SELECT batch, node, source, cost, row_number() OVER (PARTITION BY batch, node ORDER BY cost, CAST(source AS INT)) AS r FROM dist)
+    SELECT u.batch, user_id, reason, CASE WHEN u.mode = 'evacuation' THEN source ELSE CAST(user_id * 7 % 25 AS VARCHAR) END AS target, round(cost, 6) AS exit_cost FROM (
+        SELECT *, CASE WHEN has_incident THEN 'ROUTE_BLOCKED_BY_INCIDENT' WHEN mode = 'evacuation' THEN 'GLOBAL_MODE_ESCALATION' WHEN enters_high_risk THEN 'ROUTE_ENTERING_HIGH_RISK'
+            WHEN congestion THEN 'CONGESTION_OVER_CAPACITY' END AS reason FROM stage_users) u
+    JOIN nearest n ON n.batch = u.batch AND n.r = 1 AND n.node = CAST(user_id % 25 AS VARCHAR) WHERE reason IS NOT NULL""", recursive=True, views=_REROUTE_VIEWS)
+def stream_reroute(t):
+    """Changed zones arrive in three micro-batches; before each, the control tables are written anew, and the sink reads them."""
+    base = run_folder(t.spark, "reroute")
+    spark, place = t.spark, lambda name: f"{base}/{name}"
+    parity = F.substring("zone_id", 2, 9).cast("int") % 5 == 0
+    hot = R.small_deltas(t).where(parity)
+    none = hot.where("false")
+    R.user_routes(t).write.parquet(place("routes"))
+    R.doubled_risk(t).write.parquet(place("zone_risk"))
+    R.zone_load(t).write.parquet(place("load"))
+    read = lambda name: lambda: spark.read.parquet(place(name))
+    tables = {name: read(name) for name in ("mode", "routes", "zone_risk", "load", "deltas")}
+    tables |= {"incidents": lambda: spark.read.parquet(place("deltas")).select("zone_id"), "edges": lambda: t.edges, "exits": lambda: t.exits}
+    sink = streams.RerouteSink(tables, place("sent"), lambda: 10 ** 6, place("kept"))
+    zones = t.routing_zones.select(F.col("routing_zone_id").alias("zone_id"))
+    schema = zones.schema
+    for mode, deltas, changed in (("normal", none, zones), ("evacuation", none, zones.limit(0)), ("evacuation", hot, hot.select("zone_id"))):
+        t.read("region").limit(1).select(F.lit(mode).alias("mode")).write.mode("overwrite").parquet(place("mode"))
+        deltas.write.mode("overwrite").parquet(place("deltas"))
+        changed.coalesce(1).write.mode("append").parquet(place("changed"))
+        stream = spark.readStream.schema(schema).parquet(place("changed"))
+        stream.writeStream.foreachBatch(sink).option("checkpointLocation", place("checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    sent = spark.read.parquet(place("sent"))
+    return rounded(sent.select("batch", "user_id", "reason", "target", "exit_cost"), 6)

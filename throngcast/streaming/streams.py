@@ -80,31 +80,64 @@ def count_window_stream(frames: DataFrame, cfg: CrashConfig = CrashConfig()) ->
 
 
 class RerouteSink:
-    """``foreachBatch`` body: re-evaluate the routes that touch zones changed in this micro-batch.
+    """``foreachBatch`` body: re-evaluate users whose routes touch zones changed in this micro-batch, all of them after a mode switch.
 
     Zone risk, incidents, load, active routes, edges and the mode are tables read anew per batch, so a mode
     switch or a new incident takes effect with the next one. Results are written per batch id, which makes a
     repeated batch overwrite itself.
+
+    The ways to the exits are kept per batch as well: a batch takes those of the batch before and repairs what its changed edge
+    costs touch. ``repairs`` records mode and nodes touched. Without ``keep_ways`` every batch computes all ways.
     """
 
-    def __init__(self, tables: dict, out_folder: str, now_ms):
-        self.tables, self.out_folder, self.now_ms = tables, out_folder, now_ms
+    def __init__(self, tables: dict, out_folder: str, now_ms, keep_ways: str | None = None):
+        self.tables, self.out_folder, self.now_ms, self.keep_ways = tables, out_folder, now_ms, keep_ways
 
     def __call__(self, changed: DataFrame, batch_id: int) -> None:
         read = {name: load() for name, load in self.tables.items()}
         mode = read["mode"].first()["mode"]                     # control table of one row
-        touched = changed.select("zone_id").distinct()
-        users = read["routes"].withColumn("_z", F.explode("zone_path")).join(touched.withColumnRenamed("zone_id", "_z"), "_z") \
-            .drop("_z").dropDuplicates(["user_id"])
-        self.evaluate(users, read, mode).write.mode("overwrite").parquet(f"{self.out_folder}/batch={batch_id}")
-
-    def evaluate(self, users: DataFrame, read: dict, mode: str) -> DataFrame:
+        before = self._before(changed.sparkSession, batch_id)
+        users = read["routes"]
+        if before is None or before["mode"] == mode:
+            touched = changed.select("zone_id").distinct()
+            users = users.withColumn("_z", F.explode("zone_path")).join(touched.withColumnRenamed("zone_id", "_z"), "_z").drop("_z").dropDuplicates(["user_id"])
+        ways = self._ways(read, mode, before, batch_id) if self.keep_ways else None
+        self.evaluate(users, read, mode, ways).write.mode("overwrite").parquet(f"{self.out_folder}/batch={batch_id}")
+
+    def _before(self, spark: SparkSession, batch_id: int) -> dict | None:
+        """What the batch before left; batches come one by one, so it is there from the second on."""
+        if not self.keep_ways or batch_id == 0:
+            return None
+        table = lambda name: spark.read.parquet(f"{self.keep_ways}/{name}/batch={batch_id - 1}")
+        return {"ways": table("ways"), "costs": table("costs"), "mode": table("repairs").first()["mode"]}
+
+    def _ways(self, read: dict, mode: str, before: dict | None, batch_id: int) -> DataFrame:
+        spark = read["edges"].sparkSession
+        place = lambda name: f"{self.keep_ways}/{name}/batch={batch_id}"
+        graph.edge_costs(read["edges"], read["zone_risk"], read.get("deltas"), read.get("load"), mode).write.mode("overwrite").parquet(place("costs"))
+        costs = spark.read.parquet(place("costs"))
+        if before is None:
+            ways, touched = graph.exit_costs(costs, read["exits"]), None
+        else:
+            ways, touched = graph.repaired_exit_costs(before["ways"], before["costs"], costs, read["exits"])
+        ways.write.mode("overwrite").parquet(place("ways"))
+        kept = spark.read.parquet(place("ways"))
+        record = [(mode, touched if touched is not None else kept.count())]
+        spark.createDataFrame(record, "mode string, touched long").coalesce(1).write.mode("overwrite").parquet(place("repairs"))
+        return kept
+
+    def evaluate(self, users: DataFrame, read: dict, mode: str, ways: DataFrame | None = None) -> DataFrame:
         assessed = decision.assess_routes(users, read["zone_risk"], read["incidents"], read.get("load"))
         decided = decision.decide(assessed.join(users.select("user_id", "last_reroute_ms", "current_node", "destination"), "user_id"),
                                   mode, F.lit(self.now_ms()), F.col("last_reroute_ms"))
-        exits = graph.best_exit(graph.edge_costs(read["edges"], read["zone_risk"], read.get("deltas"), read.get("load"), mode), read["exits"])
+        if ways is None:
+            ways = graph.exit_costs(graph.edge_costs(read["edges"], read["zone_risk"], read.get("deltas"), read.get("load"), mode), read["exits"])
+        # exits are looked up where users stand; only an evacuation sends them there
+        asked = users.select(F.col("current_node").cast("string").alias("node")).distinct()
+        exits = graph.exit_paths(ways, asked) if mode == "evacuation" else ways.select("node", F.lit(None).cast("string").alias("exit_id"), "cost")
         sent = decision.targets(decided, exits, mode)
-        return decision.guidance(sent).select("user_id", "reason", "target", "title", "message", "guidance_severity")
+        told = decision.guidance(sent).join(exits.select(F.col("node").alias("current_node"), F.col("cost").alias("exit_cost")), "current_node", "left")
+        return told.select("user_id", "reason", "target", "exit_cost", "title", "message", "guidance_severity")
 
 
 def run_to_table(stream: DataFrame, name: str, checkpoint: str | None = None, out: str | None = None) -> DataFrame:
