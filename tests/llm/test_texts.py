@@ -280,7 +280,7 @@ def test_pipeline_stages(spark):
         assert stage(spark, empty, folder).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op9_site_lines"])
+@pytest.mark.parametrize("name", ["op9_site_lines", "op11_hard_negatives", "op12_vector_copies", "op13_value_codes"])
 def test_queries_equal_sql(spark, name):
     from oracle import connect, differences
     from throngcast.llm.queries import QUERIES, SQL

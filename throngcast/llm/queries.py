@@ -124,7 +124,18 @@ def _(table):
     return judged.select(F.col("camera_id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
-@_query("op11_hard_negatives")
+_FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+@_query("op11_hard_negatives", f"""
+    WITH clips AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+        FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+    scored AS (SELECT a.vec_id AS anchor_id, a.label AS own, c.vec_id, c.label, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score FROM clips a JOIN clips c ON len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0),
+    positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE label = own AND vec_id <> anchor_id
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+    ranked AS (SELECT p.*, vec_id AS negative_id, score AS negative_score, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank
+        FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND label <> own AND 80 * positive_score <= 100 * score AND score <= positive_score)
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5""")
 def _(table):
     label = F.when(F.col("clip_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     clips = table("embeddings").select("vec_id", "label", "embedding").withColumnsRenamed(CLIP).withColumn("label", label)
@@ -132,13 +143,36 @@ def _(table):
     return mined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 
-@_query("op12_vector_copies")
+@_query("op12_vector_copies", f"""
+    WITH RECURSIVE clips AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+        WHERE label IS NOT NULL AND {_FINITE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM clips a JOIN clips b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
+    reach(vec_id, seen) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.seen)
+    SELECT r.vec_id, coalesce(any_value(n), 0) AS n_links, min(seen) AS component_id, r.vec_id = min(seen) AS kept
+    FROM reach r LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = r.vec_id GROUP BY r.vec_id""")
 def _(table):
     marked = vector_copies.close_vectors(table("embeddings").select("vec_id", "label", "embedding").withColumnsRenamed(CLIP))
     return marked.select(F.col("clip_id").alias("vec_id"), "n_links", "component_id", "kept")
 
 
-@_query("op13_value_codes")
+def _codes_sql() -> str:
+    """Four rounds and a last assignment, spelled out one after another."""
+    said = [f"""kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v, len(embedding) // 4 AS w FROM embeddings WHERE {_FINITE}),
+    parts AS (SELECT vec_id, label, p, v[p * w + 1:(p + 1) * w] AS x FROM kept, LATERAL (SELECT unnest(range(4)) AS p)),
+    book0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts QUALIFY e < 256)"""]
+    for n in range(5):
+        said.append(f"""near{n} AS (SELECT vec_id, label, a.p, any_value(x) AS x, min(list_distance(x, c)) AS far, arg_min(e, (list_distance(x, c), e)) AS e
+        FROM parts a JOIN book{n} b ON a.p = b.p GROUP BY vec_id, label, a.p)""")
+        if n < 4:
+            said.append(f"""moved{n} AS (SELECT p, e, list(m ORDER BY j) AS c FROM (SELECT p, e, j, floor(sum(x[j]) / count(*)) AS m FROM near{n}, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS j) GROUP BY p, e, j) GROUP BY p, e),
+    book{n + 1} AS (SELECT p, e, coalesce(m.c, b.c) AS c FROM book{n} b LEFT JOIN moved{n} m USING (p, e))""")
+    return "WITH " + ",\n    ".join(said).replace(" AS (SELECT", " AS MATERIALIZED (SELECT") + """,
+    coded AS (SELECT vec_id, label, string_agg(lpad(lower(to_hex(CAST(e AS BIGINT))), 2, '0'), '' ORDER BY p) AS code, CAST(sum(round(far * far)) AS BIGINT) AS error FROM near4 GROUP BY vec_id, label)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+        (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ','), ',' ORDER BY p, e)) FROM book4) AS codebooks_sha256 FROM coded"""
+
+
+@_query("op13_value_codes", _codes_sql())
 def _(table):
     coded, books = value_codes.compress(table("embeddings").select("vec_id", "label", "embedding").withColumnsRenamed(CLIP))
     code = F.array_join(F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
