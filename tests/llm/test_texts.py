@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from throngcast.llm import aliases, chat, decontaminate, host_rules, main_text, packing, private_spans
@@ -117,6 +118,37 @@ def test_host_rules(spark):
     assert host_rules.judge(spark.createDataFrame([], "incident_id long, map_id string, description string")).count() == 0
 
 
+def test_map_verdicts_equal_brute_force(spark):
+    """A map of mostly junk goes, by whichever rule; a small unlucky one, and one like all others, stays."""
+    maps = {"junk": (60, 42), "unlucky": (3, 3), **{f"ok{i}": (50 + i, i % 5) for i in range(20)}}
+    rows = [(m, rule, n, f if rule == "symbols" else n // 20) for m, (n, f) in maps.items() for rule in ("symbols", "few_words")]
+    got = {(r.map_id, r.rule): r for r in host_rules.map_verdicts(spark.createDataFrame(rows, "map_id string, rule string, n long, failed long")).collect()}
+    for rule in ("symbols", "few_words"):
+        own = [(m, n, f) for m, r, n, f in rows if r == rule]
+        p = np.array([f / n for _, n, f in own])
+        m, v = p.mean(), p.var()
+        s = max(1.0, m * (1 - m) / v - 1)
+        for name, n, f in own:
+            rate = (f + m * s) / (n + s)
+            low = rate - 2 * (rate * (1 - rate) / (n + s + 1)) ** 0.5
+            r = got[name, rule]
+            assert abs(r.rate - rate) < 1e-9 and abs(r.low - low) < 1e-9 and r.rejected == (low > max(0.5, m))
+    assert [k for k, r in got.items() if r.rejected] == [("junk", "symbols")]
+    alike = host_rules.map_verdicts(spark.createDataFrame([(f"m{i}", "symbols", 100, 90) for i in range(5)], "map_id string, rule string, n long, failed long"))
+    assert not alike.where("rejected").count()
+    good = " ".join(f"w{i}" for i in range(60))
+    texts = [("loud", good + " #$%" * 9)] * 40 + [("loud", good)] * 4 + [(f"ok{i % 6}", good) for i in range(90)]
+    judged = host_rules.judge(spark.createDataFrame([(i, m, t) for i, (m, t) in enumerate(texts)], "incident_id long, map_id string, description string"))
+    assert {r.map_id for r in judged.where("NOT kept").collect()} == {"loud"} and judged.where("NOT kept").count() == 44 and not judged.where("base_failed").count()
+
+
+def test_overlapping_candidates_are_chosen_in_order(spark):
+    """A > B > C where only neighbours overlap: B goes for A, so nothing that stays covers C."""
+    rows = [([(-0.9, 0, -10, 0), (-0.8, 8, -20, 1), (-0.7, 18, -30, 2)],), ([(-0.7, 5, -9, 2), (-0.7, 5, -12, 3)],), ([],)]
+    found = spark.createDataFrame(rows, "c array<struct<worse:double,begin:int,back:int,kind:int>>").select(private_spans.disjoint(F.col("c")).alias("d")).collect()
+    assert [[(x.begin, x.back) for x in r.d] for r in found] == [[(0, -10), (18, -30)], [(5, -12)], []]
+
+
 def test_decontamination_equals_brute_force(spark):
     words = [f"t{i}" for i in range(400)]
     items = [(1, " ".join(words[:25])), (2, "Only, three WORDS"), (3, " ".join(words[5:15])), (4, None), (5, "?!"), (2, "Only, three WORDS"), (None, "zz yy")]

@@ -194,7 +194,7 @@ def find_private(signals: DataFrame, note: str = "note", **fit) -> DataFrame:
 
     Base spans are the patterns' matches that pass their check. Wider candidates of the same kinds are scored by boosted trees
     on their format and context, and join `spans` when they reach their kind's threshold and overlap no base span; of
-    candidates that overlap each other the better one stays (then the earlier, then the longer). `kind` is the index in KINDS.
+    candidates that overlap each other the better one stays (then the earlier, then the longer); one that only a dropped one overlaps stays too. `kind` is the index in KINDS.
 
     Every row and every column stay; columns named base or spans are replaced. NULL and empty notes have no spans. Rows are independent
     of each other, so ties, repeated rows and NULL ids need no rule. Nothing is shuffled. `fit` goes to fit_trees.
@@ -221,11 +221,18 @@ def find_private(signals: DataFrame, note: str = "note", **fit) -> DataFrame:
     out = out.withColumn(scored, F.filter(F.transform(wide, lambda c: F.struct(
         F.negate(score(c["f"])).alias("worse"), c["begin"].alias("begin"), F.negate(c["end"]).alias("back"), c["kind"].alias("kind"))),
         lambda c: F.negate(c["worse"]) >= F.get(limits, c["kind"])))
-    best = F.filter(scored, lambda c: ~F.exists(F.col(scored), lambda o: (o < c) & (o["begin"] < F.negate(c["back"])) & (c["begin"] < F.negate(o["back"]))))
+    best = disjoint(F.col(scored))
     added = F.transform(best, lambda c: F.struct(c["begin"].alias("begin"), c["kind"].alias("kind"), F.negate(c["back"]).alias("end")))
     return out.withColumn("spans", F.array_sort(F.concat(F.col("base"), added))).drop(text_name, wide, scored, *names.values())
 
 
+def disjoint(scored: Column) -> Column:
+    """Of candidates (worse, begin, back, kind) the best one, then the best that overlaps none chosen so far, and so on."""
+    none = F.filter(scored, lambda c: F.lit(False))
+    meets = lambda a, b: (a["begin"] < F.negate(b["back"])) & (b["begin"] < F.negate(a["back"]))
+    return F.aggregate(F.array_sort(scored), none, lambda chosen, c: F.when(F.exists(chosen, lambda o: meets(o, c)), chosen).otherwise(F.concat(chosen, F.array(c))))
+
+
 def count_of(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == KINDS.index(kind))).cast("long")
 
