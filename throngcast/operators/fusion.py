@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as K
 from ..config import FusionConfig
@@ -13,15 +13,20 @@ from .ordered import ROWS_PER_CHUNK, exact_percentiles, with_average
 def robust_normalise(df: DataFrame, ts: str, columns: list[str], rows_per_chunk: int | None = None) -> DataFrame:
     """Add ``<column>_n``: position between the 5th and 95th percentile of the timestep; 0 when they coincide.
 
-    A timestep has one row per zone, so its group is bounded; pass ``rows_per_chunk`` where that does not hold.
+    A timestep has one row per zone, so its group is bounded and percentiles are windows over it, all on one partitioning; pass
+    ``rows_per_chunk`` where that does not hold.
     """
     ranks = {f"_{end}_{c}": (c, q) for c in columns for end, q in (("lo", 0.05), ("hi", 0.95))}
-    span = exact_percentiles(df, [ts], ranks, rows_per_chunk)
+    if rows_per_chunk is None:
+        moment = Window.partitionBy(ts)
+        ranged = df.withColumns({name: F.percentile(c, F.lit(q)).over(moment) for name, (c, q) in ranks.items()})
+    else:
+        ranged = df.join(exact_percentiles(df, [ts], ranks, rows_per_chunk), ts)
     scaled = {}
     for c in columns:
         lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
         scaled[f"{c}_n"] = F.when(hi <= lo, F.lit(0.0)).otherwise(S.clamp((F.col(c) - lo) / (hi - lo)))
-    return df.join(span, ts).withColumns(scaled).drop(*[f"_{e}_{c}" for c in columns for e in ("lo", "hi")])
+    return ranged.withColumns(scaled).drop(*ranks)
 
 
 def fallback_anomaly(features: DataFrame, ts: str = "ts", rows_per_chunk: int | None = None) -> DataFrame:
@@ -44,9 +49,13 @@ def activity_weights(features: DataFrame, ts: str = "ts", cfg: FusionConfig = Fu
                      + cfg.entropy_weight * S.clamp(F.col("dir_entropy")))
     active = S.clamp(cfg.density_weight * S.clamp(F.col("density")) + cfg.motion_weight * motion)
     scored = n.withColumn("activity", active).drop("speed_mean_n", "turbulence_n")
-    total = scored.groupBy(ts).agg(F.sum("activity").alias("_total"), F.count(F.lit(1)).alias("zones_at_ts"))
+    totals = {"_total": F.sum("activity"), "zones_at_ts": F.count(F.lit(1))}
+    if rows_per_chunk is None:
+        summed = scored.withColumns({name: total.over(Window.partitionBy(ts)) for name, total in totals.items()})
+    else:
+        summed = scored.join(scored.groupBy(ts).agg(*[total.alias(name) for name, total in totals.items()]), ts)
     weight = F.when(F.col("_total") <= 1e-6, 1.0 / F.col("zones_at_ts")).otherwise(F.col("activity") / F.col("_total"))
-    return scored.join(total, ts).withColumn("weight", weight).drop("_total")
+    return summed.withColumn("weight", weight).drop("_total")
 
 
 def spatialised(global_risk: Column, weight: Column, zones: Column) -> Column:

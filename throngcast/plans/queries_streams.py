@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph
 from ..session import run_folder
 from ..streaming import streams
 from . import queries_routes as R
 from .catalog import query, rounded
-from .queries_presence import METRIC_FOLD, METRIC_VIEWS
+from .queries_presence import _CELL, METRIC_FOLD, METRIC_VIEWS
 from .queries_risk import FALL_VIEWS, STATE_VIEWS, fall_samples
 from .views import Tables
 
@@ -139,3 +138,29 @@ def stream_reroute(t):
         stream.writeStream.foreachBatch(sink).option("checkpointLocation", place("checkpoint")).trigger(availableNow=True).start().awaitTermination()
     sent = spark.read.parquet(place("sent"))
     return rounded(sent.select("batch", "user_id", "reason", "target", "exit_cost"), 6)
+
+
+@query("stream_presence_windows", "T12 A15", f"""
+    SELECT start_ms, lat_cell, lng_cell, count(*) AS users, true AS late_rows_counted FROM (
+        SELECT *, unnest(range(0, 10)) AS back FROM (SELECT t_ms, {_CELL} FROM (SELECT lat, lng, (ts_ms - 1704067200000) // 10000 AS t_ms FROM presence)))
+    , LATERAL (SELECT (t_ms // 3000 - back) * 3000 AS start_ms) GROUP BY ALL HAVING count(*) >= 2""")
+def stream_presence_windows(t):
+    """The batch query presence_windows as a stream of three micro-batches: the earlier half of the time, the later one, and rows repeated too late."""
+    base = run_folder(t.spark, "presence")
+    rows = t.presence.withColumn("ts_ms", F.floor((F.col("ts_ms") - 1704067200000) / 10000))
+    span = rows.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+    middle = (span[0] + span[1]) // 2
+    for part in (rows.where(F.col("ts_ms") < middle), rows.where(F.col("ts_ms") >= middle), rows.where(F.col("ts_ms") < span[0] + (middle - span[0]) // 8)):
+        part.coalesce(1).write.mode("append").parquet(base)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(base)
+    cells, late = streams.presence_grid_table(stream)
+    return cells.select("start_ms", "lat_cell", "lng_cell", "users", F.lit(late > 0).alias("late_rows_counted"))
+
+
+@query("stream_presence_expiry", "T02 T03", """, newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY arrival DESC) AS rn FROM presence) WHERE rn = 1),
+    clock AS (SELECT max(ts_ms) - 30000 AS watermark FROM presence)
+    SELECT user_id, arrival, ts_ms, CASE WHEN offline THEN 'offline' ELSE 'active' END AS status FROM newest
+    UNION ALL SELECT user_id, arrival, ts_ms, 'expired' FROM newest, clock WHERE NOT offline AND ts_ms + 30000 <= watermark""")
+def stream_presence_expiry(t):
+    """Every change of a user's state, the expiry by timer included: whoever was not heard of for 30 s of event time when the watermark passed."""
+    return streams.run_to_table(streams.presence_stream(_stream(t).presence), "stream_presence").select("user_id", "arrival", "ts_ms", "status")

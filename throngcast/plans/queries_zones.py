@@ -116,8 +116,7 @@ def _(t):
 
 
 def _fused(t, three_way):
-    base = fusion.fallback_anomaly(t.features).select("ts", "zone_id", "anomaly_raw")
-    rows = fusion.activity_weights(t.features).join(base, ["ts", "zone_id"])
+    rows = fusion.activity_weights(fusion.fallback_anomaly(t.features))
     behaviour = fusion.spatialised((F.col("ts") % 10) / 10.0, F.col("weight"), F.col("zones_at_ts"))
     conf = (F.col("ts") % 7) / 7.0
     if three_way:

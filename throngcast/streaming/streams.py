@@ -45,6 +45,24 @@ def presence_grid_stream(events: DataFrame, window: str = "30 seconds", slide: s
     return presence.presence_grid(timed, ["w"])
 
 
+def presence_grid_table(events: DataFrame, name: str = "presence_grid", window: str = "30 seconds", slide: str = "3 seconds") -> tuple[DataFrame, int]:
+    """Crowd cells of sliding windows as they stand, also of windows still open, and how many late rows were left out.
+
+    The stream runs in update mode: each micro-batch writes the cells it changed under its id (a repeated batch overwrites itself), and
+    the last state of a cell counts. Rows behind the watermark change nothing; Spark's own count of them is returned.
+    """
+    spark: SparkSession = events.sparkSession
+    base = run_folder(spark, name)
+    cells = presence_grid_stream(events, window, slide).select(F.unix_millis("w.start").alias("start_ms"), "lat_cell", "lng_cell", "users", "lat", "lng", "latest_ts")
+    query = cells.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{base}/checkpoint") \
+        .foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{base}/table/batch={batch}")).start()
+    query.awaitTermination()
+    late = sum(op["numRowsDroppedByWatermark"] for progress in query.recentProgress for op in progress["stateOperators"])
+    table = spark.read.parquet(f"{base}/table")
+    last = table.groupBy("start_ms", "lat_cell", "lng_cell").agg(F.max_by(F.struct("users", "lat", "lng", "latest_ts"), "batch").alias("c"))
+    return last.select("start_ms", "lat_cell", "lng_cell", "c.*"), late
+
+
 def incident_stream(changes: DataFrame) -> DataFrame:
     """incident_id, arrival, op, zone_id, hazard_penalty, affected_zone_ids to signed zone changes."""
     return changes.groupBy("incident_id").transformWithStateInPandas(
