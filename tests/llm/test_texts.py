@@ -93,6 +93,24 @@ def test_layout_classes_and_empty_foreign_elements_lose_no_text(before, after):
     assert main_text.main_blocks(f"{before}<p>whole story</p><div class='sidebar'>side</div>{after}", set()) == ["whole story"]
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<article><h2 class='section-header'>Title</h2><p>story</p></article>", ["Title", "story"]), ("<article><section id='discussion'><p>points</p></section></article>", ["points"]),
+    ("<article><div class='article-header'><h1>Head</h1></div><p>x</p></article>", ["Head", "x"]), ("<div class='page header-fixed'><p>all of it</p></div>", ["all of it"]),
+    ("<p title='a > b'>kept</p>", ["kept"]), ("<p title=\"it's > so\">kept</p>", ["kept"]), ("<p it's>one</p><p don't>two</p>", ["one", "two"]), ("<p a='open>text</p>", ["text"])])
+def test_names_and_quotes_lose_no_text(html, text):
+    assert main_text.main_blocks(f"<html><body>{html}</body></html>", set()) == text
+
+
+def test_deep_and_long_pages():
+    deep = "<div>" * 100_000 + "<p>down here</p>" + "</div>" * 100_000 + "<p>and after</p>"
+    assert main_text.main_blocks(deep, set()) == ["down here", "and after"]
+    odd = "<x-y>" * 50_000 + "<section>one</section>" * 1000
+    assert main_text.main_blocks(odd, set()) == ["one"] * 1000
+    long = "<article>" + "<p>" + "word " * 400_000 + "</p></article>"
+    assert main_text.main_blocks(long, set()) == [("word " * 400_000).strip()]
+    assert main_text.main_blocks("<p " + "a='b' " * 200_000, set()) == main_text.main_blocks("<p " + "a='b' " * 200_000, set())
+
+
 def test_template_text_of_a_host_is_left_out(spark):
     rows = [(i, "http://h.org/x", f"<html><body><div><p>Welcome to our site</p><p>story {i} told</p><p>All rights here</p></div></body></html>") for i in range(6)]
     rows += [(10 + i, "http://few.org/", "<html><body><div><p>Welcome to our site</p></div></body></html>") for i in range(9)]

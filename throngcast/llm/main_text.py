@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -21,39 +22,46 @@ RAW = frozenset("script style noscript template textarea title svg math iframe o
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that never hold main text.
 OUTSIDE = frozenset("head nav header footer aside form script style noscript template button select textarea iframe object svg math dialog menu input label option".split())
-#: Words in class, id or role that mark what is not main text; compared with whole words of the attribute.
+#: Names in class, id or role that mark what is not main text; a name counts whole, so section-header or header-fixed marks nothing.
 MARKS = frozenset("""ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promoted promotion nav navbar navigation menu menus breadcrumb
- breadcrumbs header masthead footer sidebar sidebars aside widget widgets notice notices cookie cookies consent gdpr banner banners alert popup modal overlay
- comment comments commentlist disqus reply replies respond discussion related recommended recommendations share sharing social newsletter subscribe subscription signup
+ breadcrumbs header masthead site-header page-header footer site-footer page-footer sidebar sidebars sidebar-left sidebar-right aside widget widgets notice notices cookie cookies cookie-banner cookie-notice consent gdpr banner banners alert popup modal overlay
+ comment comments commentlist comment-list disqus reply replies respond related related-posts recommended recommendations share sharing social newsletter subscribe subscription signup
  login search pagination pager toolbar tagcloud complementary contentinfo skip copyright legal""".split())
 #: Elements that hold the page or its text: words of their class, id or role are about layout and mark nothing.
 UNMARKED = frozenset("html body main article".split())
 #: Elements that a start tag does not close anything beyond.
 SCOPES = frozenset("article main section div body html ul ol dl table blockquote".split())
-MAX_DEPTH, MAX_PATH = 500, 2000
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
+#: A quoted > is no end of a tag; what a possessive group has read it does not try again.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>|<[!?][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
-#: Classes that say that something marked is beside, not here: with-sidebar, no-sidebar.
-_BESIDE = re.compile(r"(?<!\S)(?:has|with|without|no)[-_]\S+")
 _SPACE = re.compile(r"\s+")
 _END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 #: Start tags that end an open paragraph or item.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def chunks(page: str) -> list[tuple[str, str, bool]]:
+def chunks(page: str) -> list[tuple[int, str, bool]]:
     """A page's tokens in order: (path, text, article).
 
     Tags have an empty text; texts are blocks: white space is one space, character references are decoded, and block tags end them. `path`
-    names the enclosing elements with their marks; `article` tells that one of them is an article or main element. Text inside elements
+    is a hash of the enclosing elements with their marks, however deep; `article` tells that one of them is an article or main element. Text inside elements
     that never hold main text is left out and does not break the block around it. Unclosed and crossing tags close at the nearest
     match, text without tags is one block, and whatever follows the last tag counts.
     """
-    out: list[tuple[str, str, bool]] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]      # name, path, outside, article
+    out: list[tuple[int, str, bool]] = []
+    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]       # name, path, outside, article
+    open_: Counter = Counter()                                               # elements on the stack by name
     said: list[str] = []
 
+    def enter(*element) -> None:
+        stack.append(element)
+        open_[element[0]] += 1
+
+    def close() -> str:
+        name = stack.pop()[0]
+        open_[name] -= 1
+        return name
+
     def flush() -> None:
         if said:
             text = _SPACE.sub(" ", references.unescape("".join(said))).strip()
@@ -74,17 +82,12 @@ def chunks(page: str) -> list[tuple[str, str, bool]]:
         if name is None:
             continue
         name, attributes = name.lower(), token.group(3)
-        if attributes.count('"') % 2:                                        # a quoted > is no end of the tag
-            quote = page.find('"', at)
-            end = page.find(">", quote) if quote >= 0 else -1
-            if end >= 0:
-                attributes, at = attributes + page[token.end() - 1:end], end + 1
         if token.group(1):
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if depth:
+            if open_[name]:
                 if name not in INLINE:
                     flush()
-                del stack[depth:]
+                while close() != name:
+                    pass
             continue
         if name in RAW:
             if name in ("svg", "math") and attributes.endswith("/"):         # foreign elements may be empty; elsewhere the slash means nothing
@@ -96,7 +99,7 @@ def chunks(page: str) -> list[tuple[str, str, bool]]:
         if "=" in attributes:
             marks = " ".join(v for m in _ATTRIBUTE.finditer(attributes) for v in m.groups()[1:] if v).lower()
         _, path, was_outside, article = stack[-1]
-        marked = bool(marks) and name not in UNMARKED and not MARKS.isdisjoint(_WORD.findall(_BESIDE.sub("", marks)))
+        marked = bool(marks) and name not in UNMARKED and not MARKS.isdisjoint(marks.split())
         outside = was_outside or name in OUTSIDE or marked
         if name in VOID:
             if not was_outside:
@@ -106,29 +109,30 @@ def chunks(page: str) -> list[tuple[str, str, bool]]:
             continue
         if name in INLINE:
             if outside:                                                      # its end tag has to be told from others
-                stack.append((name, path, True, article))
+                enter(name, path, True, article)
             continue
         if not was_outside:
             flush()
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in CLOSES.get(name, ()) or stack[i][0] == "p":     # a block ends a paragraph, an item its neighbour
-                del stack[i:]
-                _, path, was_outside, article = stack[-1]
-                outside = was_outside or name in OUTSIDE or marked
-                break
-            if stack[i][0] in SCOPES:
-                break
-        path = f"{path}/{name}.{marks}" if marks else f"{path}/{name}"
+        ends = CLOSES.get(name, frozenset()) | {"p"}                          # a block ends a paragraph, an item its neighbour
+        if any(open_[e] for e in ends):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i][0] in ends:
+                    while len(stack) > i:
+                        close()
+                    _, path, was_outside, article = stack[-1]
+                    outside = was_outside or name in OUTSIDE or marked
+                    break
+                if stack[i][0] in SCOPES:
+                    break
+        path = xxhash.xxh3_64_intdigest(f"{path}/{name}.{marks}")
         article = article or name in ("article", "main")
-        if len(stack) >= MAX_DEPTH:                                          # deeper elements share one level
-            stack.pop()
-        stack.append((name, path[:MAX_PATH], outside, article))
-        out.append((path[:MAX_PATH], "", article))
+        enter(name, path, outside, article)
+        out.append((path, "", article))
     flush()
     return out
 
 
-def _key(path: str, text: str) -> int:
+def _key(path: int, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\0{text}") - (1 << 63)
 
 
