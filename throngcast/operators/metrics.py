@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import constants as K
@@ -70,6 +72,19 @@ def weighted_mean(rows: DataFrame, keys: list[str], values: list[str], weight: s
     return rows.groupBy(*keys).agg(*[(F.sum(F.col(v) * F.col(weight)) / F.sum(weight)).alias(v) for v in values])
 
 
+def labelled_bags(normal: DataFrame, abnormal: DataFrame, key: str = "video", max_clips: int = 0, order: str = "clip_idx", rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Clips of normal and abnormal videos as one table, columns by name, with ``bag_label`` 0 or 1; at most ``max_clips`` first clips of
+    a video (0: all). A video without clips has no rows and so no bag. Both sides need clips."""
+    sides = {0: normal, 1: abnormal}
+    missing = [name for name, side in (("normal", normal), ("abnormal", abnormal)) if side.isEmpty()]
+    if missing:
+        raise ValueError(f"no clips of {' and '.join(missing)} videos")
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [side.withColumn("bag_label", F.lit(label)) for label, side in sides.items()])
+    if not max_clips:
+        return both
+    return with_row_index(both, ["bag_label", key], [order], "_place", rows_per_chunk).where(F.col("_place") < max_clips).drop("_place")
+
+
 def bag_stats(scores: DataFrame, key: str = "video", order: str = "clip_idx", cfg: MilConfig = MilConfig(),
               rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Per bag: size, mean of the top tenth (at least one, rounded half-even), mean, mean squared step."""

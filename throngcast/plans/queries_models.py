@@ -61,6 +61,16 @@ def _(t):
     return rounded(_bags(t))
 
 
+@query("labelled_bags", "U03", """
+    SELECT bag_label, video, count(*) AS clips, round(sum(score), 9) AS score FROM (
+        SELECT CAST(video % 3 = 0 AS INT) AS bag_label, video, list_max(probs) AS score, row_number() OVER (PARTITION BY video ORDER BY clip_idx) AS n FROM clip_vectors) WHERE n <= 12 GROUP BY ALL""")
+def _(t):
+    """Bags of both kinds, each cut to its first twelve clips."""
+    clips = t.clip_vectors.select("video", "clip_idx", F.array_max("probs").alias("score"))
+    bags = M.labelled_bags(clips.where("video % 3 <> 0"), clips.where("video % 3 = 0").select("score", "clip_idx", "video"), max_clips=12)
+    return rounded(bags.groupBy("bag_label", "video").agg(F.count(F.lit(1)).alias("clips"), F.sum("score").alias("score")))
+
+
 @query("mil_pair_loss", "A24", """
     SELECT a.video // 2 AS pair_id, round(greatest(0e0, 1 - (a.topk_mean - b.topk_mean)), 9) AS ranking,
            round(greatest(0e0, 1 - (a.topk_mean - b.topk_mean)) + 8e-5 * a.sparsity + 8e-5 * a.smoothness, 9) AS total

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..config import PolicyConfig
 from ..functions import scalars as S
 from ..operators import decision, folds, incidents as I, risk as R, zones as Z
 from ..operators.ordered import ordered_fold, with_average, with_last_known, with_previous
@@ -203,6 +204,20 @@ def _(t):
         F.coalesce(F.size("directives.close_entries") > 0, F.lit(False)).alias("closes_entry"))
 
 
+@query("policy_advisories", "F05 P29", """
+    SELECT arrival, action, CASE severity WHEN 'critical' THEN 5e0 WHEN 'warn' THEN 2.5e0 ELSE 0.5e0 END AS penalty_multiplier, severity = 'critical' AS suggested_reroute,
+           CASE action WHEN 'DISPERSE' THEN 'Critical congestion in ' || name || '. Disperse immediately.' WHEN 'DIVERT' THEN 'Critical risk in ' || name || '. Rerouting to safer paths.'
+               WHEN 'PREPARE_DIVERT' THEN 'Crowd building in ' || name || '. Prepare to divert.' WHEN 'SLOW_DOWN' THEN 'Caution in ' || name || '. Slow down and keep moving.'
+               WHEN 'MONITOR' THEN 'Monitoring ' || name || ' (risk rising).' ELSE 'Normal conditions in ' || name || '.' END AS message_short FROM (
+        SELECT *, 'Area ' || zone_id AS name, CASE WHEN severity = 'critical' AND slope > 0.05e0 AND slope >= 0.06e0 THEN 'DISPERSE' WHEN severity = 'critical' THEN 'DIVERT'
+                    WHEN severity = 'warn' AND slope > 0.05e0 AND slope >= 0.055e0 THEN 'PREPARE_DIVERT' WHEN severity = 'warn' THEN 'SLOW_DOWN'
+                    WHEN slope > 0.05e0 THEN 'MONITOR' ELSE 'NONE' END AS action FROM states)""", recursive=True, views=STATE_VIEWS)
+def _(t):
+    """Advisories under a policy of the caller's own."""
+    policy = PolicyConfig(rising_warn_slope=0.055, rising_critical_slope=0.06, penalty_info=0.5, penalty_warn=2.5, penalty_critical=5.0, reroute_on_warn=False, zone_name_prefix="Area ")
+    return R.advisories(_states(t), None, policy).select("arrival", "action", "penalty_multiplier", "suggested_reroute", "message_short")
+
+
 @query("global_max_risk", "A06", "SELECT round(greatest(0e0, max(risk_ema)), 9) AS global_max_risk FROM states", recursive=True, views=STATE_VIEWS)
 def _(t):
     return rounded(R.global_max(_states(t)))

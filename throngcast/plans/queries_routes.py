@@ -99,6 +99,22 @@ def _(t):
     return rounded(found.select("source", "node", "cost", F.array_join("nodes", ">").alias("route")), 6)
 
 
+@query("path_costs", "F03 G04", """
+    SELECT src, dst, round(base * (2e0 - least(1e0, b.density)) + CASE WHEN a.risk > b.risk THEN 5e0 ELSE 0e0 END, 6) AS cost FROM touching JOIN condition a ON a.zone_id = src JOIN condition b ON b.zone_id = dst""", views={
+        "touching": """SELECT a.zone_id AS src, b.zone_id AS dst, sqrt(((a.zx0 + a.zx1 - b.zx0 - b.zx1) / 2e0) ** 2 + ((a.zy0 + a.zy1 - b.zy0 - b.zy1) / 2e0) ** 2) AS base
+            FROM zones a JOIN zones b ON a.zone_id <> b.zone_id AND (
+                ((a.zx1 = b.zx0 OR b.zx1 = a.zx0) AND least(a.zy1, b.zy1) > greatest(a.zy0, b.zy0))
+                OR ((a.zy1 = b.zy0 OR b.zy1 = a.zy0) AND least(a.zx1, b.zx1) > greatest(a.zx0, b.zx0)))""",
+        "condition": "SELECT zone_id, least(1e0, 2 * avg(risk)) AS risk, avg(density) AS density FROM fused GROUP BY zone_id"})
+def _(t):
+    """Zone graph under a cost function of the caller's own: crowded targets are cheap, steps to less risk cost extra."""
+    from ..operators import risk as R
+    state = R.fuse(t.perception).groupBy("zone_id").agg(F.least(F.lit(1.0), 2 * F.avg("risk")).alias("risk"), F.avg("density").alias("density"))
+    own = lambda base, risk_from, risk_to, _, density_to: base * (2 - density_to) + F.when(risk_from > risk_to, 5.0).otherwise(0.0)
+    arcs = graph.zone_graph_costs(Z.zone_adjacency(Z.default_zones(t.spark)), state, own)
+    return rounded(arcs.select("src", "dst", "cost"), 6)
+
+
 def user_routes(t):
     """One active route of eight zones per user seen in the events."""
     u = F.col("user_id")
