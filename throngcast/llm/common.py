@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import run_folder
 
-ARROW_ROWS = 1000
+#: Rows and bytes of an Arrow batch, whichever comes first.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -36,7 +37,8 @@ def lower_ascii(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """Arrow batches of few rows, so that a batch of very long texts still fits a worker."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def small_batches(df: DataFrame, rows: int = ARROW_ROWS) -> DataFrame:
+    """Arrow batches of few rows and bytes, so that a batch of very long texts still fits a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return df
