@@ -1,4 +1,8 @@
-"""Tunable parameters of the operators, validated when built."""
+"""Tunable parameters of the operators, validated when built.
+
+Fixed values: the defaults of RiskStateConfig, AltRiskConfig, PolicyConfig, FusionConfig, VideoConfig, RoiDensityConfig, MilConfig,
+FallConfig, ForestConfig and CrashConfig are those that results are compared with.
+"""
 
 from __future__ import annotations
 

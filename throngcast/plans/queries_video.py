@@ -27,7 +27,7 @@ def _(t):
     return C.accident_windows(frames, 12, 6.0, detect_every=3)
 
 
-@query("weak_labels", "A20 M06", """
+@query("weak_labels", "A20", """
     SELECT video, window_index, round(weak_score, 9) AS weak_score, CASE WHEN weak_score >= hi THEN 1 ELSE 0 END AS label
     FROM weak, (SELECT quantile_cont(weak_score, 0.4) AS lo, quantile_cont(weak_score, 0.7) AS hi FROM weak) WHERE weak_score >= hi OR weak_score <= lo""")
 def _(t):
