@@ -42,7 +42,7 @@ def edge_costs(edges: DataFrame, zone_risk: DataFrame | None = None, deltas: Dat
         .select("edge_id", "src", "dst", "zone_id", "length", "cost")
 
 
-ROUNDS_PER_CHECKPOINT = 6
+ROUNDS_PER_CHECKPOINT = 3
 _ROUTE = ["cost", "rank", "hops", "parent", "edge_id", "fresh"]
 
 
